@@ -120,15 +120,19 @@ class Words:
         self.hash = mix((total[self.end] - total[self.begin]) * inverse[self.begin])
         self.starts = np.searchsorted(self.begin, self.bounds)  # of each document, in words
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the n words from each position on, and the positions where n words of one document are left."""
-        h = self.hash
+    def all_grams(self, n: int, salt: int = 0) -> np.ndarray:
+        """Hash of the n words from each position on, over the bounds of documents too."""
+        h = mix(self.hash + np.uint64(salt)) if salt else self.hash
         if len(h) < n:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.uint64)
         power, inverse = _powers_to(len(h) + 1)
         total = np.zeros(len(h) + 1, dtype=np.uint64)
         np.cumsum(h * power[: len(h)], out=total[1:])
-        g = mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1])
+        return mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1])
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the n words from each position on, and the positions where n words of one document are left."""
+        g = self.all_grams(n)
         sizes = np.diff(self.starts)
         left = np.repeat(self.starts[1:], sizes)[: len(g)] - np.arange(len(g))
         at = np.flatnonzero(left >= n)
