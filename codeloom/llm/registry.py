@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chunking", "toxicity", "bpe", "superminhash", "decontamination", "repeats")
+MODULES = ("chunking", "toxicity", "bpe", "superminhash", "decontamination", "repeats", "secrets")
 
 
 def queries() -> dict:
