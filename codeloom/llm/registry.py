@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chunking", "toxicity", "bpe", "superminhash", "decontamination", "repeats", "secrets", "langid", "warc")
+MODULES = ("chunking", "toxicity", "bpe", "superminhash", "decontamination", "repeats", "secrets", "langid", "warc", "transcripts")
 
 
 def queries() -> dict:
