@@ -1,0 +1,188 @@
+"""Search, packing, changes and chat operators over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import chat, graph, packing, search
+from ..streaming import changes
+from . import testgraph
+from .graph_queries import _RANK, ranks_of
+from .testgraph import SQL, table
+
+
+def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).select("embedding")
+
+
+def q10_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), "embedding")
+    scored = search.file_scores(vectors, _query(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return scored.orderBy(F.desc("similarity"), "path").limit(20)
+
+
+def q11_max_chunk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").alias("path"), "embedding")
+    return search.file_scores(vectors, _query(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+
+
+def q12_hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), "embedding")
+    scored = search.file_scores(vectors, _query(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    ranks = ranks_of(spark, sf_dir).withColumn("rank", F.round("rank", 9))
+    best = search.reranked(scored, ranks, 10, keep=F.col("path") % 7 != 3)
+    return best.withColumn("score", F.round("score", 6))
+
+
+def q13_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a definition line before every sentence that begins with a t, so that long ones are cut."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.regexp_replace("text", r"\nT", "\ndef T").alias("text"))
+    return search.chunks(texts).select("path", "chunk_no", F.md5("chunk").alias("chunk_md5"))
+
+
+def q14_trivial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/__init__.py")).alias("path"), F.col("text").alias("content"))
+    return docs.select("doc_id", search.is_trivial_init(F.col("path"), F.col("content")).alias("trivial"))
+
+
+def q15_greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("grp"), F.col("doc_id").alias("ord"), packing.estimated_tokens(F.col("text")).alias("tokens"))
+    return packing.first_fit(docs, 3000)
+
+
+def q16_adaptive_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = graph.statistics(testgraph.nodes(spark, sf_dir), testgraph.edges(spark, sf_dir))
+    budgets = packing.token_budgets(table(spark, sf_dir, "part").select(F.concat(F.lower(F.lit("gpt-4")), F.lit("-"), F.col("p_brand")).alias("model")).distinct())
+    return budgets.crossJoin(stats).select("model", "max_tokens", F.col("n_nodes"), F.col("n_edges"), F.col("max_tokens").cast("long").alias("budget"), F.lit(900).alias("map_tokens")).transform(
+        lambda d: d.select("model").distinct().crossJoin(packing.adaptive_parameters(d.select("n_nodes", "n_edges", "budget", "map_tokens").distinct()))
+    )
+
+
+def _state(docs: DataFrame) -> DataFrame:
+    lines = F.split("text", "\n")
+    heads = F.transform(lines, lambda x: F.substring_index(x, " ", 1))
+    return docs.select(F.col("doc_id").alias("path"), F.md5("text").alias("content_hash"), F.md5("lang").alias("imports_hash"), F.md5(F.array_join(F.array_sort(heads), "|")).alias("definitions_hash"), F.md5(F.length("text").cast("string")).alias("usages_hash"))
+
+
+def q17_classify_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a copy in which some are gone, some changed inside, some at their head, some in language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    k = F.col("doc_id") % 10
+    text = F.when(k == 1, F.concat(F.lit("Changed "), F.col("text"))).when(k == 2, F.concat("text", F.lit(" more"))).when(k == 3, F.reverse("text")).otherwise(F.col("text"))
+    new = docs.filter(k != 0).select("doc_id", text.alias("text"), F.when(k == 3, "xx").otherwise(F.col("lang")).alias("lang"))
+    new = new.unionByName(docs.filter(k == 0).select((-F.col("doc_id") - 1).alias("doc_id"), "text", "lang"))
+    return graph.classified_changes(_state(docs), _state(new))
+
+
+def q19_debounce_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return changes.debounced_leading_batch(events, "user_id", "ts", 3_600_000_000, ("event_id",))
+
+
+def q20_event_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "deleted").otherwise("created")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), "ts", F.col("event_id").alias("seq"), kind.alias("event_type"))
+    return changes.classified(events).select(F.col("seq").alias("event_id"), "meaning")
+
+
+def q21_session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    found = changes.debounced_sessions(events, "30 minutes")
+    return found.select("path", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n")
+
+
+def q22_history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.trimmed_history(table(spark, sf_dir, "conversations"), 300)
+
+
+def q23_content_hash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content another one has too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("content_md5"))
+    return docs.groupBy("content_md5").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def q24_module_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace("url", r"^[a-z]+://", "/repo/src/")
+    return table(spark, sf_dir, "pages").select("page_id", search.module_prefix(F.concat(path, F.lit(".py")), "/repo").alias("module"))
+
+
+def q25_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)).alias("pos", "link"))
+    return pages
+
+
+def q27_theta_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest prefix of each part type among the first words of types; prefixes are few, and their size is checked."""
+    types = table(spark, sf_dir, "part").select("p_type").distinct()
+    firsts = types.select(F.substring_index("p_type", " ", 1).alias("prefix")).unionByName(types.select(F.substring_index("p_type", " ", 2).alias("prefix"))).distinct()
+    hits = types.join(firsts, F.col("p_type").startswith(F.col("prefix")))
+    return hits.groupBy("p_type").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+
+
+def q32_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked list of a repository map: rank to 3 places, number of dependents."""
+    edges = testgraph.edges(spark, sf_dir)
+    ranks = ranks_of(spark, sf_dir).withColumn("rank", F.round("rank", 9))
+    top = ranks.orderBy(F.desc("rank"), "path").limit(50).join(graph.in_degree(edges), "path", "left")
+    return top.select("path", F.coalesce("in_degree", F.lit(0)).alias("dependents"), F.row_number().over(Window.orderBy(F.desc("rank"), "path")).alias("place"))
+
+
+QUERIES = {f.__name__: f for f in (q10_cosine_topk, q11_max_chunk_score, q12_hybrid_rerank, q13_chunking, q14_trivial_filter, q15_greedy_fill, q16_adaptive_params, q17_classify_change, q19_debounce_leading, q20_event_state, q21_session_debounce, q22_history_trim, q23_content_hash_dups, q24_module_prefix, q25_link_extract, q27_theta_prefix_join, q32_map_entries)}
+
+_COS = """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)), 6) AS sim FROM embeddings)"""
+_STATE = """SELECT doc_id AS path, md5(text) AS c, md5(lang) AS i, md5(array_to_string(list_sort(list_transform(string_split(text, chr(10)), lambda x: split_part(x, ' ', 1))), '|')) AS d, md5(CAST(length(text) AS VARCHAR)) AS u"""
+ORACLE_SQL = {
+    "q10_cosine_topk": _COS + " SELECT vec_id AS path, sim AS similarity FROM s ORDER BY sim DESC, vec_id LIMIT 20",
+    "q11_max_chunk_score": _COS + " SELECT label AS path, max(sim) AS similarity FROM s GROUP BY label",
+    "q12_hybrid_rerank": _RANK + ", " + _COS[5:] + """, c AS (SELECT vec_id AS path, sim AS similarity FROM s ORDER BY sim DESC, vec_id LIMIT 40), k AS (SELECT * FROM c WHERE path % 7 <> 3),
+rr AS (SELECT path, round(rank, 9) AS rank FROM r20), t AS (SELECT max(rank) AS top FROM rr),
+x AS (SELECT k.path, similarity, coalesce(rr.rank, 0) AS rank, 0.8::DOUBLE * similarity + 0.2::DOUBLE * CASE WHEN top > 0 THEN coalesce(rr.rank, 0) / top ELSE 0 END AS score FROM k LEFT JOIN rr USING (path) CROSS JOIN t)
+SELECT path, similarity, rank, round(score, 6) AS score FROM x ORDER BY x.score DESC, path LIMIT 10""",
+    "q13_chunking": r"""WITH d AS (SELECT doc_id AS path, replace(text, chr(10) || 'T', chr(10) || 'def T') AS text FROM documents),
+n AS (SELECT path, text, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words FROM d),
+l AS (SELECT path, string_split(text, chr(10)) AS ls FROM n WHERE words > 300),
+e AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+g AS (SELECT *, sum(CASE WHEN i > 1 AND regexp_matches(trim(line, E' \t\r\f\v'), '^(def |async def |class |fn |pub fn |impl |function |export function |export default function |export class |export interface |func )') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS c FROM e),
+p AS (SELECT path, c, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS chunk FROM g GROUP BY path, c),
+o AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY c) - 1 AS INTEGER) AS chunk_no, chunk FROM p WHERE chunk <> '')
+SELECT path, chunk_no, md5(chunk) AS chunk_md5 FROM o UNION ALL SELECT path, 0, md5(text) FROM n WHERE words <= 300""",
+    "q14_trivial_filter": """SELECT doc_id, length(array_to_string(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#')), chr(10))) < 50 AS trivial FROM documents""",
+    "q15_greedy_fill": """WITH RECURSIVE i AS (SELECT source || '/' || lang AS grp, doc_id AS ord, length(text) // 4 AS tokens FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ord) AS k FROM i WHERE tokens > 0),
+f AS (SELECT grp, k, ord, CASE WHEN tokens <= 3000 THEN tokens ELSE 0 END AS used, tokens <= 3000 AS took FROM n WHERE k = 1
+UNION ALL SELECT n.grp, n.k, n.ord, CASE WHEN f.used + n.tokens <= 3000 THEN f.used + n.tokens ELSE f.used END, f.used + n.tokens <= 3000 FROM f JOIN n ON n.grp = f.grp AND n.k = f.k + 1)
+SELECT grp, ord, CAST(used AS BIGINT) AS used FROM f WHERE took""",
+    "q16_adaptive_params": SQL + """, b AS (SELECT DISTINCT 'gpt-4-' || p_brand AS model FROM part), c AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e),
+m AS (SELECT least(900, CAST(floor(76800 * 0.08) AS BIGINT)) AS mt)
+SELECT model, CAST(mt AS BIGINT) AS map_tokens, CAST(76800 - mt AS BIGINT) AS content_tokens, CAST(least(greatest(n // 10, 3), 10) AS INTEGER) AS anchors, CAST(least(greatest(n // 4, 20), 75) AS INTEGER) AS map_files,
+CASE WHEN e::DOUBLE / greatest(n, 1) < 3 THEN 3 ELSE 2 END AS hops, CAST(least(greatest(n // 5, 10), 40) AS INTEGER) AS neighborhood_files FROM b, c, m""",
+    "q17_classify_change": f"""WITH n0 AS (SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN 'Changed ' || text WHEN 2 THEN text || ' more' WHEN 3 THEN reverse(text) ELSE text END AS text, CASE WHEN doc_id % 10 = 3 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 10 <> 0
+UNION ALL SELECT -doc_id - 1, text, lang FROM documents WHERE doc_id % 10 = 0),
+o AS ({_STATE} FROM documents), n AS ({_STATE} FROM n0),
+x AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'created' WHEN n.path IS NULL THEN 'deleted' WHEN o.c = n.c THEN 'unchanged' ELSE 'modified' END AS change, o.i = n.i AS si, o.d = n.d AND o.u = n.u AS sd FROM o FULL OUTER JOIN n ON o.path = n.path)
+SELECT path, change, CASE WHEN change = 'unchanged' THEN 'Local' WHEN change <> 'modified' THEN 'GraphScope' WHEN NOT si THEN 'GraphScope' WHEN NOT sd THEN 'FileScope' ELSE 'Local' END AS tier FROM x""",
+    "q19_debounce_leading": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS micros, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+f AS (SELECT user_id, k, micros, event_id, micros AS last, TRUE AS ok FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.k, e.micros, e.event_id, CASE WHEN e.micros - f.last >= 3600000000 THEN e.micros ELSE f.last END, e.micros - f.last >= 3600000000 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, micros, event_id FROM f WHERE ok""",
+    "q20_event_state": """WITH e AS (SELECT event_id, event_type = 'error' AS gone, coalesce(NOT lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id), FALSE) AS there FROM events)
+SELECT event_id, CASE WHEN gone AND there THEN 'deleted' WHEN gone THEN 'ignored' WHEN there THEN 'modified' ELSE 'created' END AS meaning FROM e""",
+    "q21_session_debounce": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id AS path, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM s GROUP BY user_id, k""",
+    "q22_history_trim": """WITH m AS (SELECT conv_id, turn, role, length(text) // 4 AS tokens FROM conversations),
+w AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC, role, tokens ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, tokens) AS nth FROM m)
+SELECT conv_id, turn, role, CAST(tokens AS BIGINT) AS tokens FROM w WHERE nth = 1 OR used <= 300""",
+    "q23_content_hash_dups": "SELECT md5(text) AS content_md5, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1",
+    "q24_module_prefix": r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', 'src/') || '.py', '/'), lambda x: x <> '' AND lower(x) NOT IN ('src', 'lib', 'source', 'sources')) AS ps FROM pages)
+SELECT page_id, array_to_string(list_concat(ps[:len(ps) - 1], [regexp_replace(ps[len(ps)], '^(.+)\.[^.]*$', '\1')]), '.') AS module FROM p""",
+    "q25_link_extract": """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS ls FROM pages)
+SELECT page_id, CAST(unnest(range(len(ls))) AS INTEGER) AS pos, unnest(ls) AS link FROM l""",
+    "q27_theta_prefix_join": """WITH t AS (SELECT DISTINCT p_type FROM part), f AS (SELECT split_part(p_type, ' ', 1) AS prefix FROM t UNION SELECT array_to_string(string_split(p_type, ' ')[:2], ' ') FROM t)
+SELECT p_type, arg_max(prefix, length(prefix)) AS prefix FROM t JOIN f ON starts_with(p_type, prefix) GROUP BY p_type""",
+    "q32_map_entries": _RANK + """, rr AS (SELECT path, round(rank, 9) AS rank FROM r20), t AS (SELECT *, row_number() OVER (ORDER BY rank DESC, path) AS place FROM rr ORDER BY rank DESC, path LIMIT 50),
+d AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY dst)
+SELECT path, coalesce(n, 0) AS dependents, CAST(place AS INTEGER) AS place FROM t LEFT JOIN d USING (path)""",
+}
