@@ -26,29 +26,45 @@ def trimmed_history(messages: DataFrame, max_tokens: int = HISTORY_TOKENS) -> Da
     return summed.filter((F.col("nth") == 1) | (F.col("used") <= max_tokens)).select("conv_id", "turn", "role", "tokens")
 
 
+_CALL = re.compile(r"(?P<tool>[A-Za-z_]\w*)\s*[(](?P<given>.*)[)]", re.DOTALL)
+_TAG = re.compile(r"<[ \t\n]*(?P<close>/?)[ \t\n]*(?P<name>action|think)[ \t\n]*>")
+_KNOWN = re.compile(r"\b(?:%s)\s*[(][^)]*[)]" % "|".join(sorted(TOOLS)))
+_QUOTED = re.compile(r"'([^']*)'|\"([^\"]*)\"")
+
+
 def _call(text: str) -> tuple[str, list[str]] | None:
-    m = re.match(r"(\w+)\((.*)\)", text, re.DOTALL)
+    m = _CALL.match(text)
     if not m:
         return None
-    given = m[2].strip()
-    if not given:
-        return m[1], []
+    given = m["given"].strip()
     try:
-        return m[1], [str(a) for a in ast.literal_eval(f"[{given}]")]
+        return m["tool"], [str(a) for a in ast.literal_eval("[" + given + "]")]
     except (ValueError, SyntaxError):
-        quoted = [v for _, v in re.findall(r"""(['"])(.*?)\1""", given)]
-        return (m[1], quoted) if quoted else None
+        quoted = [a or b for a, b in _QUOTED.findall(given)]
+        return (m["tool"], quoted) if quoted else None
+
+
+def _sections(text: str) -> dict[str, list[str]]:
+    """Bodies by tag, and under "" what is outside; a tag left open runs to the end."""
+    out: dict[str, list[str]] = {"": [], "think": [], "action": []}
+    at, inside = 0, ""
+    for m in _TAG.finditer(text):
+        opens = not m["close"]
+        if inside and (opens or m["name"] != inside):
+            continue
+        out[inside].append(text[at : m.start()])
+        at, inside = m.end(), m["name"] if opens else ""
+    out[inside].append(text[at:])
+    return out
 
 
 def parse_response(text: str) -> tuple[str | None, list[tuple[str, list[str]]], str]:
     """(thoughts, calls of tools, plain text); tags may be left open, and calls of known tools untagged."""
-    text = re.sub(r"<\s*(/?)\s*(think|action)\s*>", r"<\1\2>", text)
-    thought = re.search(r"<think>(.*?)(?:</think>|$)", text, re.DOTALL)
-    calls = [c for body in re.findall(r"<action>(.*?)(?:</action>|$)", text, re.DOTALL) if (c := _call(body.strip()))]
+    parts = _sections(text)
+    calls = [c for body in parts["action"] if (c := _call(body.strip()))]
     if not calls:
-        calls = [c for m in re.finditer(rf"\b(?:{'|'.join(TOOLS)})\s*\(.*?\)", text, re.DOTALL) if (c := _call(m[0]))]
-    plain = re.sub(r"<(think|action)>.*?(?:</\1>|$)", "", text, flags=re.DOTALL).strip()
-    return (thought[1].strip() if thought else None), calls, plain
+        calls = [c for m in _KNOWN.finditer(text) if (c := _call(m[0]))]
+    return (parts["think"][0].strip() if parts["think"] else None), calls, "".join(parts[""]).strip()
 
 
 def parsed_responses(messages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SOURCE_DIRS = ("src", "lib", "source", "sources")
-DEFINITIONS = ("def ", "async def ", "class ", "fn ", "pub fn ", "impl ", "function ", "export function ", "export default function ", "export class ", "export interface ", "func ")
+DEFINITIONS = tuple(w + " " for w in sorted({"class", "def", "async def", "impl", "fn", "pub fn", "func", "function", *("export " + w for w in ("class", "default function", "function", "interface"))}))
 CHUNK_WORDS = 300
 SIMILARITY_WEIGHT, RANK_WEIGHT = 0.8, 0.2
 TRIVIAL_CHARS = 50
