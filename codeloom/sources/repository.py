@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import shutil
 import time
 from pathlib import Path, PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,16 +73,29 @@ def scan(paths: DataFrame, ignored_dirs: tuple[str, ...] = IGNORED_DIRS, rules:
 def read_repository(spark: SparkSession, root: str, ignored_dirs: tuple[str, ...] = IGNORED_DIRS, tracked: DataFrame | None = None) -> DataFrame:
     """path (relative), content of the text files under root; files that aren't UTF-8 are left out.
 
-    Paths are filtered before contents are read into rows: the listing has them without opening files.
+    The driver lists names alone (Spark's own file sources skip names that begin with . or _, and empty files);
+    what passes the rules is read by the executors, to whom root must be visible.
     """
-    base = str(Path(root).resolve())
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    relative = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(base) + "/", "")
-    ignores = raw.filter(F.col("path").endswith("/.gitignore")).select(relative.alias("path"), F.decode("content", "UTF-8").alias("content")).collect()
-    rules = [r for row in sorted(ignores, key=lambda r: (r.path.count("/"), r.path)) for x in row.content.split("\n") if (r := ignore_pattern(x, row.path.rpartition("/")[0]))]
-    rows = raw.withColumn("path", relative)
-    kept = scan(rows, ignored_dirs, rules, tracked)
-    return kept.filter(F.is_valid_utf8("content")).select("path", F.decode("content", "UTF-8").alias("content"))
+    base = Path(root).resolve()
+    names, rules = [], []
+    for folder, inner, files in os.walk(base):
+        inner[:] = sorted(d for d in inner if d != ".git" and d not in ignored_dirs)
+        below = Path(folder).relative_to(base).as_posix().removeprefix(".")
+        names += [f"{below}/{f}" if below else f for f in files]
+        if ".gitignore" in files:
+            rules += [r for x in (Path(folder) / ".gitignore").read_text(errors="replace").split("\n") if (r := ignore_pattern(x, below))]
+    paths = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names) // 64, spark.sparkContext.defaultParallelism * 8)))
+
+    def stage(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    text = (base / path).read_bytes().decode()
+                except (UnicodeDecodeError, FileNotFoundError):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["path", "content"])
+
+    return scan(paths, ignored_dirs, rules, tracked).select("path").mapInArrow(stage, "path string, content string")
 
 
 def known_files(files: DataFrame) -> DataFrame:
