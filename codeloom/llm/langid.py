@@ -20,9 +20,8 @@ from . import vectext
 from .shared import once, send, tune, written
 
 ORDER, UNIT = 3, 65536
-#: The models are fitted on at most so many documents of each language (those whose id hashes lowest) and at
-#: most so many bytes of each of them.
-MAX_DOCUMENTS, MAX_BYTES = 400, 20_000
+#: The models are fitted on the whole texts of at most so many documents of each language (those whose id hashes lowest).
+MAX_DOCUMENTS = 400
 
 
 def _count(batches):
@@ -34,7 +33,7 @@ def _count(batches):
             which = np.flatnonzero(languages == lang)
             grams: dict[bytes, int] = {}
             for i in which:
-                data = raw[offsets[i] : offsets[i + 1]].tobytes()[:MAX_BYTES]
+                data = raw[offsets[i] : offsets[i + 1]].tobytes()
                 for n in range(1, ORDER + 2):
                     for k in range(len(data) - n + 1):
                         g = data[k : k + n]
@@ -147,7 +146,7 @@ def fit(documents: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Model:
         ids = one if ids is None else ids.unionByName(one)
     if ids is None:
         return Model({})
-    sample = known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", F.substring("text", 1, MAX_BYTES).alias("text")).repartition(max(8, spark.sparkContext.defaultParallelism))
+    sample = known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text").repartition(max(8, spark.sparkContext.defaultParallelism))
     counts = written(sample.mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm")
     grams: dict[str, dict[bytes, int]] = {lang: {} for lang in languages}
     for r in counts.toLocalIterator():

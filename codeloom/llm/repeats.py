@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shared import tune
+from .shared import fresh, tune
 
 MIN_WORDS = 50
 
@@ -159,8 +159,9 @@ def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     Rows that take no part in the search stay as they are, as do further rows with one id.
     """
     tune(documents.sparkSession)
-    spans = repeated_spans(documents, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin_word", "end_word"))).alias("__spans"))
-    joined = documents.join(spans.withColumnRenamed("doc_id", "__id"), documents["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
+    listed, key = fresh(documents, "__spans"), fresh(documents, "__id")
+    spans = repeated_spans(documents, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin_word", "end_word"))).alias(listed))
+    joined = documents.join(spans.withColumnRenamed("doc_id", key), documents["doc_id"].cast("long") == F.col(key), "left").drop(key)
     at_text, n = documents.columns.index("text"), len(documents.columns)
     at_size = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
 

@@ -46,6 +46,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def send(spark: SparkSession, value, size: int):
     """A broadcast of value, whose size in bytes is checked."""
     if size > BROADCAST_BYTES:

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .components import connected
-from .shared import tune, written
+from .shared import fresh, tune, written
 
-SHINGLE, SLOTS, BANDS, THRESHOLD = 3, 128, 32, 0.5
+#: 40 bands of 4 slots: a pair just at the threshold meets in a bucket with a chance of 1 - (1 - 0.5^4)^40 = 0.92.
+SHINGLE, SLOTS, BANDS, THRESHOLD = 3, 160, 40, 0.5
 
 
 def elements(words: vectext.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +178,13 @@ def without_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
 
     Of rows that repeat an id one stays; rows with a null id all stay.
     """
-    gone = near_groups(documents, **settings).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    key = documents["doc_id"].cast("long")
-    kept = documents.join(gone, key == F.col("__gone"), "left_anti")
-    # Null ids are spread over partitions of their own row's hash, so they make no hot one.
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    by = Window.partitionBy("doc_id", spread).orderBy("text")
-    nth = F.when(F.col("doc_id").isNotNull(), F.row_number().over(by)).otherwise(1)
-    return kept.select("*", nth.alias("__nth")).filter("__nth = 1").drop("__nth")
+    mark, nth, own = (fresh(documents, c) for c in ("__gone", "__nth", "__own"))
+    gone = near_groups(documents, **settings).filter("doc_id <> group_id").select(F.col("doc_id").alias(mark))
+    keyed = documents.withColumn(own, F.col("doc_id").cast("long"))
+    kept = keyed.join(gone, keyed[own] == F.col(mark), "left_anti")
+    # The join has put equal ids together, so the window needs no further exchange.
+    by = Window.partitionBy(own).orderBy("text")
+    return kept.withColumn(nth, F.when(F.col(own).isNotNull(), F.row_number().over(by)).otherwise(1)).filter(F.col(nth) == 1).drop(nth, own)
 
 
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
