@@ -88,7 +88,7 @@ class Model:
                 else:
                     bits[i] = below
             self.cost[:, :, k] = np.round(bits * UNIT)
-        self.cost = self.cost.reshape(-1, len(self.languages))
+        self.cost = self.cost.reshape(len(names) * width, len(self.languages))
 
     @staticmethod
     def _shorter(number: dict[bytes, int], c: bytes) -> int:

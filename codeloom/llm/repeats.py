@@ -164,6 +164,7 @@ def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     joined = documents.join(spans.withColumnRenamed("doc_id", key), documents["doc_id"].cast("long") == F.col(key), "left").drop(key)
     at_text, n = documents.columns.index("text"), len(documents.columns)
     at_size = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+    names = documents.columns  # not the DataFrame, which no executor can hold
 
     def stage(batches):
         for batch in batches:
@@ -187,7 +188,7 @@ def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFra
                 columns[at_text] = pa.compute.replace_with_mask(columns[at_text], pa.array(mask), pa.array(list(new.values()), columns[at_text].type))
                 if at_size is not None:
                     columns[at_size] = pa.compute.replace_with_mask(columns[at_size], pa.array(mask), pa.array([len(t) for t in new.values()]).cast(columns[at_size].type))
-            yield pa.RecordBatch.from_arrays(columns, names=documents.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(stage, documents.schema)
 
