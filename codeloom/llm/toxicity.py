@@ -1,95 +1,154 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their stems (the first letters).  From a bounded sample of labelled documents come the
-terms that go with either label beyond chance, and the examples' vectors over these terms; document
-frequencies count all documents.  The examples lie in a block-max inverted index: postings in blocks of
-neighbouring examples, with the greatest weight of each term in each block.  A query takes blocks in the
-order of their bounds and stops where no bound reaches the k-th best cosine, so the k nearest are exact.
-Votes fall off with distance; isotonic regression over leave-one-out votes of the examples turns them into
-calibrated probabilities.
+Terms are words and their stems (the first letters), all that the labelled examples have.  A term's weight is
+its inverse document frequency over all documents times what it tells of the label among the examples: a power
+of df x KL divergence, a smooth weight without a threshold or a bound on the number of terms.  Terms that many examples
+have are a dense matrix, the others an inverted index; the sums in single precision have a known relative
+error, and all examples that may belong to the k nearest by it are scored again in double precision, so the
+k nearest are exact.  Votes fall off with distance; isotonic regression over leave-one-out votes of the
+examples turns them into calibrated probabilities.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import once, send, tune, written
+from .shared import BROADCAST_BYTES, once, send, tune, written
 
-#: The classifier is fitted on at most so many labelled documents (those whose id hashes lowest) and keeps at
-#: most so many terms, the most significant first.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 4096
-STEM, NEIGHBOURS, BANDWIDTH, ALPHA, BLOCK = 4, 15, 0.1, 0.01, 64
+#: The classifier is fitted on at most so many labelled documents (those whose id hashes lowest).
+MAX_EXAMPLES = 20_000
+STEM, NEIGHBOURS, BANDWIDTH = 4, 15, 0.1
+#: The power of what a term tells of the label in its weight.
+SHARPNESS = 1.25
+#: Texts scored at once, and the share of examples over which a term is part of the dense matrix.
+BATCH, DENSE = 128, 0.02
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
 _words = re.compile(r"\w+").findall
 
 
-def terms_of(text: str, words: set | dict, stems: set | dict) -> Counter:
-    """Counts of those terms of a text that are in words or, as stems, in stems."""
-    found = Counter()
-    all_words = _words(text.lower())
-    for w in set(all_words):
-        if w in words or w[:STEM] in stems:
-            n = all_words.count(w)
-            if w in words:
-                found[w] += n
-            if len(w) > STEM and w[:STEM] in stems:
-                found[w[:STEM] + "*"] += n
+def terms_of(text: str) -> Counter:
+    """Counts of all words of a text and their stems."""
+    found = Counter(_words(text.lower()))
+    stems: Counter = Counter()
+    for w, n in found.items():
+        if len(w) > STEM:
+            stems[w[:STEM] + "*"] += n
+    found.update(stems)
     return found
 
 
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (sizes[0] numbers), begin[1], ..."""
+    return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Unit vectors of the examples, by example and by term."""
 
-    idf: dict[str, tuple[int, float]]  # term -> number, inverse document frequency
+    number: dict[str, int]
+    weight: np.ndarray  # of each term
     ids: np.ndarray
     labels: np.ndarray
-    bounds: np.ndarray  # terms x blocks: the greatest weight
-    blocks: list[tuple[np.ndarray, np.ndarray]]  # terms of a block, and its weights (terms x BLOCK)
+    starts: np.ndarray  # of each example in terms and counts, and the end
+    terms: np.ndarray
+    counts: np.ndarray
     steps: list[tuple[float, float]] = field(default_factory=list)  # isotonic: from this vote on, this probability
     base: float = 0.0  # of examples without any term
 
-    def vector(self, counts: dict[str, int]) -> list[tuple[int, float]]:
-        """Sorted (term number, weight) of length 1."""
-        v = sorted((self.idf[t][0], (1 + math.log(n)) * self.idf[t][1]) for t, n in counts.items() if t in self.idf)
-        norm = math.sqrt(sum(w * w for _, w in v))
-        return [(t, w / norm) for t, w in v]
-
-    def nearest(self, v: list[tuple[int, float]], k: int, but: int | None = None) -> list[tuple[float, int, int]]:
+    @cached_property
+    def values(self) -> np.ndarray:
+        """Weights of the examples' terms, each example of length 1."""
+        x = (1 + np.log(self.counts)) * self.weight[self.terms]
+        sizes = np.diff(self.starts)
+        return x / np.repeat(np.sqrt(np.add.reduceat(x * x, self.starts[:-1])), sizes) if len(x) else x
+
+    @cached_property
+    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each term in the dense matrix or -1, the matrix; postings of other terms: starts, examples, values."""
+        n, df = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
+        common = np.flatnonzero(df > max(BATCH, DENSE * n))
+        row = np.full(len(self.weight), -1, dtype=np.int32)
+        row[common] = np.arange(len(common))
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        at = row[self.terms]
+        matrix = np.zeros((len(common), n), dtype=np.float32)
+        matrix[at[at >= 0], owner[at >= 0]] = self.values[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.where(row < 0, df, 0))])
+        return row, matrix, starts, owner[rare], self.values[rare].astype(np.float32)
+
+    @cached_property
+    def place(self) -> dict[int, int]:
+        return {i: k for k, i in enumerate(self.ids.tolist())}
+
+    @cached_property
+    def _query(self) -> np.ndarray:
+        return np.zeros(len(self.weight))
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers in order and weights of length 1; none where no term has a weight."""
+        known = sorted((self.number[t], n) for t, n in counts.items() if t in self.number)
+        at, n = np.array([t for t, _ in known], dtype=np.int64), np.array([n for _, n in known], dtype=np.float64)
+        w = (1 + np.log(n)) * self.weight[at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / math.sqrt(w @ w) if len(w) else w
+
+    def nearest(self, v: tuple[np.ndarray, np.ndarray], k: int, but: int | None = None) -> list[tuple[float, int, int]]:
         """The k best (cosine, id, label) with cosine over 0, ties by id; but is an id to leave out."""
-        if not v or not len(self.ids):
-            return []
-        at, weight = np.array([t for t, _ in v]), np.array([w for _, w in v])
-        reach = weight @ self.bounds[at]
-        best: list[tuple[float, int, int]] = []  # a heap of (cosine, -id, label)
-        for b in np.argsort(-reach, kind="stable"):
-            if reach[b] <= 0 or (len(best) == k and reach[b] < best[0][0] - 1e-9):
-                break
-            terms, matrix = self.blocks[b]
-            row = np.searchsorted(terms, at)
-            here = (row < len(terms)) & (terms[np.minimum(row, len(terms) - 1)] == at)
-            cosines = np.round(weight[here] @ matrix[row[here]], 12)
-            floor = best[0][0] if len(best) == k else 0.0
-            for j in np.flatnonzero((cosines > 0) & (cosines >= floor)):
-                i = b * BLOCK + j
-                if self.ids[i] == but:
+        return self.nearest_of([v], k, [but])[0]
+
+    def nearest_of(self, vectors: list, k: int, buts: list) -> list[list[tuple[float, int, int]]]:
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in vectors]
+        row, matrix, starts, owner, values = self.by_term
+        # All weights are positive, so the error of a sum is relative.
+        error = (len(matrix) + 2 * BATCH) * 2.0**-22
+        out = []
+        for first in range(0, len(vectors), BATCH):
+            part = vectors[first : first + BATCH]
+            dense = np.zeros((len(part), len(matrix)), dtype=np.float32)
+            for i, (at, w) in enumerate(part):
+                r = row[at]
+                dense[i, r[r >= 0]] = w[r >= 0]
+            sums = dense @ matrix
+            for s, (at, w), but in zip(sums, part, buts[first : first + BATCH]):
+                if not len(at):
+                    out.append([])
+                    continue
+                rare = row[at] < 0
+                begin, sizes = starts[at[rare]], starts[at[rare] + 1] - starts[at[rare]]
+                which = _ranges(begin, sizes)
+                s = s + np.bincount(owner[which], np.repeat(w[rare], sizes) * values[which], n)
+                if but in self.place:
+                    s[self.place[but]] = 0
+                least = np.partition(s, n - k)[n - k] if n > k else 0.0
+                maybe = np.flatnonzero((s > 0) & (s >= least * (1 - error)))
+                if not len(maybe):
+                    out.append([])
                     continue
-                entry = (float(cosines[j]), -int(self.ids[i]), int(self.labels[i]))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(c, -i, y) for c, i, y in sorted(best, reverse=True)]
+                self._query[at] = w
+                sizes = self.starts[maybe + 1] - self.starts[maybe]
+                which = _ranges(self.starts[maybe], sizes)
+                cosines = np.add.reduceat(self._query[self.terms[which]] * self.values[which], np.cumsum(sizes) - sizes)
+                self._query[at] = 0
+                found = [(float(c), int(self.ids[j]), int(self.labels[j])) for c, j in zip(np.round(cosines, 12), maybe) if c > 0]
+                out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
+        return out
 
     def probability(self, votes: float) -> float:
         p = 0.0
@@ -121,34 +180,41 @@ def isotonic(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
     return [(x, (s + 0.5) / (n + 1)) for x, s, n in pools]
 
 
+def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log((1 + n_docs) / (1 + df)) + 1
+
+
+def assembled(names: list[str], weight: np.ndarray, ids, labels, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
+    """An index without calibration. Examples without a term of some weight make its base; terms without one go."""
+    owner = np.repeat(np.arange(len(ids)), np.diff(starts))
+    use = weight[terms] > 0
+    owner, terms, counts = owner[use], terms[use].astype(np.int32), counts[use]
+    sizes = np.bincount(owner, minlength=len(ids)).astype(np.int64)
+    full, labels = sizes > 0, np.asarray(labels, dtype=np.int8)
+    small = counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
+    index = Index({t: i for i, t in enumerate(names)}, weight, np.asarray(ids, dtype=np.int64)[full], labels[full], np.concatenate([[0], np.cumsum(sizes[full])]), terms, small)
+    blank = labels[~full]
+    index.base = (float(blank.sum()) + 0.5) / (len(blank) + 1) if len(blank) else 0.0
+    return index
+
+
 def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
-    """The index over examples (id, label, term counts), calibrated by leaving one out."""
+    """The index over examples (id, label, term counts) by inverse document frequency alone, calibrated by leaving one out."""
     names = sorted(df)
-    idf = {t: (i, math.log((1 + n_docs) / (1 + df[t])) + 1) for i, t in enumerate(names)}
-    index = Index(idf, np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros((len(names), 0)), [])
-    vectors = [(index.vector(c), i, y) for i, y, c in examples]
-    blank = [y for v, _, y in vectors if not v]
-    index.base = (sum(blank) + 0.5) / (len(blank) + 1) if blank else 0.0
-    # Like examples become neighbours, which keeps the bounds of blocks low.
-    vectors = sorted((x for x in vectors if x[0]), key=lambda x: (max(x[0], key=lambda p: p[1])[0], x[0], x[1]))
-    index.ids = np.array([i for _, i, _ in vectors], dtype=np.int64)
-    index.labels = np.array([y for _, _, y in vectors], dtype=np.int8)
-    n = -(-len(vectors) // BLOCK)
-    index.bounds = np.zeros((len(names), n))
-    for b in range(n):
-        part = vectors[b * BLOCK : (b + 1) * BLOCK]
-        terms = np.unique([t for v, _, _ in part for t, _ in v])
-        matrix = np.zeros((len(terms), len(part)))
-        for j, (v, _, _) in enumerate(part):
-            matrix[np.searchsorted(terms, [t for t, _ in v]), j] = [w for _, w in v]
-        index.blocks.append((terms, matrix))
-        index.bounds[terms, b] = matrix.max(axis=1)
-    index.steps = isotonic([(votes_of(index.nearest(v, k, i), bandwidth), y) for v, i, y in vectors])
+    number = {t: i for i, t in enumerate(names)}
+    rows = [sorted((number[t], n) for t, n in c.items() if t in number) for _, _, c in examples]
+    flat = np.array([x for r in rows for x in r], dtype=np.int64).reshape(-1, 2)
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    weight = inverse_frequency(np.array([df[t] for t in names], dtype=np.float64), n_docs)
+    index = assembled(names, weight, [i for i, _, _ in examples], [y for _, y, _ in examples], starts, flat[:, 0], flat[:, 1])
+    vectors = [v for _, _, c in examples if len((v := index.vector(c))[0])]
+    near = index.nearest_of(vectors, k, index.ids.tolist())
+    index.steps = isotonic([(votes_of(x, bandwidth), int(y)) for x, y in zip(near, index.labels)])
     return index
 
 
-def _partial_counts(words):
-    """A stage that counts, over its batches, documents by term; all terms where words is None. The 2nd column is a label or 0."""
+def _partial_counts(vocabulary):
+    """A stage that counts, over its batches, documents by term; all terms where vocabulary is None. The 2nd column is a label or 0."""
 
     def stage(batches):
         total: Counter = Counter()
@@ -157,11 +223,10 @@ def _partial_counts(words):
                 if not text:
                     continue
                 found = set(_words(text.lower()))
-                if words is None:
-                    found |= {w[:STEM] + "*" for w in found if len(w) > STEM}
-                else:
-                    known_words, known_stems = once(words)
-                    found = {w for w in found if w in known_words} | {w[:STEM] + "*" for w in found if len(w) > STEM and w[:STEM] in known_stems}
+                found |= {w[:STEM] + "*" for w in found if len(w) > STEM}
+                if vocabulary is not None:
+                    number = _received(vocabulary, _numbered)
+                    found = {t for t in found if t in number}
                 for t in found:
                     total[t, y] += 1
                 if len(total) > 300_000:
@@ -173,14 +238,29 @@ def _partial_counts(words):
     return stage
 
 
+def _numbered(names: str) -> dict[str, int]:
+    return {t: i for i, t in enumerate(names.split("\n"))}
+
+
+def _sent(spark: SparkSession, value) -> list:
+    """Broadcasts of value's bytes, in parts within the broadcast bound."""
+    data = pickle.dumps(value, protocol=5)
+    return [send(spark, data[a : a + BROADCAST_BYTES], min(BROADCAST_BYTES, len(data) - a)) for a in range(0, len(data), BROADCAST_BYTES)]
+
+
+def _received(parts: list, make=lambda x: x):
+    """make(what was sent), kept for the life of a Python worker."""
+    return once(parts[0], lambda first: make(pickle.loads(b"".join([first, *(p.value[1] for p in parts[1:])]))))
+
+
 def _counted(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([t for t, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "y", "n"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
+def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
     """Fits on labelled documents; labels with a null are left out, of labels that differ the toxic one holds.
 
-    With no labelled document there is no term, and every document gets probability 0.
+    With no labelled document, or one label alone, there is no term, and every document gets probability 0.
     """
     spark = documents.sparkSession
     tune(spark)
@@ -190,60 +270,63 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     examples = written(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "toxicity-examples")
     n, pos = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    chosen: list[str] = []
-    if 0 < pos < n:
-        counts = examples.select("text", "y").mapInArrow(_partial_counts(None), "term string, y int, n long")
-        counts = written(counts.groupBy("term").agg(F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("df")), "toxicity-terms")
-        total = counts.count()
-        share, p = F.col("a") / F.col("df"), pos / n
-
-        # df x KL divergence bounds the logarithm of the chance to see such a share at random.
-        def part(x, y: float):
-            return F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-
-        gain = F.col("df") * (part(share, p) + part(1 - share, 1 - p))
-        best = counts.withColumn("gain", gain).filter(F.col("gain") > math.log(max(total, 1) / ALPHA)).orderBy(F.desc("gain"), "term").limit(max_terms)
-        chosen = [r.term for r in best.select("term").collect()]
-    words, stems = {t for t in chosen if not t.endswith("*")}, {t[:-1] for t in chosen if t.endswith("*")}
-    if not chosen:
+    if not 0 < pos < n:
         return build([], {}, 0)
-    sent = send(spark, (words, stems), 64 * len(chosen))
-    every = texts.select("text", F.lit(0).alias("y")).mapInArrow(_partial_counts(sent), "term string, y int, n long")
-    df = {r.term: r.n for r in every.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_docs = texts.count()
-    rows = [(r.doc_id, r.y, dict(zip(r.terms, r.counts))) for r in _vectors(examples, sent).collect()]
-    return build(rows, df, n_docs, k, bandwidth)
+    counts = examples.select("text", "y").mapInArrow(_partial_counts(None), "term string, y int, n long")
+    counts = written(counts.groupBy("term").agg(F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("df")), "toxicity-terms")
+    found = counts.toArrow().sort_by("term")
+    names = found["term"].to_pylist()
+    vocabulary = _sent(spark, "\n".join(names))
+    every = texts.select("text", F.lit(0).alias("y")).mapInArrow(_partial_counts(vocabulary), "term string, y int, n long")
+    df = every.groupBy("term").agg(F.sum("n").alias("n")).toArrow().sort_by("term")["n"].to_numpy()
+    rows = _vectors(examples, vocabulary).toArrow().sort_by("doc_id").combine_chunks()
+    sizes = pa.compute.list_value_length(rows["terms"]).to_numpy()
+    terms, tf = (pa.compute.list_flatten(rows[c]).to_numpy() for c in ("terms", "counts"))
+    # df x KL divergence bounds the logarithm of the chance to see such a share at random.
+    size = found["df"].to_numpy()
+    share, p = found["a"].to_numpy() / size, pos / n
+
+    def part(x: np.ndarray, y: float) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / y), 0.0)
+
+    gain = size * np.maximum(part(share, p) + part(1 - share, 1 - p), 0.0)
+    index = assembled(names, inverse_frequency(df, texts.count()) * gain**SHARPNESS, rows["doc_id"].to_numpy(), rows["y"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms, tf)
+    # Leave-one-out votes: an example never votes on itself.
+    own = dict(zip(index.ids.tolist(), index.labels.tolist()))
+    votes = score(examples, index, k, bandwidth).select("doc_id", "votes").toArrow()
+    index.steps = isotonic([(v, own[i]) for i, v in zip(votes["doc_id"].to_pylist(), votes["votes"].to_pylist()) if i in own])
+    return index
 
 
-def _vectors(examples: DataFrame, sent) -> DataFrame:
-    """doc_id, y, terms, counts of the examples; at most max_examples rows, and of the chosen terms only."""
+def _vectors(examples: DataFrame, vocabulary) -> DataFrame:
+    """doc_id, y, terms (their numbers, in order), counts of the examples; at most max_examples rows."""
 
     def stage(batches):
         for batch in batches:
-            words, stems = once(sent)
-            found = [terms_of(t or "", words, stems) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "y", "terms", "counts"])
+            number = _received(vocabulary, _numbered)
+            found = [sorted((number[t], n) for t, n in terms_of(t or "").items()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1))], names=["doc_id", "y", "terms", "counts"])
 
-    return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms array<string>, counts array<int>")
+    return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms array<int>, counts array<int>")
 
 
-def _split(index: Index) -> tuple[Index, set, set]:
-    return index, {t for t in index.idf if not t.endswith("*")}, {t[:-1] for t in index.idf if t.endswith("*")}
+def _packed(index: Index) -> tuple:
+    return "\n".join(index.number), index.weight, index.ids, index.labels, index.starts, index.terms, index.counts, index.steps, index.base
 
 
-def judge(index: Index, words: set, stems: set, text: str | None, doc_id, k: int, bandwidth: float):
-    """(votes, probability, neighbours) of one text."""
-    v = index.vector(terms_of(text, words, stems)) if text else []
-    if not v:
-        return 0.0, index.base, []
-    near = index.nearest(v, k, doc_id)
-    votes = votes_of(near, bandwidth)
-    return votes, index.probability(votes), near
+def _unpacked(packed: tuple) -> Index:
+    return Index(_numbered(packed[0]) if len(packed[1]) else {}, *packed[1:])
 
 
-def _sent(spark: SparkSession, index: Index):
-    size = index.bounds.nbytes + sum(t.nbytes + m.nbytes for t, m in index.blocks) + 100 * len(index.idf)
-    return send(spark, index, size)
+def judged(index: Index, texts: list, ids: list, k: int, bandwidth: float) -> list[tuple[float, float, list]]:
+    """(votes, probability, neighbours) of each text."""
+    out = []
+    for first in range(0, len(texts), BATCH):
+        vectors = [index.vector(terms_of(t) if t else {}) for t in texts[first : first + BATCH]]
+        for (at, _), near in zip(vectors, index.nearest_of(vectors, k, ids[first : first + BATCH])):
+            votes = votes_of(near, bandwidth)
+            out.append((votes, index.probability(votes), near) if len(at) else (0.0, index.base, []))
+    return out
 
 
 def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -253,13 +336,13 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: fl
     is scored as such examples are; rows with a null or repeated id are scored one by one.
     """
     tune(documents.sparkSession)
-    sent = _sent(documents.sparkSession, index)
+    sent = _sent(documents.sparkSession, _packed(index))
 
     def stage(batches):
         for batch in batches:
-            model, words, stems = once(sent, _split)
+            model = _received(sent, _unpacked)
             ids = batch.column(0).to_pylist()
-            found = [judge(model, words, stems, t, i, k, bandwidth) for i, t in zip(ids, batch.column(1).to_pylist())]
+            found = judged(model, batch.column(1).to_pylist(), ids, k, bandwidth)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -277,14 +360,14 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: fl
 def without_toxic(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text isn't judged toxic, with all their columns."""
     tune(documents.sparkSession)
-    sent = _sent(documents.sparkSession, index)
+    sent = _sent(documents.sparkSession, _packed(index))
     at = [documents.columns.index(c) for c in ("doc_id", "text")]
 
     def stage(batches):
         for batch in batches:
-            model, words, stems = once(sent, _split)
+            model = _received(sent, _unpacked)
             ids, texts = (batch.column(i).to_pylist() for i in at)
-            keep = [judge(model, words, stems, t, i, k, bandwidth)[1] < threshold for i, t in zip(ids, texts)]
+            keep = [p < threshold for _, p, _ in judged(model, texts, ids, k, bandwidth)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(stage, documents.schema)
