@@ -83,9 +83,9 @@ class Repository:
         chunks = search.chunks(texts.select("path", search.embedding_text(F.col("path"), F.col("skeleton"), F.col("content")).alias("text")))
         return written(search.embedded(chunks, self.embedder), "embeddings")
 
-    def files_near(self, path: str, side: str, limit: int) -> DataFrame:
-        """The file and its dependencies or dependents: a call graph needs these alone."""
-        near = (graph.dependencies if side == "out" else graph.dependents)(self.edges, path).select("path").orderBy("path").limit(limit)
+    def files_near(self, path: str, side: str) -> DataFrame:
+        """The file and all its dependencies or dependents: a call graph needs these alone."""
+        near = (graph.dependencies if side == "out" else graph.dependents)(self.edges, path).select("path")
         wanted = near.unionByName(self.files.sparkSession.createDataFrame([(path,)], "path string"))
         return self.files.join(wanted.distinct(), "path", "left_semi")
 
@@ -142,12 +142,12 @@ class Repository:
         return row.skeleton if row else None
 
     def callees(self, path: str, name: str) -> DataFrame:
-        nodes, _, found = self.call_graph(self.files_near(path, "out", 200))
+        nodes, _, found = self.call_graph(self.files_near(path, "out"))
         return calls.callees(found, nodes, path, name)
 
     def callers(self, path: str, name: str) -> DataFrame:
         """Only files that depend on this one and name the function are parsed."""
-        near = self.files_near(path, "in", 50).filter((F.col("path") == path) | F.col("content").contains(name))
+        near = self.files_near(path, "in").filter((F.col("path") == path) | F.col("content").contains(name))
         nodes, _, found = self.call_graph(near)
         return calls.callers(found, nodes, path, name)
 
