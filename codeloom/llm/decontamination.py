@@ -18,7 +18,7 @@ from . import vectext
 from .shared import once, send, tune
 
 MIN_WORDS, COVERAGE, COVER_WORDS = 13, 0.8, 5
-#: Words of items in one automaton; more items are taken as several automata, a pass of the corpus each.
+#: Words of items in one automaton; more items are taken as several automata in one pass of the corpus.
 PART_WORDS = 150_000
 SPAN = "struct<begin:int,end:int,words:int,item_id:long>"
 RESULT = f"doc_id long, removed_words int, item_ids array<long>, spans array<{SPAN}>, clean_text string"
@@ -174,16 +174,46 @@ def _cut(data: bytes, spans: list[tuple[int, int, int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _found(column: pa.Array, detector: Detector, min_words: int, coverage: float, cover_words: int):
-    """(row, text in bytes, spans in bytes as (begin, end, words, item)) of the rows with a match."""
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in order; those that overlap or touch are one, with the item of the longest."""
+    out: list[list[int]] = []  # begin, end, item, length of the longest
+    for p, q, i in sorted(spans):
+        if out and p <= out[-1][1]:
+            if q - p > out[-1][3]:
+                out[-1][2:] = [i, q - p]
+            out[-1][1] = max(out[-1][1], q)
+        else:
+            out.append([p, q, i, q - p])
+    return [(p, q, i) for p, q, i, _ in out]
+
+
+def _found(column: pa.Array, detectors: list[Detector], min_words: int, coverage: float, cover_words: int):
+    """(row, text in bytes, spans in bytes as (begin, end, words, item), items) of the rows with a match in any part.
+
+    Every part is held against the text as it came, and the spans of all parts are merged.
+    """
     offsets, raw = vectext.strings(column)
     low_offsets, low = vectext.strings(vectext.lowered(column))
     for first, last in vectext.slices(offsets):
         words = vectext.Words(low_offsets, low, first, last, vectext.WORD)
-        for doc, spans in sorted(detector.spans(words, min_words, coverage, cover_words).items()):
+        by_doc: dict[int, list[tuple[int, int, int]]] = {}
+        for detector in detectors:
+            for doc, spans in detector.spans(words, min_words, coverage, cover_words).items():
+                by_doc.setdefault(doc, []).extend(spans)
+        for doc, spans in sorted(by_doc.items()):
             base = int(words.bounds[doc])
             data = raw[offsets[first + doc] : offsets[first + doc + 1]].tobytes()
-            yield first + doc, data, [(int(words.begin[p]) - base, int(words.end[q - 1]) - base, q - p, i) for p, q, i in spans]
+            merged = _merged(spans) if len(detectors) > 1 else spans
+            yield first + doc, data, [(int(words.begin[p]) - base, int(words.end[q - 1]) - base, q - p, i) for p, q, i in merged], sorted({i for _, _, i in spans})
+
+
+def _sent_parts(spark: SparkSession, benchmark: DataFrame) -> list:
+    return [send(spark, part, 16 * sum(len(h) for _, h in part) + 64) for part in _parts(items_of(benchmark))]
+
+
+def _detectors(sent: list) -> list[Detector]:
+    """All parts' detectors, under one name, so a worker keeps them whatever their number."""
+    return once(sent[0], lambda first: [Detector(first), *(Detector(p.value[1]) for p in sent[1:])])
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, coverage: float = COVERAGE, cover_words: int = COVER_WORDS) -> DataFrame:
@@ -191,27 +221,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_words: int = MI
 
     Texts that are null or empty and clean documents give no row; rows with a null or repeated id are taken one
     by one; items without a word match nothing, so an empty benchmark gives no row.  A benchmark of more than
-    PART_WORDS words is taken in parts, with a row for each document and part.
+    PART_WORDS words has several automata, whose spans are united: still one row a document.
     """
     tune(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    found = None
-    for part in _parts(items_of(benchmark)):
-        one = _contaminated(rows, part, min_words, coverage, cover_words)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _contaminated(rows: DataFrame, items: list, min_words: int, coverage: float, cover_words: int) -> DataFrame:
-    sent = send(rows.sparkSession, items, 16 * sum(len(h) for _, h in items) + 64)
+    sent = _sent_parts(documents.sparkSession, benchmark)
 
     def stage(batches):
         for batch in batches:
             out = []
-            for row, data, spans in _found(batch.column(1), once(sent, Detector), min_words, coverage, cover_words):
+            for row, data, spans, items in _found(batch.column(1), _detectors(sent), min_words, coverage, cover_words):
                 chars = [len(data[:a].decode()) for a, *_ in spans]
                 ends = [c + len(data[a:b].decode()) for c, (a, b, *_) in zip(chars, spans)]
-                out.append((row, sum(s[2] for s in spans), sorted({s[3] for s in spans}), [{"begin": c, "end": e, "words": n, "item_id": i} for c, e, (_, _, n, i) in zip(chars, ends, spans)], _cut(data, spans).decode()))
+                out.append((row, sum(s[2] for s in spans), items, [{"begin": c, "end": e, "words": n, "item_id": i} for c, e, (_, _, n, i) in zip(chars, ends, spans)], _cut(data, spans).decode()))
             if out:
                 at, *cols = zip(*out)
                 kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("item_id", pa.int64())])), pa.string())
@@ -223,36 +245,33 @@ def _contaminated(rows: DataFrame, items: list, min_words: int, coverage: float,
 def decontaminated(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, coverage: float = COVERAGE, cover_words: int = COVER_WORDS) -> DataFrame:
     """All rows and columns, matches cut out of text and n_chars counted anew; a row left without a word goes.
 
-    Rows without a match stay as they are.  Each part of a large benchmark is a pass of its own over the rows.
+    Rows without a match stay as they are.  The parts of a large benchmark are all held against the text as it came.
     """
     tune(documents.sparkSession)
     at_text = documents.columns.index("text")
     at_size = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
-    out = documents
-    for part in _parts(items_of(benchmark)):
-        sent = send(documents.sparkSession, part, 16 * sum(len(h) for _, h in part) + 64)
-
-        def stage(batches, sent=sent):
-            for batch in batches:
-                column = batch.column(at_text)
-                new, keep = {}, np.ones(batch.num_rows, dtype=bool)
-                for row, data, spans in _found(column, once(sent, Detector), min_words, coverage, cover_words):
-                    left = _cut(data, spans)
-                    new[row] = left.decode()
-                    keep[row] = bool(vectext.WORD[np.frombuffer(left, dtype=np.uint8)].any())
-                if new:
-                    mask = np.zeros(batch.num_rows, dtype=bool)
-                    mask[list(new)] = True
-                    columns = list(batch.columns)
-                    columns[at_text] = pa.compute.replace_with_mask(column, pa.array(mask), pa.array([new[k] for k in sorted(new)], column.type))
-                    if at_size is not None:
-                        sizes = pa.array([len(new[k]) for k in sorted(new)]).cast(columns[at_size].type)
-                        columns[at_size] = pa.compute.replace_with_mask(columns[at_size], pa.array(mask), sizes)
-                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-                yield batch
-
-        out = out.mapInArrow(stage, documents.schema)
-    return out
+    sent = _sent_parts(documents.sparkSession, benchmark)
+
+    def stage(batches):
+        for batch in batches:
+            column = batch.column(at_text)
+            new, keep = {}, np.ones(batch.num_rows, dtype=bool)
+            for row, data, spans, _ in _found(column, _detectors(sent), min_words, coverage, cover_words):
+                left = _cut(data, spans)
+                new[row] = left.decode()
+                keep[row] = bool(vectext.WORD[np.frombuffer(left, dtype=np.uint8)].any())
+            if new:
+                mask = np.zeros(batch.num_rows, dtype=bool)
+                mask[list(new)] = True
+                columns = list(batch.columns)
+                columns[at_text] = pa.compute.replace_with_mask(column, pa.array(mask), pa.array([new[k] for k in sorted(new)], column.type))
+                if at_size is not None:
+                    sizes = pa.array([len(new[k]) for k in sorted(new)]).cast(columns[at_size].type)
+                    columns[at_size] = pa.compute.replace_with_mask(columns[at_size], pa.array(mask), sizes)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+            yield batch
+
+    return documents.mapInArrow(stage, documents.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

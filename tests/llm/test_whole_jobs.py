@@ -1,6 +1,6 @@
 """Cases that were cut off before: each failed when an operator did less than its whole job."""
 
-from codeloom.llm import toxicity
+from codeloom.llm import decontamination, toxicity
 
 
 def test_toxicity_in_each_language_and_few_labels(spark, docs_of):
@@ -17,3 +17,18 @@ def test_toxicity_in_each_language_and_few_labels(spark, docs_of):
         copies = [(10**9 + r.doc_id, r.text) for r in toxic.select("doc_id", "text").collect()]
         again = toxicity.score(docs_of(copies), index).collect()
         assert all(r.toxic and r.evidence[0].cosine > 1 - 1e-9 for r in again)
+
+
+def test_decontamination_in_parts(spark, docs_of, monkeypatch):
+    w = [f"b{i}" for i in range(60)]
+    own = [f"o{i}" for i in range(20)]
+    # The items of two parts overlap in the document; another one begins behind them.
+    items = [(1, " ".join(w[:20])), (2, " ".join(w[12:30])), (3, " ".join(w[40:55]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(7, " ".join([*own[:10], *w[:30], *own[10:15], *w[40:55], *own[15:]]))]
+    whole = decontamination.contaminated(docs_of(rows), benchmark).collect()
+    monkeypatch.setattr(decontamination, "PART_WORDS", 20)
+    got = decontamination.contaminated(docs_of(rows), benchmark).collect()
+    assert len(got) == len(whole) == 1 and got[0].clean_text == whole[0].clean_text and got[0].removed_words == whole[0].removed_words == 45
+    assert got[0].item_ids == [1, 2, 3] and got[0].clean_text.split() == own
+    assert decontamination.decontaminated(docs_of(rows), benchmark).first().text == got[0].clean_text
