@@ -140,19 +140,29 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return rows.mapInArrow(stage, "a long, b long, jaccard double").withColumn("same", F.col("jaccard") >= threshold)
 
 
+def _key(documents: DataFrame):
+    """One for each id and text; null without id."""
+    own = F.col("doc_id").cast("long")
+    return F.when(own.isNotNull(), F.xxhash64(own, F.col("text").cast("string")))
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key(documents).alias("key"), F.col("text").cast("string").alias("text"))
+
+
 def near_pairs(documents: DataFrame, shingle: int = SHINGLE, slots: int = SLOTS, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs a, b, jaccard that connect all near duplicates which share a bucket."""
+    """Verified pairs a, b, jaccard, of keys, that connect all near duplicates which share a bucket."""
     tune(documents.sparkSession)
-    buckets = banded(documents, shingle, slots, bands).select("doc_id", F.explode("bands").alias("bucket"))
+    keyed = _keyed(documents).select(F.col("key").alias("doc_id"), "text")
+    buckets = banded(keyed, shingle, slots, bands).select("doc_id", F.explode("bands").alias("bucket"))
     by = Window.partitionBy("bucket").orderBy("doc_id")
     # The first of a bucket; the frame up to the row streams, whatever the bucket's size.
     members = buckets.withColumn("a", F.first("doc_id").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     members = written(members.filter("a <> doc_id").select("bucket", "a", F.col("doc_id").alias("b")).distinct(), "buckets")
     first_pairs = members.select("a", "b").distinct()
     touched = first_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Ids that repeat are one document, with the least of their texts.
-    texts = written(texts.join(touched, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    # Rows of one key are copies.
+    texts = written(keyed.join(touched, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
     first = written(verified(first_pairs, texts, shingle, threshold), "pairs")
     failed = first.filter(~F.col("same")).select("a", "b")
     lost = members.join(failed, ["a", "b"]).select("bucket", F.col("b").alias("x"))
@@ -162,27 +172,35 @@ def near_pairs(documents: DataFrame, shingle: int = SHINGLE, slots: int = SLOTS,
     return written(first.filter("same").unionByName(again.filter("same")).select("a", "b", "jaccard"), "near-pairs")
 
 
+def _members(documents: DataFrame, **settings) -> DataFrame:
+    """doc_id, key, group_id and first (the least id with its key) of each distinct id and text that is in a group."""
+    roots = connected(near_pairs(documents, **settings)).select(F.col("node").alias("key"), "root")
+    members = _keyed(documents).select("doc_id", "key").join(roots, "key").distinct()
+    firsts = members.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    return members.join(firsts, "root").select("doc_id", "key", F.col("first.doc_id").alias("group_id"), F.col("first.key").alias("first"))
+
+
 def near_groups(documents: DataFrame, **settings) -> DataFrame:
     """doc_id, group_id of the documents that have a near duplicate; group_id is the least id of the group.
 
     Two documents are near duplicates where the sets of their runs of 3 words (lower case, no punctuation)
-    have a Jaccard similarity of THRESHOLD or more; groups are closed over such pairs.  Rows of one id are one
-    document.  A text that is null, empty or without a word, and a row without id, is in no group.
+    have a Jaccard similarity of THRESHOLD or more; groups are closed over such pairs.  Rows of one id and text
+    are one document; an id with several texts may be in several groups, with a row for each.  A text that is
+    null, empty or without a word, and a row without id, is in no group.
     """
-    roots = connected(near_pairs(documents, **settings))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    return _members(documents, **settings).select("doc_id", "group_id").distinct()
 
 
 def without_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
     """One document of each group, the one with the least id, and all documents of no group, with all columns.
 
-    Of rows that repeat an id one stays; rows with a null id all stay.
+    Of rows that repeat an id and its text one stays; rows of one id with other texts and rows with a null id stay.
     """
     mark, nth, own = (fresh(documents, c) for c in ("__gone", "__nth", "__own"))
-    gone = near_groups(documents, **settings).filter("doc_id <> group_id").select(F.col("doc_id").alias(mark))
-    keyed = documents.withColumn(own, F.col("doc_id").cast("long"))
+    gone = _members(documents, **settings).filter("key <> first").select(F.col("key").alias(mark))
+    keyed = documents.withColumn(own, _key(documents))
     kept = keyed.join(gone, keyed[own] == F.col(mark), "left_anti")
-    # The join has put equal ids together, so the window needs no further exchange.
+    # The join has put equal keys together, so the window needs no further exchange.
     by = Window.partitionBy(own).orderBy("text")
     return kept.withColumn(nth, F.when(F.col(own).isNotNull(), F.row_number().over(by)).otherwise(1)).filter(F.col(nth) == 1).drop(nth, own)
 

@@ -1,6 +1,6 @@
 """Cases that were cut off before: each failed when an operator did less than its whole job."""
 
-from codeloom.llm import decontamination, toxicity
+from codeloom.llm import decontamination, superminhash, toxicity
 
 
 def test_toxicity_in_each_language_and_few_labels(spark, docs_of):
@@ -32,3 +32,11 @@ def test_decontamination_in_parts(spark, docs_of, monkeypatch):
     assert len(got) == len(whole) == 1 and got[0].clean_text == whole[0].clean_text and got[0].removed_words == whole[0].removed_words == 45
     assert got[0].item_ids == [1, 2, 3] and got[0].clean_text.split() == own
     assert decontamination.decontaminated(docs_of(rows), benchmark).first().text == got[0].clean_text
+
+
+def test_near_duplicates_with_ids_that_repeat(docs_of):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["a"]), (2, text["b"] + " more"), (3, text["c"])]
+    kept = superminhash.without_near_duplicates(docs_of(rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text["a"]), (1, text["b"]), (3, text["c"])]
+    assert {(r.doc_id, r.group_id) for r in superminhash.near_groups(docs_of(rows)).collect()} == {(1, 1), (2, 1)}
