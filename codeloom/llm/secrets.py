@@ -99,20 +99,20 @@ RULES = (
     Rule("aws-access-key", ("akia", "asia", "abia", "acca"), r"(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16})(?![A-Za-z0-9])", aws_account, strict=False, min_entropy=2.5),
     Rule("github-token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?<![A-Za-z0-9])(?P<secret>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", crc_base62),
     Rule("npm-token", ("npm_",), r"(?<![A-Za-z0-9])(?P<secret>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", crc_base62),
-    Rule("slack-token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<secret>xox[bpars]-[A-Za-z0-9-]{20,250})", min_entropy=2.5),
-    Rule("stripe-key", ("sk_live_", "rk_live_", "sk_test_"), r"(?<![A-Za-z0-9])(?P<secret>[sr]k_(?:live|test)_[A-Za-z0-9]{16,247})", min_entropy=2.5),
+    Rule("slack-token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<secret>xox[bpars]-[A-Za-z0-9-]{20,})", min_entropy=2.5),
+    Rule("stripe-key", ("sk_live_", "rk_live_", "sk_test_"), r"(?<![A-Za-z0-9])(?P<secret>[sr]k_(?:live|test)_[A-Za-z0-9]{16,})", min_entropy=2.5),
     Rule("google-api-key", ("aiza",), r"(?<![A-Za-z0-9])(?P<secret>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", min_entropy=3.0),
-    Rule("json-web-token", ("eyj",), r"(?<![A-Za-z0-9])(?P<secret>eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{4,8192}\.[A-Za-z0-9_-]{4,1024})", jwt),
-    Rule("private-key", ("-----begin",), r"(?P<secret>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{40,20000}?-----END (?:[A-Z]+ )*PRIVATE KEY-----)", pem, strict=False),
+    Rule("json-web-token", ("eyj",), r"(?<![A-Za-z0-9])(?P<secret>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,})", jwt),
+    Rule("private-key", ("-----begin",), r"(?P<secret>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{40,}?-----END (?:[A-Z]+ )*PRIVATE KEY-----)", pem, strict=False),
     Rule("iban", ("iban",), r"(?i:iban)[\s:=\"']{1,4}(?P<secret>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", mod97),
     Rule("card-number", ("card", "visa", "mastercard"), r"(?i:card(?:[ _-]?(?:no|number))?|visa|mastercard)[\s:=\"'#]{1,4}(?P<secret>[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7})(?![0-9])", luhn),
     Rule(
         "assigned-secret",
         ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "auth", "credential"),
-        r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|credentials?)[A-Za-z0-9_-]{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:[Bb]earer\s)?[\"'`]?(?P<secret>[A-Za-z0-9+/_.=~!@#%^*-]{12,512}?)(?=[\"'`\s,;)<]|[.,;]?$|[.,;]\s)",
+        r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|credentials?)[A-Za-z0-9_-]*+[\"']?\s*+(?::=|=>|[:=])\s*+(?:[Bb]earer\s)?[\"'`]?(?P<secret>[A-Za-z0-9+/_.=~!@#%^*-]{8,}?)(?=[\"'`\s,;)<]|[.,;]?$|[.,;]\s)",
         min_entropy=2.7,
     ),
-    Rule("url-credentials", ("://",), r"://[A-Za-z0-9._~%+-]{1,64}:(?P<secret>[^\s:@/\"'<>]{6,128})@[A-Za-z0-9.-]{1,253}", min_entropy=2.0),
+    Rule("url-credentials", ("://",), r"://[A-Za-z0-9._~%+-]++:(?P<secret>[^\s:@/\"'<>]{6,}+)@[A-Za-z0-9.-]+", min_entropy=2.0),
 )
 
 
