@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shared import once, send, tune, written
+from .shared import BROADCAST_BYTES, send, tune, written
 
 ORDER, UNIT = 3, 65536
 #: The models are fitted on the whole texts of at most so many documents of each language (those whose id hashes lowest).
@@ -47,6 +47,8 @@ class Model:
 
     def __init__(self, grams: dict[str, dict[bytes, int]], order: int = ORDER) -> None:
         self.languages, self.order = sorted(grams), order
+        #: Models of further languages, where one table for all would be too large to send.
+        self.others: list[Model] = []
         seen = sorted({b for g in grams.values() for run in g for b in run})
         #: Bytes never seen share the last symbol.
         self.symbol = np.full(256, len(seen), dtype=np.int32)
@@ -138,20 +140,29 @@ def fit(documents: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Model:
     tune(spark)
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter("doc_id is not null and lang is not null and text is not null and text <> ''")
-    languages = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
     # Ids are small beside texts: the lowest hashes are found without them, and the texts of those ids follow.
-    ids = None
-    for lang in languages:
-        one = known.filter(F.col("lang") == lang).select("lang", "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
-        ids = one if ids is None else ids.unionByName(one)
-    if ids is None:
-        return Model({})
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("lang", "doc_id").distinct().withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= max_documents).drop("nth")
     sample = known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text").repartition(max(8, spark.sparkContext.defaultParallelism))
     counts = written(sample.mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm")
-    grams: dict[str, dict[bytes, int]] = {lang: {} for lang in languages}
+    grams: dict[str, dict[bytes, int]] = {}
     for r in counts.toLocalIterator():
-        grams[r.lang][bytes(r.gram)] = r.n
-    return Model(grams)
+        grams.setdefault(r.lang, {})[bytes(r.gram)] = r.n
+    first, *others = split(grams)
+    first.others = others
+    return first
+
+
+def split(grams: dict[str, dict[bytes, int]], most: int | None = None) -> list[Model]:
+    """Models of neighbouring languages, each within the broadcast bound; a language's costs don't depend on the others."""
+    most = BROADCAST_BYTES if most is None else most
+    contexts = {run[:-1] for g in grams.values() for run in g}
+    size = 4 * len(contexts) * (len({b for g in grams.values() for run in g for b in run}) + 1) * (len(grams) + ORDER)
+    if size <= most or len(grams) < 2:
+        return [Model(grams)]
+    names = sorted(grams)
+    half = len(names) // 2
+    return [m for part in (names[:half], names[half:]) for m in split({x: grams[x] for x in part}, most)]
 
 
 def identified(documents: DataFrame, model: Model) -> DataFrame:
@@ -161,25 +172,28 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
     text, or a model without languages, has a null language.
     """
     tune(documents.sparkSession)
-    sent = send(documents.sparkSession, model, model.nbytes())
+    models, languages = [model, *model.others], [x for m in (model, *model.others) for x in m.languages]
+    model.others = []
+    sent = [send(documents.sparkSession, m, m.nbytes()) for m in models]
+    model.others = models[1:]
 
     def stage(batches):
         for batch in batches:
-            m = once(sent)
             offsets, raw = vectext.strings(batch.column(1))
-            total = np.concatenate([m.lengths(offsets, raw, a, b) for a, b in vectext.slices(offsets, 1 << 19)]) if batch.num_rows else np.zeros((0, len(m.languages)), dtype=np.int64)
+            each = [p.value[1] for p in sent]
+            total = np.concatenate([np.concatenate([m.lengths(offsets, raw, a, b) for m in each], axis=1) for a, b in vectext.slices(offsets, 1 << 19)]) if batch.num_rows else np.zeros((0, len(languages)), dtype=np.int64)
             size = np.diff(offsets)
-            if m.languages:
+            if languages:
                 best = total.argmin(axis=1)
                 ranked = np.sort(total, axis=1)
-                gap = ranked[:, 1] - ranked[:, 0] if len(m.languages) > 1 else np.zeros(len(size), dtype=np.int64)
-                names = [m.languages[i] if n else None for i, n in zip(best, size)]
+                gap = ranked[:, 1] - ranked[:, 0] if len(languages) > 1 else np.zeros(len(size), dtype=np.int64)
+                names = [languages[i] if n else None for i, n in zip(best, size)]
                 low = ranked[:, 0]
             else:
                 names, low, gap = [None] * len(size), np.zeros(len(size)), np.zeros(len(size))
             per = np.maximum(size, 1) * UNIT
-            keys = pa.array(m.languages * len(size), pa.string())
-            maps = pa.MapArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(m.languages)), keys, pa.array((total / UNIT).ravel()))
+            keys = pa.array(languages * len(size), pa.string())
+            maps = pa.MapArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(languages)), keys, pa.array((total / UNIT).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(low / per), pa.array(gap / per), maps], names=["doc_id", "language", "bits", "margin", "lengths"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
