@@ -235,14 +235,13 @@ def slow_spans(text, items, least, coverage, cover):
         for n in range(end, 0, -1):
             run = own[end - n : end]
             holders = [len(i) for i in items if any(i[k : k + n] == run for k in range(len(i) - n + 1))]
-            if holders:
-                if n >= least or (n >= cover and n >= coverage * min(holders)):
-                    gone |= set(range(end - n, end))
+            if holders and (n >= least or (n >= cover and n >= coverage * min(holders))):
+                gone |= set(range(end - n, end))
                 break
     return gone
 
 
-def test_decontamination(spark, docs_of):
+def test_decontamination(spark, docs_of, monkeypatch):
     items = [words(12, 9), words(20, 9), "one two three four five six", words(9, 9)]
     bench = spark.createDataFrame([*enumerate(items), (10, None), (None, "x y z"), (11, ""), (0, items[0])], "item_id long, text string")
     texts = [words(80, 9) for _ in range(25)] + ["Start, ONE two; three four five six. End", "one two three four five", "one two three four", items[1], None, "", "clean text here", items[1] + " tail"]
@@ -257,4 +256,15 @@ def test_decontamination(spark, docs_of):
     assert got[25].clean_text == "Start, . End" and got[25].item_ids == [2] and got[25].spans[0].begin == 7
     left = {r.doc_id: r for r in decontamination.decontaminated(docs, bench, 7, 0.8, 5).collect()}
     assert 28 not in left and left[30].text == "" and left[31].text == "clean text here" and left[25].n_chars == len("Start, . End") and left[29].text is None
+    # Nothing hides a short item within a long one, whatever the number of automata and stages.
+    long = words(20, 3) + " a b c d e " + words(15, 3)
+    nested = spark.createDataFrame([(1, long), (2, "a b c d e"), (3, "a b c d e f g h"), (4, "d e f g h i")], "item_id long, text string")
+    odd = docs_of([(1, "p q r x a b c d e f z z"), (2, "c d e f g h i " * 2), (3, "x " * 40_000 + long), (4, long)])
+    seen = [sorted(decontamination.contaminated(odd, nested).collect()), sorted(decontamination.decontaminated(odd, nested).collect())]
+    assert [r.doc_id for r in seen[0]] == [1, 2, 3, 4] and seen[0][0].clean_text == "p q r x  f z z" and seen[0][2].removed_words == 40
+    for part, stage in ((6, 1 << 26), (6, 1)):
+        monkeypatch.setattr(decontamination, "PART_WORDS", part)
+        monkeypatch.setattr(decontamination, "STAGE_BYTES", stage)
+        assert [sorted(decontamination.contaminated(odd, nested).collect()), sorted(decontamination.decontaminated(odd, nested).collect())] == seen
+        assert {r.doc_id: r for r in decontamination.contaminated(docs, bench, 7, 0.8, 5).collect()} == got
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.decontaminated(docs_of([]), bench).count() == 0
