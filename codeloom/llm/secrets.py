@@ -1,7 +1,9 @@
 """Secret scans: an Aho-Corasick prefilter, regular expressions anchored near its hits, checksum validation.
 
 One automaton of all rules' keywords runs over the lower-case text.  Only at a hit, and only for the rules
-that own the keyword, a regular expression is tried, anchored at the hit.
+that own the keyword, a regular expression is tried, anchored at the hit.  No expression bounds the length of
+a secret.  A rule that takes a run of characters is tried once in each run, at its first hit, so repeated
+keywords don't make a long run quadratic.
 Tokens that carry a checksum, or a structure that can be checked, are reported as valid or dropped; the
 others must have enough entropy.
 """
@@ -15,6 +17,7 @@ import json
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -85,7 +88,10 @@ def entropy(s: str) -> float:
 
 @dataclass(frozen=True)
 class Rule:
-    """A match's group "secret" is the secret. With check its result decides; strict rules drop what fails."""
+    """A match's group "secret" is the secret. With check its result decides; strict rules drop what fails.
+
+    run is a character class: hits in a run of it behind a hit that was tried are not tried.
+    """
 
     name: str
     keywords: tuple[str, ...]
@@ -93,17 +99,18 @@ class Rule:
     check: Callable[[str], bool] | None = None
     strict: bool = True
     min_entropy: float = 0.0
+    run: str = ""
 
 
 RULES = (
     Rule("aws-access-key", ("akia", "asia", "abia", "acca"), r"(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16})(?![A-Za-z0-9])", aws_account, strict=False, min_entropy=2.5),
     Rule("github-token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?<![A-Za-z0-9])(?P<secret>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", crc_base62),
     Rule("npm-token", ("npm_",), r"(?<![A-Za-z0-9])(?P<secret>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", crc_base62),
-    Rule("slack-token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<secret>xox[bpars]-[A-Za-z0-9-]{20,})", min_entropy=2.5),
-    Rule("stripe-key", ("sk_live_", "rk_live_", "sk_test_"), r"(?<![A-Za-z0-9])(?P<secret>[sr]k_(?:live|test)_[A-Za-z0-9]{16,})", min_entropy=2.5),
+    Rule("slack-token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<secret>xox[bpars]-[A-Za-z0-9-]{20,}+)", min_entropy=2.5, run="[A-Za-z0-9-]"),
+    Rule("stripe-key", ("sk_live_", "rk_live_", "sk_test_"), r"(?<![A-Za-z0-9])(?P<secret>[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])", min_entropy=2.5),
     Rule("google-api-key", ("aiza",), r"(?<![A-Za-z0-9])(?P<secret>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", min_entropy=3.0),
-    Rule("json-web-token", ("eyj",), r"(?<![A-Za-z0-9])(?P<secret>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,})", jwt),
-    Rule("private-key", ("-----begin",), r"(?P<secret>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{40,}?-----END (?:[A-Z]+ )*PRIVATE KEY-----)", pem, strict=False),
+    Rule("json-web-token", ("eyj",), r"(?<![A-Za-z0-9])(?P<secret>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+)(?![A-Za-z0-9_-])", jwt, run="[A-Za-z0-9_-]"),
+    Rule("private-key", ("-----begin",), r"(?P<secret>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=\s:,-]){40,}+-----END (?:[A-Z]+ )*PRIVATE KEY-----)", pem, strict=False),
     Rule("iban", ("iban",), r"(?i:iban)[\s:=\"']{1,4}(?P<secret>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", mod97),
     Rule("card-number", ("card", "visa", "mastercard"), r"(?i:card(?:[ _-]?(?:no|number))?|visa|mastercard)[\s:=\"'#]{1,4}(?P<secret>[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7})(?![0-9])", luhn),
     Rule(
@@ -111,6 +118,7 @@ RULES = (
         ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "auth", "credential"),
         r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|credentials?)[A-Za-z0-9_-]*+[\"']?\s*+(?::=|=>|[:=])\s*+(?:[Bb]earer\s)?[\"'`]?(?P<secret>[A-Za-z0-9+/_.=~!@#%^*-]{8,}?)(?=[\"'`\s,;)<]|[.,;]?$|[.,;]\s)",
         min_entropy=2.7,
+        run="[A-Za-z0-9_-]",
     ),
     Rule("url-credentials", ("://",), r"://[A-Za-z0-9._~%+-]++:(?P<secret>[^\s:@/\"'<>]{6,}+)@[A-Za-z0-9.-]+", min_entropy=2.0),
 )
@@ -120,7 +128,7 @@ class Scanner:
     """The automaton and the compiled rules."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
-        self.rules = [(r, re.compile(r.pattern)) for r in rules]
+        self.rules = [(r, re.compile(r.pattern), re.compile(r.run + "*") if r.run else None) for r in rules]
         by: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
             for k in r.keywords:
@@ -135,11 +143,15 @@ class Scanner:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        found = []
+        found, tried = [], [0] * len(self.rules)
         for last, (n, owners) in self.automaton.iter(low):
             at = last - n + 1
             for i in owners:
-                rule, pattern = self.rules[i]
+                rule, pattern, run = self.rules[i]
+                if run is not None:
+                    if at < tried[i]:
+                        continue
+                    tried[i] = run.match(text, at).end()
                 m = pattern.match(text, at)
                 if not m:
                     continue
@@ -148,11 +160,12 @@ class Scanner:
                 if (rule.check and rule.strict and not sound) or entropy(secret) < rule.min_entropy:
                     continue
                 found.append((begin, end, i, sound))
-        out: list[tuple[int, int, int, bool]] = []
+        out: list[tuple[int, int, int, bool]] = []  # in order, apart from each other
         for f in sorted(set(found), key=lambda f: (f[2], f[0], -f[1])):
-            if all(f[1] <= o[0] or f[0] >= o[1] for o in out):
-                out.append(f)
-        return [(b, e, self.rules[i][0].name, s) for b, e, i, s in sorted(out)]
+            k = bisect_left(out, (f[0],))
+            if (not k or out[k - 1][1] <= f[0]) and (k == len(out) or out[k][0] >= f[1]):
+                out.insert(k, f)
+        return [(b, e, self.rules[i][0].name, s) for b, e, i, s in out]
 
 
 _scanners: dict[tuple[Rule, ...], Scanner] = {}
@@ -188,7 +201,10 @@ def findings(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows and columns; each secret in text is replaced by [rule], and n_chars is counted anew."""
+    """All rows and columns; each secret in text is replaced by [rule], and n_chars is counted anew.
+
+    Rows without a secret stay as they are, those with a null or empty text too; repeated rows are scanned one by one.
+    """
     tune(documents.sparkSession)
     at_text = documents.columns.index("text")
     at_size = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
@@ -199,10 +215,9 @@ def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
             columns, new = list(batch.columns), {}
             for row, text in enumerate(columns[at_text].to_pylist()):
                 spans = scanner.scan(text) if text else []
-                for begin, end, rule, _ in reversed(spans):
-                    text = f"{text[:begin]}[{rule}]{text[end:]}"
                 if spans:
-                    new[row] = text
+                    starts = [0, *(end for _, end, *_ in spans)]
+                    new[row] = "".join(f"{text[a:b]}[{rule}]" for a, (b, _, rule, _) in zip(starts, spans)) + text[starts[-1] :]
             if new:
                 mask = np.zeros(batch.num_rows, dtype=bool)
                 mask[list(new)] = True

@@ -151,7 +151,7 @@ def test_secrets(docs_of):
     everywhere = secrets.Scanner()
     for text in filter(None, texts):
         slow = []
-        for k, (rule, pattern) in enumerate(everywhere.rules):
+        for k, (rule, pattern, _) in enumerate(everywhere.rules):
             for at in range(len(text)):
                 if m := re.compile(pattern).match(text, at):
                     s = m["secret"]
