@@ -6,6 +6,7 @@ the others are continuation records that name its id as their origin; the last o
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pyarrow as pa
@@ -14,63 +15,115 @@ from pyspark.sql import functions as F
 
 from .shared import tune
 
+_digits, _hexadecimal = re.compile(r"[0-9]+").fullmatch, re.compile(rb"[0-9A-Fa-f]+").fullmatch
 RECORDS = "record_id string, kind string, target_uri string, segment_number int, origin_id string, total_length long, block binary"
 _KINDS = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
 _NAMES = ["record_id", "kind", "target_uri", "segment_number", "origin_id", "total_length", "block"]
 
 
-def _inflated(data: bytes) -> bytes:
-    """All gzip members; anything else as it is."""
+def _inflated(data: bytes) -> tuple[bytes, int]:
+    """All gzip members, and how many were damaged; anything else as it is.
+
+    Of a damaged member what was inflated before the damage counts; the next one is looked for behind it.
+    """
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
+        return data, 0
+    out, damaged, at = [], 0, 0
+    while at >= 0 and data[at : at + 2] == b"\x1f\x8b":
+        member, end = zlib.decompressobj(31), at
+        try:
+            # In pieces, so that what precedes the damage is kept.
+            while end < len(data) and not member.eof:
+                piece = data[end : end + (1 << 16)]
+                end += len(piece)
+                out.append(member.decompress(piece))
+            out.append(member.flush())
+            if not member.eof:
+                raise zlib.error
+            at = end - len(member.unused_data)
+            if data[at : at + 2] != b"\x1f\x8b":
+                break
+        except zlib.error:
+            damaged += 1
+            at = data.find(b"\x1f\x8b\x08", at + 3)
+    return b"".join(out), damaged
 
 
 def _number(value: str | None) -> int | None:
-    return int(value) if value and value.strip().isdigit() else None
+    return int(value) if value and _digits(value.strip()) else None
 
 
 def split_records(data: bytes) -> list[tuple]:
-    """Rows of RECORDS from the bytes of one archive file; what follows a damaged header is left out."""
-    data, at, rows = _inflated(data), 0, []
+    """Rows of RECORDS from the bytes of one archive file.
+
+    A record whose header lacks a length, whose block is cut short or runs into another record, and a gzip member
+    that doesn't inflate, is a row of kind "damaged" with a null block; reading goes on at the next record.
+    """
+    (data, broken), at = _inflated(data), 0
+    rows: list[tuple] = [(None, "damaged", None, None, None, None, None)] * broken
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            break
         head = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in data[at : len(data) if end < 0 else end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if colon:
-                head[name.strip().lower()] = value.strip()
-        size = _number(head.get("content-length"))
-        if size is None:
-            break
-        block = data[end + 4 : end + 4 + size]
-        rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), _number(head.get("warc-segment-number")), head.get("warc-segment-origin-id"), _number(head.get("warc-segment-total-length")), block))
-        at = end + 4 + size
+                head.setdefault(name.strip().lower(), value.strip())
+        size, begin = _number(head.get("content-length")), end + 4
+        whole = end >= 0 and size is not None and begin + size <= len(data) and not data[begin + size : begin + size + 2].strip(b"\r\n")
+        if whole:
+            rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), _number(head.get("warc-segment-number")), head.get("warc-segment-origin-id"), _number(head.get("warc-segment-total-length")), data[begin : begin + size]))
+            at = begin + size
+        else:
+            rows.append((head.get("warc-record-id"), "damaged", head.get("warc-target-uri"), None, None, None, None))
+            at += 5
+            if (n := data.find(b"\nWARC/", at)) < 0:
+                break
+            at = n + 1
     return rows
 
 
+def written_records(rows: list[tuple]) -> bytes:
+    """The bytes of an archive file, a gzip member for each row of RECORDS; a null block is an empty one."""
+    out = []
+    for record, kind, uri, number, origin, total, block in rows:
+        names = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length", "Content-Length")
+        head = "".join(f"{n}: {v}\r\n" for n, v in zip(names, (kind, record, uri, number, origin, total, len(block or b""))) if v is not None)
+        member = zlib.compressobj(1, zlib.DEFLATED, 31)
+        out += [member.compress(f"WARC/1.0\r\n{head}\r\n".encode() + (block or b"") + b"\r\n\r\n"), member.flush()]
+    return b"".join(out)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[] for _ in _NAMES]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=_NAMES)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the (gzipped) archive files under path."""
-    tune(spark)
+def records_of(archives: DataFrame) -> DataFrame:
+    """Records of archive files in a column content; a null or empty file has none, damage is as in split_records."""
+    tune(archives.sparkSession)
 
     def stage(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 yield _batch(split_records(data or b""))
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(stage, RECORDS)
+    return archives.select(F.col("content").cast("binary")).mapInArrow(stage, RECORDS)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the (gzipped) archive files under path, as records_of has them."""
+    return records_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def archives_of(records: DataFrame) -> DataFrame:
+    """content: archive files of the records, one for each batch of a partition."""
+    tune(records.sparkSession)
+
+    def stage(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([written_records(list(zip(*(c.to_pylist() for c in batch.columns))))], pa.binary())], names=["content"])
+
+    return records.select(*_NAMES).mapInArrow(stage, "content binary")
 
 
 def dechunked(body: bytes) -> bytes | None:
@@ -80,12 +133,10 @@ def dechunked(body: bytes) -> bytes | None:
         end = body.find(b"\r\n", at)
         if end < 0:
             return None
-        try:
-            size = int(body[at:end].split(b";")[0].strip() or b"x", 16)
-        except ValueError:
-            return None
-        if size < 0:
+        digits = body[at:end].split(b";")[0].strip()
+        if not _hexadecimal(digits):
             return None
+        size = int(digits, 16)
         if size == 0:
             return b"".join(out)
         at = end + 2
@@ -113,7 +164,8 @@ def joined(parts: list[tuple[int | None, int | None, bytes]]) -> bytes | None:
     """The block that sorted segments (number, total length, bytes) make up; null where they don't.
 
     Numbers must run from 1 on; equal segments count once, different ones of a number make none; the length
-    must be the total that the last one gives.  A record without a number is whole by itself.
+    must be the total that the last one gives.  A record without a number is whole by itself.  A single first
+    segment without a total length waits for others, and isn't whole.
     """
     parts = [p for i, p in enumerate(parts) if not i or p != parts[i - 1]]
     if len(parts) == 1 and parts[0][0] is None:
@@ -129,14 +181,17 @@ def reassembled(records: DataFrame) -> DataFrame:
 
     complete tells that the segments make a block of the total length; payload has the transfer framing taken
     off, and is null where the record isn't complete or its framing is broken.  Records without an id and null
-    blocks are left out; a continuation whose first segment lacks is an incomplete record of its origin's id.
-    Repeated rows count once.
+    blocks (damaged ones) are left out, continuations without an origin too; a continuation whose first segment
+    lacks, or that has no number, is part of an incomplete record of its origin's id.  Repeated rows count once
+    and are dropped before the exchange; of several URIs the least counts.  Other columns are not read.
     """
     tune(records.sparkSession)
-    own = F.when(F.coalesce(F.col("segment_number"), F.lit(1)) > 1, F.col("origin_id")).otherwise(F.col("record_id"))
-    rows = records.withColumn("whole_id", own).filter("whole_id is not null and block is not null")
+    continues = (F.col("kind").eqNullSafe("continuation")) | (F.coalesce(F.col("segment_number"), F.lit(1)) > 1)
+    number = F.when(F.col("kind").eqNullSafe("continuation"), F.coalesce("segment_number", F.lit(0))).otherwise(F.col("segment_number"))
+    rows = records.select(F.when(continues, F.col("origin_id")).otherwise(F.col("record_id")).alias("whole_id"), "target_uri", number.alias("segment_number"), "total_length", "block").filter("whole_id is not null and block is not null")
+    # A set, so repeats of one segment are one before they are sent: a record's own segments bound it.
     part = F.struct("segment_number", "total_length", "block")
-    groups = rows.groupBy("whole_id").agg(F.first("target_uri", ignorenulls=True).alias("target_uri"), F.sort_array(F.collect_list(part)).alias("parts"))
+    groups = rows.groupBy("whole_id").agg(F.min("target_uri").alias("target_uri"), F.sort_array(F.collect_set(part)).alias("parts"))
 
     def stage(batches):
         for batch in batches:
@@ -183,8 +238,8 @@ def archived(pages: DataFrame, chunk: int = CHUNK, segment: int = SEGMENT) -> Da
 
 
 def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page travels as segments and comes back together."""
-    found = reassembled(archived(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    """Every page travels as segments in gzipped archive files, which are read and put together again."""
+    found = reassembled(records_of(archives_of(archived(spark.read.parquet(f"{sf_dir}/pages.parquet")))))
     page = F.regexp_extract("record_id", r"page:(-?\d+):", 1).cast("long")
     return found.select(page.alias("page_id"), F.col("target_uri").alias("url"), "n_segments", "n_bytes", "complete", F.decode("payload", "UTF-8").alias("html"))
 

@@ -105,6 +105,8 @@ def test_bpe(docs_of, spark):
         assert got[i].tokens == (None if t is None else other.encode(t, disallowed_special=())) and got[i].exact is (None if t is None else True)
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs_of(list(enumerate(texts))))).collect()}
     assert back == dict(enumerate(texts))
+    clash = bpe.encode(docs_of([(1, "ab c")]).withColumnRenamed("bucket", "tokens"), ("doc_id", "tokens"))
+    assert clash.columns == ["doc_id", "tokens", "n_tokens", "tokens_", "exact"] and clash.first().tokens_ == other.encode("ab c")
     assert bpe.encode(docs_of([])).count() == 0
 
 
@@ -124,6 +126,42 @@ def test_warc(spark):
     whole = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     two = zlib.compressobj(9, 8, 31)
     assert [r[0] for r in warc.split_records(whole * 2)] == ["<a>", "<a>"] and warc.split_records(two.compress(whole) + two.flush())[0][6] == b"abc"
+    assert warc.dechunked(b"1_0\r\n" + b"x" * 16 + b"\r\n0\r\n\r\n") is None and warc.dechunked(b"+1\r\na\r\n0\r\n\r\n") is None
+
+
+def test_damaged_archives(spark, tmp_path):
+    def record(n, length=None, block=b"abc"):
+        size = len(block) if length is None else length
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{n}>\r\n{f'Content-Length: {size}' if size != '' else 'X: y'}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    def seen(data):
+        return [(r[0], r[1], r[6]) for r in warc.split_records(data)]
+
+    good = lambda n: (f"<{n}>", "response", b"abc")
+    for bad in ("", "x", "-1", 5000, 1):
+        assert seen(record(1) + record(2, bad) + record(3)) == [good(1), ("<2>", "damaged", None), good(3)], bad
+    assert seen(record(1) + record(2)[:-6]) == [good(1), ("<2>", "damaged", None)] and seen(record(1) + b"WARC/1.0\r\nX") == [good(1), (None, "damaged", None)]
+    rows = [(f"<{n}>", "response", "u", None, None, None, bytes([65 + n]) * 300) for n in range(3)]
+    packed = [warc.written_records([r]) for r in rows]
+    spoilt = packed[1][:20] + b"\xff" * 8 + packed[1][28:]
+    assert [r[0] for r in warc.split_records(b"".join(packed))] == ["<0>", "<1>", "<2>"]
+    assert [r[0] for r in warc.split_records(packed[0] + spoilt + packed[2]) if r[1] != "damaged"] == ["<0>", "<2>"]
+    assert [r[0] for r in warc.split_records(packed[0] + packed[1][:-9]) if r[1] != "damaged"][:1] == ["<0>"]
+    assert seen(b"") == [] and seen(b"\x1f\x8b\x08junk")[0][1] == "damaged"
+    for name, data in (("a.warc", record(1) + record(2, "") + record(3)), ("b.warc.gz", packed[0] + spoilt), ("c", b""), ("d.warc", b"nothing here")):
+        (tmp_path / name).write_bytes(data)
+    found = warc.read_archives(spark, str(tmp_path))
+    assert sorted(r.record_id for r in warc.reassembled(found).collect()) == ["<0>", "<1>", "<3>"] and found.filter("kind = 'damaged'").count() >= 2
+    back = warc.records_of(warc.archives_of(found.filter("kind <> 'damaged'")))
+    assert sorted(back.collect()) == sorted(found.filter("kind <> 'damaged'").collect())
+    # Segments without numbers, without a first segment, with other columns, many times over.
+    odd = spark.createDataFrame(
+        [("<a>", "response", "u", 1, None, None, b"x", 1), ("<b>", "continuation", None, None, "<a>", 2, b"y", 1), ("<c>", "continuation", None, 2, "<q>", 2, b"y", 2), ("<d>", "continuation", None, 2, None, 2, b"y", 3), (None, "response", "u", None, None, None, b"z", 4), ("<e>", None, None, None, None, None, b"", 5)]
+        + [("<f>", "response", "v", 1, None, None, b"12", 6), ("<g>", "continuation", "v", 2, "<f>", 3, b"3", 7)] * 300,
+        warc.RECORDS + ", parts int",
+    )
+    got = {r.record_id: (r.complete, r.payload and bytes(r.payload)) for r in warc.reassembled(odd).collect()}
+    assert got == {"<a>": (False, None), "<q>": (False, None), "<e>": (True, b""), "<f>": (True, b"123")}
 
 
 def with_crc(prefix):
