@@ -62,8 +62,8 @@ def cuts(b: np.ndarray, bounds: np.ndarray, min_size: int, mean_size: int, max_s
     return out
 
 
-def chunks(media: DataFrame, id_col: str = "doc_id", payload_col: str = "text", min_size: int = MIN_SIZE, mean_size: int = MEAN_SIZE, max_size: int = MAX_SIZE) -> DataFrame:
-    """One row a chunk, its payload deflated.
+def chunks(media: DataFrame, id_col: str = "doc_id", payload_col: str = "text", min_size: int = MIN_SIZE, mean_size: int = MEAN_SIZE, max_size: int = MAX_SIZE, with_payload: bool = True) -> DataFrame:
+    """One row a chunk, its payload deflated (null with with_payload off, where the lists alone are wanted).
 
     A null or empty payload is one row with seq -1 and no chunk, so that it is reconstructed as empty; a null
     id stays null.  min_size is at least 32, the reach of the hash.  Other columns are not read.
@@ -86,7 +86,7 @@ def chunks(media: DataFrame, id_col: str = "doc_id", payload_col: str = "text",
                         rows.append((ids[first + i], -1, 0, whole, None, 0, None))
                     for seq, end in enumerate(ends):
                         part = data[at:end]
-                        rows.append((ids[first + i], seq, len(ends), whole, hashlib.sha256(part).digest(), end - at, zlib.compress(part, 5)))
+                        rows.append((ids[first + i], seq, len(ends), whole, hashlib.sha256(part).digest(), end - at, zlib.compress(part, 5) if with_payload else None))
                         at = end
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))], names=["doc_id", "seq", "n_chunks", "media_digest", "digest", "size", "payload"])
@@ -155,8 +155,8 @@ def chunked_media(media: DataFrame, id_col: str = "doc_id", payload_col: str = "
     the whole payload.  Repeated rows give one row; rows of one id with different payloads give one each.  An
     empty table gives an empty one.
     """
-    parts = chunks(media, id_col, payload_col, **sizes)
-    lists = _lists(manifests(parts), store(parts), True)
+    # Both sides of the join come from the payloads; only the store's side deflates them.
+    lists = _lists(manifests(chunks(media, id_col, payload_col, with_payload=False, **sizes)), store(chunks(media, id_col, payload_col, **sizes)), True)
     return lists.select(
         "doc_id",
         F.hex("media_digest").alias("media_digest"),
