@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import once, send, tune
+from .shared import fresh, once, send, tune
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -124,11 +124,13 @@ def encode(documents: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_co
     """The id columns, n_tokens, tokens, and exact: whether the tokens decode to the text.
 
     A null text has null tokens, an empty one no token; repeated rows stay repeated; other columns are not read.
+    Where an id column has the name of a result, the result's name ends in an underscore.
     """
     spark = documents.sparkSession
     tune(spark)
     ranks = read_ranks(vocabulary)
     sent = send(spark, ranks, sum(len(b) + 60 for b in ranks))
+    results = [fresh(documents.select(*id_cols), c) for c in ("n_tokens", "tokens", "exact")]
 
     def stage(batches):
         for batch in batches:
@@ -138,11 +140,11 @@ def encode(documents: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_co
             exact = [None if x is None else encoder.decode(x) == t.encode() for x, t in zip(found, texts)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(id_cols)], pa.array([None if x is None else len(x) for x in found], pa.int32()), _lists(found), pa.array(exact, pa.bool_())],
-                names=[*id_cols, "n_tokens", "tokens", "exact"],
+                names=[*id_cols, *results],
             )
 
     kinds = dict(documents.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", n_tokens int, tokens array<int>, exact boolean"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", " + ", ".join(f"{c} {kind}" for c, kind in zip(results, ("int", "array<int>", "boolean")))
     return documents.select(*id_cols, F.col(text_col).cast("string").alias(text_col)).mapInArrow(stage, schema)
 
 
