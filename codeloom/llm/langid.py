@@ -22,6 +22,8 @@ from .shared import BROADCAST_BYTES, send, tune, written
 ORDER, UNIT = 3, 65536
 #: The models are fitted on the whole texts of at most so many documents of each language (those whose id hashes lowest).
 MAX_DOCUMENTS = 400
+#: Bytes of text that are coded at once.
+PIECE = 1 << 19
 
 
 def _count(batches):
@@ -102,18 +104,25 @@ class Model:
     def nbytes(self) -> int:
         return self.cost.nbytes + sum(s.nbytes for s in self.steps)
 
-    def lengths(self, offsets: np.ndarray, raw: np.ndarray, first: int, last: int) -> np.ndarray:
-        """Code length of each document in each language, in 65536ths of a bit."""
+    def lengths(self, offsets: np.ndarray, raw: np.ndarray, first: int, last: int, piece: int = PIECE) -> np.ndarray:
+        """Code length of each document in each language, in 65536ths of a bit, in pieces of so many bytes."""
         b = raw[offsets[first] : offsets[last]]
         bounds = offsets[first : last + 1] - offsets[first]
         out = np.zeros((last - first, len(self.languages)), dtype=np.int64)
-        if not len(b) or not self.languages:
+        if not self.languages:
             return out
-        s = self.symbol[b]
-        state = self._states(s, bounds)
-        costs = self.cost[state * self.width + s].astype(np.int64)
-        full = np.flatnonzero(np.diff(bounds) > 0)
-        out[full] = np.add.reduceat(costs, bounds[full], axis=0)
+        for x in range(0, len(b), piece):
+            y = min(x + piece, len(b))
+            # Documents of the piece, and the bytes before it that its contexts reach.
+            a, z = int(np.searchsorted(bounds, x, side="right")) - 1, int(np.searchsorted(bounds, y, side="left"))
+            back = min(self.order, x - int(bounds[a]))
+            s = self.symbol[b[x - back : y]]
+            own = np.concatenate([[x - back], bounds[a + 1 : z], [y]])
+            state = self._states(s, own - (x - back))
+            costs = self.cost[state * self.width + s][back:].astype(np.int64)
+            own = np.maximum(own - x, 0)
+            full = np.flatnonzero(np.diff(own) > 0)
+            out[a + full] += np.add.reduceat(costs, own[full], axis=0)
         return out
 
     def _states(self, s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -135,7 +144,10 @@ class Model:
 
 
 def fit(documents: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Model:
-    """Models of the values of lang; rows without lang, id or text are left out. No row gives no language."""
+    """Models of the values of lang; rows without lang, id or text are left out. No row gives no language.
+
+    Rows that share an id and a language are all taken where the id is; repeated ones count as often.
+    """
     spark = documents.sparkSession
     tune(spark)
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
