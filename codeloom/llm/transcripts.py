@@ -8,6 +8,7 @@ finds the most likely states, and lines of one turn become one turn.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -68,7 +69,7 @@ class Hmm:
     """Logarithms of start, transition and both emissions. counts: ("start", s), ("step", s, t), ("marker", s, m), ("shape", s, x)."""
 
     def __init__(self, counts: dict[tuple, float]) -> None:
-        n = len(STATES)
+        n, self.counts = len(STATES), Counter(counts)
 
         def table(kind: str, width: int) -> np.ndarray:
             t = np.full((n, width), PRIOR)
@@ -92,6 +93,9 @@ class Hmm:
         self.step = step
         self.marker, self.shape = table("marker", len(MARKERS)), table("shape", len(SHAPES))
 
+    def __add__(self, other: Hmm) -> Hmm:
+        return Hmm(self.counts + other.counts)
+
     def viterbi(self, seen: list[tuple[int, int]]) -> list[int]:
         """The most likely states; of equals the first in order."""
         if not seen:
@@ -152,29 +156,41 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(turns.alias("turns")).withColumn("style", F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int"))
 
 
-def fit(labelled: DataFrame) -> Hmm:
-    """The model from the rows of transcripts(): counts over all of them."""
+def _fold(conv_id):
+    """Which of the two models a conversation is read by; the other half trains it."""
+    return F.pmod(F.xxhash64(conv_id, F.lit("fold")), F.lit(2)).cast("int")
+
+
+def fit_folds(labelled: DataFrame) -> list[Hmm]:
+    """Two models from the rows of transcripts(): model k has the counts of all conversations that aren't of fold k."""
     tune(labelled.sparkSession)
 
     def stage(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for style, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for style, turns, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 lines, states = labelled_lines(style, [(t["role"], t["text"]) for t in turns])
-                counts["start", states[0], 0] += 1
+                counts["start", states[0], 0, fold] += 1
                 for line, s in zip(lines, states):
                     m, x, _ = observe(line)
-                    counts["marker", s, m] += 1
-                    counts["shape", s, x] += 1
+                    counts["marker", s, m, fold] += 1
+                    counts["shape", s, x, fold] += 1
                 for s, t in zip(states, states[1:]):
-                    counts["step", s, t] += 1
+                    counts["step", s, t, fold] += 1
         if counts:
-            kind, a, b = zip(*counts)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["kind", "a", "b", "n"])
+            kind, a, b, fold = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(fold, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["kind", "a", "b", "fold", "n"])
 
-    # At most states x (states + markers + shapes + 1) rows come back.
-    found = labelled.select("style", "turns").mapInArrow(stage, "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    return Hmm({(r.kind, r.a, r.b): r.n for r in found.collect()})
+    # At most 2 x states x (states + markers + shapes + 1) rows come back.
+    found = labelled.select("style", "turns", _fold("conv_id")).mapInArrow(stage, "kind string, a int, b int, fold int, n long").groupBy("kind", "a", "b", "fold").agg(F.sum("n").alias("n"))
+    rows = found.collect()
+    return [Hmm({(r.kind, r.a, r.b): r.n for r in rows if r.fold != k}) for k in (0, 1)]
+
+
+def fit(labelled: DataFrame) -> Hmm:
+    """The model from the rows of transcripts(): counts over all of them."""
+    one, other = fit_folds(labelled)
+    return one + other
 
 
 def written_out(labelled: DataFrame) -> DataFrame:
@@ -188,29 +204,34 @@ def written_out(labelled: DataFrame) -> DataFrame:
     return labelled.select("conv_id", "style", "turns").mapInArrow(stage, "conv_id long, transcript string")
 
 
-def parsed(raw: DataFrame, model: Hmm) -> DataFrame:
+def parsed(raw: DataFrame, model: Hmm | list[Hmm]) -> DataFrame:
     """One row a transcript: conv_id, n_turns, roles, texts, rendered (canonical).
 
-    A null or empty transcript has no turn and renders as an empty text; repeated rows stay repeated.
+    Of the two models of fit_folds each transcript is read by the one that hasn't seen its conversation.  A null
+    or empty transcript has no turn and renders as an empty text; repeated rows stay repeated; of likely roles
+    that are equal the first in order counts; other columns are not read.
     """
     tune(raw.sparkSession)
-    sent = send(raw.sparkSession, model, 1 << 14)
+    models = model if isinstance(model, list) else [model, model]
+    sent = send(raw.sparkSession, models, len(pickle.dumps(models)))
 
     def stage(batches):
         for batch in batches:
-            found = [parse(once(sent), t) if t else [] for t in batch.column(1).to_pylist()]
+            of = once(sent)
+            found = [parse(of[k], t) if t else [] for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in found], pa.int32()), pa.array([[r for r, _ in t] for t in found], pa.list_(pa.string())), pa.array([[x for _, x in t] for t in found], pa.list_(pa.string())), pa.array([canonical(t) for t in found], pa.string())],
                 names=["conv_id", "n_turns", "roles", "texts", "rendered"],
             )
 
-    return raw.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("transcript").cast("string").alias("transcript")).mapInArrow(stage, "conv_id long, n_turns int, roles array<string>, texts array<string>, rendered string")
+    rows = raw.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("transcript").cast("string").alias("transcript")).withColumn("fold", _fold("conv_id"))
+    return rows.mapInArrow(stage, "conv_id long, n_turns int, roles array<string>, texts array<string>, rendered string")
 
 
 def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, written out in several styles and parsed again."""
+    """All conversations, written out in several styles and parsed again, each by a model that hasn't seen it."""
     labelled = written(transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
-    return parsed(written_out(labelled), fit(labelled))
+    return parsed(written_out(labelled), fit_folds(labelled))
 
 
 QUERIES = {"op7_transcripts": op7_transcripts}

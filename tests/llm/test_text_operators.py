@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, chunking, decontamination, langid, secrets, toxicity, transcripts, warc
 
@@ -209,9 +210,11 @@ def test_secrets(docs_of):
 def test_transcripts(spark):
     conversations = spark.read.parquet(f"{SF}/conversations.parquet")
     labelled = transcripts.transcripts(conversations)
+    models = transcripts.fit_folds(labelled)
     model = transcripts.fit(labelled)
+    assert model.counts == models[0].counts + models[1].counts and all(m.counts["start", 0, 0] + m.counts["start", 2, 0] for m in models)
     truth = {r.conv_id: [(t.role, t.text.strip()) for t in r.turns if t.text.strip()] for r in labelled.collect()}
-    got = {r.conv_id: list(zip(r.roles, r.texts)) for r in transcripts.parsed(transcripts.written_out(labelled), model).collect()}
+    got = {r.conv_id: list(zip(r.roles, r.texts)) for r in transcripts.parsed(transcripts.written_out(labelled).withColumn("roles", F.lit(1)), models).collect()}
     right = sum(a == b for i, t in truth.items() for a, b in zip(t, got[i]))
     assert set(got) == set(truth) and right >= 0.9 * sum(map(len, truth.values()))
     # Viterbi against all paths.
@@ -257,6 +260,10 @@ def test_language(spark, docs_of):
         for lang, g in grams.items():
             want = sum(slow(g, data[max(0, k - 3) : k], data[k]) for k in range(len(data)))
             assert got[i].lengths[lang] == pytest.approx(want, abs=1e-3)
+    long = [rnd.choice(["abra", "ban", "", "zé", "c" * 50]) * rnd.randrange(1, 9) for _ in range(60)]
+    data, offsets = np.frombuffer("".join(long).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in long)])
+    whole = model.lengths(offsets, data, 0, len(long))
+    assert all((model.lengths(offsets, data, 0, len(long), piece) == whole).all() for piece in (1, 2, 3, 7, 64))
     assert got[8].language is None and got[9].language is None and got[4].language == "b"
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(documents.filter("doc_id % 2 = 0"), 40)
