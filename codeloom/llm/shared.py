@@ -1,12 +1,15 @@
-"""Where tables that cut lineage go, and checks on what is sent to every executor."""
+"""Bounds on batches, and checks on what is sent to every executor."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import discard, shared_dir, written
+
+__all__ = ["discard", "fresh", "once", "send", "shared_dir", "tune", "written"]
+
 #: Bytes of a model that may be broadcast; operators split their work beyond it or refuse.
 BROADCAST_BYTES = 64 << 20
 #: Python stages get at most so many rows and bytes at once, so that very long texts fit.
@@ -23,29 +26,6 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests) a folder of this machine is set."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = getattr(shared_dir, "own", None)
-        if folder is None:
-            folder = shared_dir.own = tempfile.mkdtemp(prefix="codeloom-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: later reads don't depend on shuffle files of lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, made longer until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

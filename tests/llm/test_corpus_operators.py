@@ -81,6 +81,20 @@ def test_near_duplicates(spark, docs_of):
     assert superminhash.without_near_duplicates(docs_of([])).count() == 0
 
 
+def test_templates(docs_of, monkeypatch):
+    """Pages of one template meet in many buckets and are mostly not alike; some have near copies, and many copies of the same words."""
+    template = text_of(60)
+    texts = {i: f"{template} {text_of(rnd.randrange(60, 120))}" for i in range(60)}
+    texts |= {100 + i: near(texts[i], 0.02) for i in range(20)}
+    texts |= {200 + i: texts[3].upper() + "!" for i in range(50)} | {300: template, 301: template}
+    want = slow_groups(texts)
+    for many in (64, 0):
+        monkeypatch.setattr(superminhash, "MANY_PAIRS", many)
+        got = {r.doc_id: r for r in superminhash.near_groups(docs_of(list(texts.items()))).collect()}
+        assert {i: r.group_id for i, r in got.items()} == want
+        assert got[200].n_links == got[3].n_links >= 1 and got[301].n_links == got[300].n_links
+
+
 def test_near_duplicates_of_a_table(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = slow_groups({r.doc_id: r.text for r in documents.collect()})
