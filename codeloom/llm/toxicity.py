@@ -2,10 +2,14 @@
 
 Terms are words and their stems (the first letters), all that the labelled examples have.  A term's weight is
 its inverse document frequency over all documents times what it tells of the label among the examples: a power
-of df x KL divergence, a smooth weight without a threshold or a bound on the number of terms.  Terms that many examples
-have are a dense matrix, the others an inverted index; the sums in single precision have a known relative
-error, and all examples that may belong to the k nearest by it are scored again in double precision, so the
-k nearest are exact.  Votes fall off with distance; isotonic regression over leave-one-out votes of the
+of df x KL divergence, a smooth weight without a threshold or a bound on the number of terms.
+
+Examples that are alike stand in blocks of BLOCK.  The inverted index has, for each term, its postings, and for
+terms of many examples the greatest value in each block as well.  A query adds up the postings of its rare
+terms; with the block maxima of the others that bounds what any example of a block can reach.  The blocks of
+the greatest bounds are scored first, and of the others only those whose bound reaches the k-th best score so
+far.  Sums in single precision have a known relative error, and all examples that may belong to the k nearest
+by it are scored again in double precision, so the k nearest are exact; ties go to the least id.  Votes fall off with distance; isotonic regression over leave-one-out votes of the
 examples turns them into calibrated probabilities.
 """
 
@@ -31,8 +35,8 @@ MAX_EXAMPLES = 20_000
 STEM, NEIGHBOURS, BANDWIDTH = 4, 15, 0.1
 #: The power of what a term tells of the label in its weight.
 SHARPNESS = 1.25
-#: Texts scored at once, and the share of examples over which a term is part of the dense matrix.
-BATCH, DENSE = 128, 0.02
+#: Texts scored at once; examples of a block; the share of examples over which a term has block maxima; blocks scored first.
+BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.02, 4
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
 _words = re.compile(r"\w+").findall
@@ -71,25 +75,27 @@ class Index:
     @cached_property
     def values(self) -> np.ndarray:
         """Weights of the examples' terms, each example of length 1."""
-        x = (1 + np.log(self.counts)) * self.weight[self.terms]
+        x = (1 + np.log(self.counts.astype(np.float64))) * self.weight[self.terms]
         sizes = np.diff(self.starts)
         return x / np.repeat(np.sqrt(np.add.reduceat(x * x, self.starts[:-1])), sizes) if len(x) else x
 
     @cached_property
-    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row of each term in the dense matrix or -1, the matrix; postings of other terms: starts, examples, values."""
+    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each term that has block maxima or -1; values of these terms by block, their maxima by block; postings
+        of the other terms: starts, examples, values."""
         n, df = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
-        common = np.flatnonzero(df > max(BATCH, DENSE * n))
+        common = np.flatnonzero(df > max(BLOCK, DENSE * n))
         row = np.full(len(self.weight), -1, dtype=np.int32)
         row[common] = np.arange(len(common))
         owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
         at = row[self.terms]
-        matrix = np.zeros((len(common), n), dtype=np.float32)
-        matrix[at[at >= 0], owner[at >= 0]] = self.values[at >= 0]
-        rare = np.flatnonzero(at < 0)
+        of = at >= 0
+        blocks = np.zeros((-(-n // BLOCK), len(common), BLOCK), dtype=np.float32)
+        blocks[owner[of] // BLOCK, at[of], owner[of] % BLOCK] = self.values[of]
+        rare = np.flatnonzero(~of)
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
         starts = np.concatenate([[0], np.cumsum(np.where(row < 0, df, 0))])
-        return row, matrix, starts, owner[rare], self.values[rare].astype(np.float32)
+        return row, blocks, np.ascontiguousarray(blocks.max(axis=2, initial=0).T), starts, owner[rare], self.values[rare].astype(np.float32)
 
     @cached_property
     def place(self) -> dict[int, int]:
@@ -115,29 +121,44 @@ class Index:
         n = len(self.ids)
         if not n:
             return [[] for _ in vectors]
-        row, matrix, starts, owner, values = self.by_term
+        row, blocks, most, starts, owner, values = self.by_term
         # All weights are positive, so the error of a sum is relative.
-        error = (len(matrix) + 2 * BATCH) * 2.0**-22
+        error = (len(most) + 2 * BATCH) * 2.0**-22
         out = []
         for first in range(0, len(vectors), BATCH):
             part = vectors[first : first + BATCH]
-            dense = np.zeros((len(part), len(matrix)), dtype=np.float32)
+            query = np.zeros((len(part), len(most)), dtype=np.float32)
+            sums = np.zeros((len(part), len(blocks) * BLOCK), dtype=np.float32)  # of rare terms
             for i, (at, w) in enumerate(part):
                 r = row[at]
-                dense[i, r[r >= 0]] = w[r >= 0]
-            sums = dense @ matrix
-            for s, (at, w), but in zip(sums, part, buts[first : first + BATCH]):
-                if not len(at):
-                    out.append([])
-                    continue
-                rare = row[at] < 0
+                query[i, r[r >= 0]] = w[r >= 0]
+                rare = r < 0
                 begin, sizes = starts[at[rare]], starts[at[rare] + 1] - starts[at[rare]]
                 which = _ranges(begin, sizes)
-                s = s + np.bincount(owner[which], np.repeat(w[rare], sizes) * values[which], n)
-                if but in self.place:
-                    s[self.place[but]] = 0
-                least = np.partition(s, n - k)[n - k] if n > k else 0.0
-                maybe = np.flatnonzero((s > 0) & (s >= least * (1 - error)))
+                sums[i, :n] = np.bincount(owner[which], np.repeat(w[rare], sizes) * values[which], n)
+            bound = sums.reshape(len(part), -1, BLOCK).max(axis=2) + query @ most
+            scored = np.zeros_like(sums)
+            done = np.zeros(bound.shape, dtype=bool)
+
+            def score(wanted: np.ndarray) -> None:
+                for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                    who, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                    scored[who, cols] = sums[who, cols] + query[who] @ blocks[b]
+                for i, but in enumerate(buts[first : first + BATCH]):
+                    if but in self.place:
+                        scored[i, self.place[but]] = 0
+                np.logical_or(done, wanted, out=done)
+
+            def least() -> np.ndarray:
+                return np.partition(scored, scored.shape[1] - k, axis=1)[:, scored.shape[1] - k] if scored.shape[1] > k else np.zeros(len(part), dtype=np.float32)
+
+            seeds = np.zeros_like(done)
+            np.put_along_axis(seeds, np.argpartition(-bound, min(SEEDS, bound.shape[1]) - 1, axis=1)[:, :SEEDS], True, axis=1)
+            score(seeds & (bound > 0))
+            score(~done & (bound > 0) & (bound >= (least() * (1 - 2 * error))[:, None]))
+            floor = least()
+            for i, (at, w) in enumerate(part):
+                maybe = np.flatnonzero((scored[i] > 0) & (scored[i] >= floor[i] * (1 - error)))
                 if not len(maybe):
                     out.append([])
                     continue
@@ -185,14 +206,26 @@ def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def assembled(names: list[str], weight: np.ndarray, ids, labels, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
-    """An index without calibration. Examples without a term of some weight make its base; terms without one go."""
+    """An index without calibration. Examples without a term of some weight make its base; terms without one go.
+
+    Examples of one label whose heaviest terms are the same stand together, so that blocks have small maxima.
+    """
     owner = np.repeat(np.arange(len(ids)), np.diff(starts))
     use = weight[terms] > 0
     owner, terms, counts = owner[use], terms[use].astype(np.int32), counts[use]
+    ids, labels = np.asarray(ids, dtype=np.int64), np.asarray(labels, dtype=np.int8)
+    heavy = np.lexsort((-weight[terms], owner))
+    begin = np.searchsorted(owner[heavy], np.arange(len(ids)))
+    tops = [np.where((at := begin + d) < np.append(begin[1:], len(heavy)), terms[heavy[np.minimum(at, max(0, len(heavy) - 1))]] if len(heavy) else 0, -1) for d in range(3)]
+    order = np.lexsort((ids, *tops[::-1], labels))
+    new = np.empty(len(ids), dtype=np.int64)
+    new[order] = np.arange(len(ids))
+    by = np.lexsort((terms, new[owner]))
+    owner, terms, counts, ids, labels = new[owner][by], terms[by], counts[by], ids[order], labels[order]
     sizes = np.bincount(owner, minlength=len(ids)).astype(np.int64)
-    full, labels = sizes > 0, np.asarray(labels, dtype=np.int8)
+    full = sizes > 0
     small = counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
-    index = Index({t: i for i, t in enumerate(names)}, weight, np.asarray(ids, dtype=np.int64)[full], labels[full], np.concatenate([[0], np.cumsum(sizes[full])]), terms, small)
+    index = Index({t: i for i, t in enumerate(names)}, weight, ids[full], labels[full], np.concatenate([[0], np.cumsum(sizes[full])]), terms, small)
     blank = labels[~full]
     index.base = (float(blank.sum()) + 0.5) / (len(blank) + 1) if len(blank) else 0.0
     return index
@@ -208,8 +241,9 @@ def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n
     weight = inverse_frequency(np.array([df[t] for t in names], dtype=np.float64), n_docs)
     index = assembled(names, weight, [i for i, _, _ in examples], [y for _, y, _ in examples], starts, flat[:, 0], flat[:, 1])
     vectors = [v for _, _, c in examples if len((v := index.vector(c))[0])]
-    near = index.nearest_of(vectors, k, index.ids.tolist())
-    index.steps = isotonic([(votes_of(x, bandwidth), int(y)) for x, y in zip(near, index.labels)])
+    own = {i: y for i, y, _ in examples}
+    near = index.nearest_of(vectors, k, [i for i, _, c in examples if len(index.vector(c)[0])])
+    index.steps = isotonic([(votes_of(x, bandwidth), own[i]) for x, i in zip(near, [i for i, _, c in examples if len(index.vector(c)[0])])])
     return index
 
 

@@ -1,7 +1,16 @@
 """Cases that were cut off before: each failed when an operator did less than its whole job."""
 
+import math
+import re
+import time
+from collections import Counter
+
+import pytest
+
 from codeloom.llm import decontamination, superminhash, toxicity
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_toxicity_in_each_language_and_few_labels(spark, docs_of):
     for sf, least in (("sf0.001", 0.8), ("sf0.01", 0.6)):
@@ -19,6 +28,59 @@ def test_toxicity_in_each_language_and_few_labels(spark, docs_of):
         assert all(r.toxic and r.evidence[0].cosine > 1 - 1e-9 for r in again)
 
 
+def test_toxicity_against_brute_force(spark):
+    """Every document of a table against every example, with weights and votes from their definition."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    counts = {}
+    for i, text in rows.items():
+        words = re.findall(r"\w+", text.lower())
+        counts[i] = Counter(words) + Counter(w[:4] + "*" for w in words if len(w) > 4)
+    examples = [i for i in labels if i in rows]
+    share = sum(labels[i] for i in examples) / len(examples)
+    own = Counter(t for i in examples for t in counts[i])
+    toxic = Counter(t for i in examples if labels[i] for t in counts[i])
+    weight = {}
+    for t, n in own.items():
+        p = toxic[t] / n
+        kl = (p * math.log(p / share) if p else 0) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)
+        df = sum(t in c for c in counts.values())
+        weight[t] = (math.log((1 + len(rows)) / (1 + df)) + 1) * max(0.0, n * kl) ** 1.25
+
+    def unit(i):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in counts[i].items() if weight.get(t, 0) > 0}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    units, votes, near = {i: unit(i) for i in rows}, {}, {}
+    for i, q in units.items():
+        cosines = ((sum(x * units[j].get(t, 0) for t, x in q.items()), j) for j in examples if j != i)
+        near[i] = sorted(((c, j) for c, j in cosines if c > 1e-13), key=lambda x: (-round(x[0], 12), x[1]))[:15]
+        w = [math.exp((c - 1) / 0.1) for c, _ in near[i]]
+        votes[i] = sum(x for x, (_, j) in zip(w, near[i]) if labels[j]) / (sum(w) + math.exp(-10))
+    steps = toxicity.isotonic([(votes[i], labels[i]) for i in examples if units[i]])
+    got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, SF).collect()}
+    assert set(got) == set(rows)
+    for i, r in got.items():
+        if not units[i]:
+            continue
+        assert [e.cosine for e in r.evidence] == pytest.approx([c for c, _ in near[i]], abs=1e-6) and abs(r.votes - votes[i]) < 1e-6
+        last = near[i][-1][0] if len(near[i]) == 15 else 0.0
+        assert {e.example_id for e in r.evidence if e.cosine > last + 1e-6} == {j for c, j in near[i] if c > last + 1e-6}
+        assert r.toxic == (r.score >= 0.5) and any(abs(r.score - p) < 1e-9 for _, p in [*steps, (0, 0.0)])
+
+
+def test_long_text_and_ties(docs_of, spark):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    docs = docs_of([(i, "foul words here" if i % 4 == 0 else "kind words here") for i in range(80)] + [(900, " ".join(f"w{k}" for k in range(200_000)) + " foul"), (901, "foul words")])
+    index = toxicity.fit(docs, labels)
+    began = time.time()
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    assert time.time() - began < 60 and got[901].toxic and got[900].toxic and not got[1].toxic
+    # Of examples at one distance those with the least ids count.
+    assert [e.example_id for e in got[901].evidence] == [4 * k for k in range(15)]
+
+
 def test_decontamination_in_parts(spark, docs_of, monkeypatch):
     w = [f"b{i}" for i in range(60)]
     own = [f"o{i}" for i in range(20)]
