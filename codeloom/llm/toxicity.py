@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their stems (the first letters), all that the labelled examples have.  A term's weight is
+Terms are words and their stems (the first letters), all that the labelled examples have, known by 64-bit
+hashes: a slice of documents is counted as arrays, without a Python object a word.  A term's weight is
 its inverse document frequency over all documents times what it tells of the label among the examples: a power
 of df x KL divergence, a smooth weight without a threshold or a bound on the number of terms.
 
@@ -17,17 +18,16 @@ from __future__ import annotations
 
 import math
 import pickle
-import re
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import vectext
 from .shared import BROADCAST_BYTES, once, send, tune, written
 
 #: The classifier is fitted on at most so many labelled documents (those whose id hashes lowest).
@@ -39,18 +39,47 @@ SHARPNESS = 1.25
 BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.02, 4
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
-_words = re.compile(r"\w+").findall
+_STEM = np.uint64(0x51ED270B7F4A7C15)
 
 
-def terms_of(text: str) -> Counter:
-    """Counts of all words of a text and their stems."""
-    found = Counter(_words(text.lower()))
-    stems: Counter = Counter()
-    for w, n in found.items():
-        if len(w) > STEM:
-            stems[w[:STEM] + "*"] += n
-    found.update(stems)
-    return found
+def _spaced(column: pa.Array) -> pa.Array:
+    """Lower case, with a space for whatever is neither letter nor digit."""
+    low = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    return pc.replace_substring_regex(low, r"[^\pL\pN_]+", " ")
+
+
+def _terms(column: pa.Array):
+    """(first, last, document of each occurrence, its term) of slices of a column: words, and stems of those over STEM letters."""
+    offsets, raw = vectext.strings(_spaced(column))
+    for first, last in vectext.slices(offsets):
+        words = vectext.Words(offsets, raw, first, last, vectext.SOLID)
+        b = raw[offsets[first] : offsets[last]]
+        letter = np.flatnonzero((b & 0xC0) != 0x80)  # where characters begin
+        at = np.searchsorted(letter, words.begin)
+        long = np.flatnonzero(np.searchsorted(letter, words.end) - at > STEM)
+        stems = vectext.mix(words.hash_between(words.begin[long], letter[at[long] + STEM]) + _STEM)
+        docs = np.repeat(np.arange(last - first), np.diff(words.starts))
+        yield first, last, np.concatenate([docs, docs[long]]), np.concatenate([words.hash, stems])
+
+
+def _distinct(docs: np.ndarray, terms: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each pair, in order; terms as numbers in vocabulary, others left out, where it is given."""
+    seen, which = np.unique(terms, return_inverse=True)
+    if vocabulary is not None:
+        at = np.minimum(np.searchsorted(vocabulary, seen), max(0, len(vocabulary) - 1))
+        known = vocabulary[at] == seen if len(vocabulary) else np.zeros(len(seen), dtype=bool)
+        use = known[which]
+        docs, which = docs[use], which[use]
+    pairs, n = np.unique(docs.astype(np.int64) * len(seen) + which, return_counts=True)
+    docs, which = np.divmod(pairs, max(1, len(seen)))
+    return docs, (seen if vocabulary is None else at)[which], n
+
+
+def term_hashes(names: list[str]) -> np.ndarray:
+    """Terms of single words; those that end in * are stems."""
+    offsets, raw = vectext.strings(pa.array([n.rstrip("*") for n in names], pa.large_string()))
+    words = vectext.Words(offsets, raw, 0, len(names), np.ones(256, dtype=bool))
+    return np.where(np.array([n.endswith("*") for n in names], dtype=bool), vectext.mix(words.hash + _STEM), words.hash)
 
 
 def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -62,7 +91,7 @@ def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Index:
     """Unit vectors of the examples, by example and by term."""
 
-    number: dict[str, int]
+    vocabulary: np.ndarray  # hashes in order
     weight: np.ndarray  # of each term
     ids: np.ndarray
     labels: np.ndarray
@@ -107,12 +136,26 @@ class Index:
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers in order and weights of length 1; none where no term has a weight."""
-        known = sorted((self.number[t], n) for t, n in counts.items() if t in self.number)
-        at, n = np.array([t for t, _ in known], dtype=np.int64), np.array([n for _, n in known], dtype=np.float64)
-        w = (1 + np.log(n)) * self.weight[at]
+        h = term_hashes(list(counts))
+        at = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
+        known = np.flatnonzero(self.vocabulary[at] == h) if len(self.vocabulary) else np.zeros(0, dtype=np.int64)
+        known = known[np.argsort(at[known])]
+        return self._unit(at[known], np.array(list(counts.values()), dtype=np.int64)[known])
+
+    def _unit(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n.astype(np.float64))) * self.weight[at]
         at, w = at[w > 0], w[w > 0]
         return at, w / math.sqrt(w @ w) if len(w) else w
 
+    def vectors(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """vector() of each text."""
+        out = []
+        for first, last, docs, terms in _terms(column):
+            docs, terms, n = _distinct(docs, terms, self.vocabulary)
+            bounds = np.searchsorted(docs, np.arange(last - first + 1)).tolist()
+            out += [self._unit(terms[a:b], n[a:b]) for a, b in zip(bounds, bounds[1:])]
+        return out
+
     def nearest(self, v: tuple[np.ndarray, np.ndarray], k: int, but: int | None = None) -> list[tuple[float, int, int]]:
         """The k best (cosine, id, label) with cosine over 0, ties by id; but is an id to leave out."""
         return self.nearest_of([v], k, [but])[0]
@@ -140,7 +183,7 @@ class Index:
             scored = np.zeros_like(sums)
             done = np.zeros(bound.shape, dtype=bool)
 
-            def score(wanted: np.ndarray) -> None:
+            def reach(wanted: np.ndarray) -> None:
                 for b in np.flatnonzero(wanted.any(axis=0)).tolist():
                     who, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
                     scored[who, cols] = sums[who, cols] + query[who] @ blocks[b]
@@ -154,8 +197,8 @@ class Index:
 
             seeds = np.zeros_like(done)
             np.put_along_axis(seeds, np.argpartition(-bound, min(SEEDS, bound.shape[1]) - 1, axis=1)[:, :SEEDS], True, axis=1)
-            score(seeds & (bound > 0))
-            score(~done & (bound > 0) & (bound >= (least() * (1 - 2 * error))[:, None]))
+            reach(seeds & (bound > 0))
+            reach(~done & (bound > 0) & (bound >= (least() * (1 - 2 * error))[:, None]))
             floor = least()
             for i, (at, w) in enumerate(part):
                 maybe = np.flatnonzero((scored[i] > 0) & (scored[i] >= floor[i] * (1 - error)))
@@ -205,7 +248,7 @@ def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log((1 + n_docs) / (1 + df)) + 1
 
 
-def assembled(names: list[str], weight: np.ndarray, ids, labels, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
+def assembled(vocabulary: np.ndarray, weight: np.ndarray, ids, labels, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
     """An index without calibration. Examples without a term of some weight make its base; terms without one go.
 
     Examples of one label whose heaviest terms are the same stand together, so that blocks have small maxima.
@@ -225,7 +268,7 @@ def assembled(names: list[str], weight: np.ndarray, ids, labels, starts: np.ndar
     sizes = np.bincount(owner, minlength=len(ids)).astype(np.int64)
     full = sizes > 0
     small = counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
-    index = Index({t: i for i, t in enumerate(names)}, weight, ids[full], labels[full], np.concatenate([[0], np.cumsum(sizes[full])]), terms, small)
+    index = Index(vocabulary, weight, ids[full], labels[full], np.concatenate([[0], np.cumsum(sizes[full])]), terms, small)
     blank = labels[~full]
     index.base = (float(blank.sum()) + 0.5) / (len(blank) + 1) if len(blank) else 0.0
     return index
@@ -233,13 +276,16 @@ def assembled(names: list[str], weight: np.ndarray, ids, labels, starts: np.ndar
 
 def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
     """The index over examples (id, label, term counts) by inverse document frequency alone, calibrated by leaving one out."""
-    names = sorted(df)
+    names = list(df)
+    hashes = term_hashes(names)
+    order = np.argsort(hashes)
+    names = [names[i] for i in order]
     number = {t: i for i, t in enumerate(names)}
     rows = [sorted((number[t], n) for t, n in c.items() if t in number) for _, _, c in examples]
     flat = np.array([x for r in rows for x in r], dtype=np.int64).reshape(-1, 2)
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     weight = inverse_frequency(np.array([df[t] for t in names], dtype=np.float64), n_docs)
-    index = assembled(names, weight, [i for i, _, _ in examples], [y for _, y, _ in examples], starts, flat[:, 0], flat[:, 1])
+    index = assembled(hashes[order], weight, [i for i, _, _ in examples], [y for _, y, _ in examples], starts, flat[:, 0], flat[:, 1])
     vectors = [v for _, _, c in examples if len((v := index.vector(c))[0])]
     own = {i: y for i, y, _ in examples}
     near = index.nearest_of(vectors, k, [i for i, _, c in examples if len(index.vector(c)[0])])
@@ -247,35 +293,36 @@ def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n
     return index
 
 
-def _partial_counts(vocabulary):
-    """A stage that counts, over its batches, documents by term; all terms where vocabulary is None. The 2nd column is a label or 0."""
+def _example_counts(batches):
+    """term, a, n: examples, toxic and all, by term, of each slice. Columns: text, label."""
+    for batch in batches:
+        y = batch.column(1).to_numpy(zero_copy_only=False)
+        for first, _, docs, terms in _terms(batch.column(0)):
+            docs, terms, _ = _distinct(docs, terms, None)
+            if len(terms):
+                seen, which = np.unique(terms, return_inverse=True)
+                toxic = np.bincount(which, y[first + docs] > 0)
+                yield pa.RecordBatch.from_arrays([vectext.long_array(seen), pa.array(toxic.astype(np.int64)), pa.array(np.bincount(which))], names=["term", "a", "n"])
+
+
+def _document_counts(vocabulary: list):
+    """A stage that gives term (its number), n: how many of a task's texts have each known term."""
 
     def stage(batches):
-        total: Counter = Counter()
+        known, total = _received(vocabulary), None
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                found = set(_words(text.lower()))
-                found |= {w[:STEM] + "*" for w in found if len(w) > STEM}
-                if vocabulary is not None:
-                    number = _received(vocabulary, _numbered)
-                    found = {t for t in found if t in number}
-                for t in found:
-                    total[t, y] += 1
-                if len(total) > 300_000:
-                    yield _counted(total)
-                    total.clear()
-        if total:
-            yield _counted(total)
+            total = np.zeros(len(known), dtype=np.int64) if total is None else total
+            for _, _, docs, terms in _terms(batch.column(0)):
+                total += np.bincount(_distinct(docs, terms, known)[1], minlength=len(known))
+        if total is not None:
+            at = np.flatnonzero(total)
+            for k in range(0, len(at), 1 << 16):
+                part = at[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["term", "n"])
 
     return stage
 
 
-def _numbered(names: str) -> dict[str, int]:
-    return {t: i for i, t in enumerate(names.split("\n"))}
-
-
 def _sent(spark: SparkSession, value) -> list:
     """Broadcasts of value's bytes, in parts within the broadcast bound."""
     data = pickle.dumps(value, protocol=5)
@@ -287,10 +334,6 @@ def _received(parts: list, make=lambda x: x):
     return once(parts[0], lambda first: make(pickle.loads(b"".join([first, *(p.value[1] for p in parts[1:])]))))
 
 
-def _counted(total: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "y", "n"])
-
-
 def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
     """Fits on labelled documents; labels with a null are left out, of labels that differ the toxic one holds.
 
@@ -306,25 +349,28 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     n, pos = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < pos < n:
         return build([], {}, 0)
-    counts = examples.select("text", "y").mapInArrow(_partial_counts(None), "term string, y int, n long")
-    counts = written(counts.groupBy("term").agg(F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("df")), "toxicity-terms")
-    found = counts.toArrow().sort_by("term")
-    names = found["term"].to_pylist()
-    vocabulary = _sent(spark, "\n".join(names))
-    every = texts.select("text", F.lit(0).alias("y")).mapInArrow(_partial_counts(vocabulary), "term string, y int, n long")
-    df = every.groupBy("term").agg(F.sum("n").alias("n")).toArrow().sort_by("term")["n"].to_numpy()
-    rows = _vectors(examples, vocabulary).toArrow().sort_by("doc_id").combine_chunks()
-    sizes = pa.compute.list_value_length(rows["terms"]).to_numpy()
-    terms, tf = (pa.compute.list_flatten(rows[c]).to_numpy() for c in ("terms", "counts"))
+    counts = examples.select("text", "y").mapInArrow(_example_counts, "term long, a long, n long")
+    counts = counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("df")).toArrow()
+    hashes = counts["term"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    known, toxic, size = hashes[order], counts["a"].to_numpy()[order], counts["df"].to_numpy()[order]
+    del counts, hashes, order
+    vocabulary = _sent(spark, known)
+    every = texts.select("text").mapInArrow(_document_counts(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(known), dtype=np.int64)
+    df[every["term"].to_numpy()] = every["n"].to_numpy()
+    del every
+    rows = _vectors(examples, vocabulary).toArrow().combine_chunks()
+    sizes = pc.list_value_length(rows["terms"]).to_numpy()
+    terms, tf = (pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "counts"))
     # df x KL divergence bounds the logarithm of the chance to see such a share at random.
-    size = found["df"].to_numpy()
-    share, p = found["a"].to_numpy() / size, pos / n
+    share, p = toxic / size, pos / n
 
     def part(x: np.ndarray, y: float) -> np.ndarray:
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / y), 0.0)
 
     gain = size * np.maximum(part(share, p) + part(1 - share, 1 - p), 0.0)
-    index = assembled(names, inverse_frequency(df, texts.count()) * gain**SHARPNESS, rows["doc_id"].to_numpy(), rows["y"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms, tf)
+    index = assembled(known, inverse_frequency(df, texts.count()) * gain**SHARPNESS, rows["doc_id"].to_numpy(), rows["y"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms, tf)
     # Leave-one-out votes: an example never votes on itself.
     own = dict(zip(index.ids.tolist(), index.labels.tolist()))
     votes = score(examples, index, k, bandwidth).select("doc_id", "votes").toArrow()
@@ -332,34 +378,35 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return index
 
 
-def _vectors(examples: DataFrame, vocabulary) -> DataFrame:
+def _vectors(examples: DataFrame, vocabulary: list) -> DataFrame:
     """doc_id, y, terms (their numbers, in order), counts of the examples; at most max_examples rows."""
 
     def stage(batches):
         for batch in batches:
-            number = _received(vocabulary, _numbered)
-            found = [sorted((number[t], n) for t, n in terms_of(t or "").items()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1))], names=["doc_id", "y", "terms", "counts"])
+            known = _received(vocabulary)
+            for first, last, docs, terms in _terms(batch.column(2)):
+                docs, terms, n = _distinct(docs, terms, known)
+                bounds = pa.array(np.searchsorted(docs, np.arange(last - first + 1)).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (terms, n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), *lists], names=["doc_id", "y", "terms", "counts"])
 
     return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms array<int>, counts array<int>")
 
 
 def _packed(index: Index) -> tuple:
-    return "\n".join(index.number), index.weight, index.ids, index.labels, index.starts, index.terms, index.counts, index.steps, index.base
+    return index.vocabulary, index.weight, index.ids, index.labels, index.starts, index.terms, index.counts, index.steps, index.base
 
 
 def _unpacked(packed: tuple) -> Index:
-    return Index(_numbered(packed[0]) if len(packed[1]) else {}, *packed[1:])
+    return Index(*packed)
 
 
-def judged(index: Index, texts: list, ids: list, k: int, bandwidth: float) -> list[tuple[float, float, list]]:
+def judged(index: Index, texts: pa.Array, ids: list, k: int, bandwidth: float) -> list[tuple[float, float, list]]:
     """(votes, probability, neighbours) of each text."""
-    out = []
-    for first in range(0, len(texts), BATCH):
-        vectors = [index.vector(terms_of(t) if t else {}) for t in texts[first : first + BATCH]]
-        for (at, _), near in zip(vectors, index.nearest_of(vectors, k, ids[first : first + BATCH])):
-            votes = votes_of(near, bandwidth)
-            out.append((votes, index.probability(votes), near) if len(at) else (0.0, index.base, []))
+    out, vectors = [], index.vectors(texts)
+    for (at, _), near in zip(vectors, index.nearest_of(vectors, k, ids)):
+        votes = votes_of(near, bandwidth)
+        out.append((votes, index.probability(votes), near) if len(at) else (0.0, index.base, []))
     return out
 
 
@@ -376,7 +423,7 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: fl
         for batch in batches:
             model = _received(sent, _unpacked)
             ids = batch.column(0).to_pylist()
-            found = judged(model, batch.column(1).to_pylist(), ids, k, bandwidth)
+            found = judged(model, batch.column(1), ids, k, bandwidth)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -392,7 +439,7 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: fl
 
 
 def without_toxic(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text isn't judged toxic, with all their columns."""
+    """The rows whose text isn't judged toxic, with all their columns; null and empty texts are judged as score() says."""
     tune(documents.sparkSession)
     sent = _sent(documents.sparkSession, _packed(index))
     at = [documents.columns.index(c) for c in ("doc_id", "text")]
@@ -400,8 +447,8 @@ def without_toxic(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandw
     def stage(batches):
         for batch in batches:
             model = _received(sent, _unpacked)
-            ids, texts = (batch.column(i).to_pylist() for i in at)
-            keep = [p < threshold for _, p, _ in judged(model, texts, ids, k, bandwidth)]
+            ids = batch.column(at[0]).cast(pa.int64(), safe=False).to_pylist()
+            keep = [p < threshold for _, p, _ in judged(model, batch.column(at[1]), ids, k, bandwidth)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(stage, documents.schema)

@@ -117,9 +117,14 @@ class Words:
         power, inverse = _powers_to(len(b) + 1)
         total = np.zeros(len(b) + 1, dtype=np.uint64)
         np.cumsum(_SYMBOL[b] * power[: len(b)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.begin]) * inverse[self.begin])
+        self._total, self._inverse = total, inverse
+        self.hash = self.hash_between(self.begin, self.end)
         self.starts = np.searchsorted(self.begin, self.bounds)  # of each document, in words
 
+    def hash_between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of bytes begin[i]..end[i]."""
+        return mix((self._total[end] - self._total[begin]) * self._inverse[begin])
+
     def all_grams(self, n: int, salt: int = 0) -> np.ndarray:
         """Hash of the n words from each position on, over the bounds of documents too."""
         h = mix(self.hash + np.uint64(salt)) if salt else self.hash
