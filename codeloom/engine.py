@@ -122,11 +122,11 @@ class Repository:
         return rank.top_ranked(self.ranks, k)
 
     def _query(self, text: str) -> DataFrame:
-        return self.files.sparkSession.createDataFrame([(self.embedder([text])[0],)], "embedding array<float>")
+        return self.files.sparkSession.createDataFrame([(0, self.embedder([text])[0])], "query_id int, embedding array<float>")
 
     def relevant(self, query: str, n: int = 10) -> DataFrame:
-        scored = search.file_scores(self.chunk_embeddings, self._query(query)).join(self.files.select("path", "content"), "path")
-        return search.reranked(scored, self.ranks, n, keep=~search.is_trivial_init(F.col("path"), F.col("content")))
+        found = search.candidates(self.chunk_embeddings, self._query(query), n).join(self.files.select("path", "content"), "path")
+        return search.reranked(found, self.ranks, n, keep=~search.is_trivial_init(F.col("path"), F.col("content"))).drop("query_id").orderBy(F.desc("score"), "path")
 
     def context(self, query: str, model: str = "", budget: int | None = None, explicit: tuple[str, ...] = ()) -> str:
         if budget is None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import small
 from . import rank, search
+from .folds import folded
 
 UTILIZATION, DEFAULT_WINDOW = 0.6, 100_000
 MAX_OUTPUT = 60_000
@@ -59,19 +62,30 @@ def adaptive_parameters(counts: DataFrame) -> DataFrame:
 def first_fit(items: DataFrame, budget: int, group: str = "grp", order: str = "ord", size: str = "tokens") -> DataFrame:
     """The items of each group that fit when taken in order: one too large is left out and the next one tried.
 
-    A fold over each group's sorted sizes inside the JVM; running sums can't say this, as what is skipped
-    doesn't count.  Blank items (size 0 or less) are left out.
+    Blank items (size 0 or less) are left out.  Of one size at most budget / size items ever fit, and only the
+    first ones in order: each task keeps those alone before anything is sent, so a group that folds() walks
+    through has at most budget x ln(budget) rows of each task, however large it is.
     """
-    listed = items.filter(F.col(size) > 0).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(size).cast("long").alias("size")))).alias("list"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<ord:{dict(items.dtypes)[order]},used:bigint>>").alias("taken"))
+    kinds = dict(items.dtypes)
+    rows = items.select(group, order, F.col(size).cast("long").alias("size")).filter(F.col("size").between(1, budget))
 
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["used"] + x["size"]
-        fits = total <= budget
-        return F.struct(F.when(fits, total).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(F.struct(x["ord"].alias("ord"), total.alias("used"))))).otherwise(acc["taken"]).alias("taken"))
+    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                n = n + 1 if key == last else 1
+                last = key
+                keep.append(n * key[1] <= budget)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    taken = listed.select(group, F.explode(F.aggregate("list", start, step)["taken"]).alias("t"))
-    return taken.select(group, F.col("t.ord").alias(order), F.col("t.used").alias("used"))
+    few = rows.sortWithinPartitions(group, "size", order).mapInArrow(first_ones, rows.schema)
+
+    def step(used: int, row: tuple) -> tuple[int, tuple | None]:
+        total = used + row[2]
+        return (total, (row[0], row[1], total)) if total <= budget else (used, None)
+
+    return folded(few, [group], [order], int, step, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, used long")
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -83,6 +97,17 @@ def truncated(text: Column, limit: int = MAX_OUTPUT) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit(CUT_MARK)))
 
 
+def within_tokens(text: str, limit: int, count_tokens: Callable[[str], int]) -> str:
+    """text, or the longest beginning that has limit tokens with the mark of a cut behind it; nothing where not even that fits."""
+    if count_tokens(text) <= limit:
+        return text
+    low, high = 0, len(text)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if count_tokens(text[:middle] + CUT_MARK) <= limit else (low, middle - 1)
+    return text[:low] + CUT_MARK if low else ""
+
+
 @dataclass
 class Packer:
     """Assembles a context. files: path, skeleton, content; the other relations as in the modules beside."""
@@ -100,7 +125,7 @@ class Packer:
             return "", set()
         spark = self.files.sparkSession
         order = spark.createDataFrame([(p, i) for i, p in enumerate(wanted)], "path string, ord int")
-        texts = {r.path: r.skeleton for r in self.files.join(F.broadcast(order), "path").select("path", "skeleton").collect()}
+        texts = {r.path: r.skeleton for r in self.files.join(small(order), "path").select("path", "skeleton").collect()}
         out, used, taken = [], 0, set()
         for p in wanted:
             if used >= budget:
@@ -122,7 +147,7 @@ class Packer:
         spark = self.files.sparkSession
         near = rank.neighborhood(self.edges, spark.createDataFrame([(s,) for s in set(seeds)], "path string"), hops)
         if done:
-            near = near.join(F.broadcast(spark.createDataFrame([(d,) for d in done], "path string")), "path", "left_anti")
+            near = near.join(small(spark.createDataFrame([(d,) for d in done], "path string")), "path", "left_anti")
         return [r.path for r in rank.decayed(near, limit).collect()]
 
     def context(self, query: DataFrame, budget: int, map_text: str, explicit: tuple[str, ...] = ()) -> str:
@@ -130,7 +155,8 @@ class Packer:
         spark = self.files.sparkSession
         counts = spark.createDataFrame([(self.files.count(), self.edges.count(), budget, self.count_tokens(map_text))], "n_nodes long, n_edges long, budget long, map_tokens long")
         p = adaptive_parameters(counts).first()
-        parts, done, left = [("REPOSITORY_MAP", map_text)], set(), p.content_tokens
+        # The map has its share of the budget and no more.
+        parts, done, left = [("REPOSITORY_MAP", within_tokens(map_text, p.map_tokens, self.count_tokens))], set(), p.content_tokens
 
         def add(label: str, paths: list[str]) -> None:
             nonlocal left
@@ -141,18 +167,18 @@ class Packer:
                 left -= self.count_tokens(text)
 
         add("EXPLICIT_FILES", list(explicit))
-        scored = search.file_scores(self.chunk_embeddings, query)
-        anchors = [r.path for r in search.reranked(scored, self.ranks, p.anchors, over=lambda n: 3 * n).collect()]
+        found = search.candidates(self.chunk_embeddings, query, p.anchors, lambda n: 3 * n)
+        anchors = [r.path for r in search.reranked(found, self.ranks, p.anchors).orderBy(F.desc("score"), "path").collect()]
         add("ANCHOR_FILES", anchors)
         near = self._near([*explicit, *anchors], done, p.hops, p.neighborhood_files)
         add("NEIGHBORHOOD_FILES", near)
         more = self._near([*explicit, *anchors, *near], done, 1, 100)
         if len(more) < 20:
-            more += [r.path for r in search.relevant(self.chunk_embeddings, query, 50).collect() if r.path not in more and r.path not in done]
+            more += [r.path for r in search.relevant(self.chunk_embeddings, query, 50).orderBy(F.desc("similarity"), "path").collect() if r.path not in more and r.path not in done]
         if len(more) < 20:
             more += [r.path for r in rank.top_ranked(self.ranks, 100).collect() if r.path not in more and r.path not in done]
         if more:
-            quiet = self.files.join(F.broadcast(spark.createDataFrame([(m,) for m in more], "path string")), "path").filter(~search.is_noise(F.col("path"), F.col("content")))
+            quiet = self.files.join(small(spark.createDataFrame([(m,) for m in more], "path string")), "path").filter(~search.is_noise(F.col("path"), F.col("content")))
             calm = {r.path for r in quiet.select("path").collect()}
             add("EXTENDED_CONTEXT", [m for m in more if m in calm])
         bar = "=" * 80

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import discard, small, written
 
 STEPS, DAMPING = 20, 0.85
 #: So many steps are one plan before the ranks are written; plans would grow without end otherwise.
@@ -21,23 +22,31 @@ def weighted_shares(edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """path, rank after exactly so many steps from 1/N; the mass of dangling nodes isn't handed on.
 
-    Each step is one shuffle, of contributions by target: ranks stay partitioned by node, which is the key of
-    the join with the shares as well.
+    Nodes lie partitioned by path and shares by source, sorted, for all steps.  Ranks come out of a step
+    partitioned by path, which is what both joins of the next one ask for, so a step is one exchange: that of
+    the contributions by target.  The result is a written table.
     """
-    nodes = nodes.select("path").distinct()
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.select("path").distinct().repartition(parts, "path").sortWithinPartitions("path").persist(StorageLevel.MEMORY_AND_DISK)
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     base = (1 - damping) / n
-    shares = weighted_shares(edges.join(nodes.withColumnRenamed("path", "dst"), "dst", "left_semi"))
-    if steps > STEPS_IN_A_PLAN:
-        nodes, shares = written(nodes, "rank-nodes"), written(shares, "rank-shares")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    listed = written(weighted_shares(edges.join(nodes.withColumnRenamed("path", "dst"), "dst", "left_semi")), "rank-shares")
+    shares = listed.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    ranks, table = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for step in range(1, steps + 1):
-        sent = ranks.join(shares, ranks["path"] == shares["src"]).groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = nodes.join(sent, "path", "left").select("path", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if step % STEPS_IN_A_PLAN == 0 and step < steps:
-            ranks = written(ranks, "ranks")
+        sent = ranks.hint("merge").join(shares.hint("merge"), ranks["path"] == shares["src"]).groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        ranks = nodes.hint("merge").join(sent, "path", "left").select("path", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        if step % STEPS_IN_A_PLAN == 0 or step == steps:
+            before, table = table, written(ranks, "ranks")
+            ranks = table if step == steps else table.repartition(parts, "path").sortWithinPartitions("path")
+            if before is not None:
+                discard(before)
+    for kept in (nodes, shares):
+        kept.unpersist()
+    discard(listed)
     return ranks
 
 
@@ -57,14 +66,19 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, max_hops: int, first_import
     """path, hop of the nodes within max_hops of the seeds, both ways, seeds left out; the first hop counts.
 
     From hop 0 and on, edges of kind SymbolUsage lead anywhere, those of kind Import from the seeds alone.
+    Edges and every frontier are written tables, so plans don't grow with the hops.
     """
+    edges = written(edges.select("src", "dst", "kind"), "hops")
     both = edges.select(F.col("src").alias("at"), F.col("dst").alias("path"), "kind").unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("path"), "kind"))
-    visited = seeds.select("path").distinct().withColumn("hop", F.lit(0))
-    frontier = visited
+    frontier = written(seeds.select("path").distinct().withColumn("hop", F.lit(0)), "frontier")
+    visited = frontier
     for hop in range(1, max_hops + 1):
         usable = both if hop == 1 or not first_import_only else both.filter("kind = 'SymbolUsage'")
-        frontier = usable.join(frontier.select(F.col("path").alias("at")), "at", "left_semi").select("path").distinct().join(visited.select("path"), "path", "left_anti").withColumn("hop", F.lit(hop))
+        reached = usable.join(small(frontier.select(F.col("path").alias("at"))), "at", "left_semi").select("path").distinct()
+        frontier = written(reached.join(small(visited.select("path")), "path", "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         visited = visited.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return visited.filter("hop > 0")
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SOURCE_DIRS = ("src", "lib", "source", "sources")
 DEFINITIONS = tuple(w + " " for w in sorted({"class", "def", "async def", "impl", "fn", "pub fn", "func", "function", *("export " + w for w in ("class", "default function", "function", "interface"))}))
@@ -65,31 +69,94 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def file_scores(chunk_embeddings: DataFrame, query: DataFrame) -> DataFrame:
-    """path, similarity: the best chunk of each file against the one row of query (embedding); 0 without a chunk.
+def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, path, similarity (cosine) of vectors (path, embedding) to queries (query_id, embedding); with k the best k paths of each query.
 
-    Only the query, one row, goes to all executors; chunks are reduced where they lie.
+    Both sides are packed into blocks of BLOCK_ROWS rows, and a pair of blocks is one product of two matrices: a
+    stated set of queries of any size against all vectors, with nothing broadcast but what Catalyst's own bound
+    allows.  Of several rows of a path in a block the best one counts; where k is given, so do the k best paths
+    of a block, ties by path.  A null vector has no row; a vector of length 0 has similarity 0.
     """
-    q = query.select(F.col("embedding").alias("query"))
-    scored = chunk_embeddings.crossJoin(F.broadcast(q.limit(1))).select("path", cosine(F.col("embedding"), F.col("query")).alias("s"))
-    return scored.groupBy("path").agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("similarity"))
+    path_type, id_type = dict(vectors.dtypes)["path"], dict(queries.dtypes)["query_id"]
+    left, right = _packed(vectors, "path", path_type), _packed(queries, "query_id", id_type)
+    cells = right.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).crossJoin(left)
+    id_arrow, path_arrow = (to_arrow_type(T._parse_datatype_string(t)) for t in (id_type, path_type))
 
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, ids = batch.column(0)[i].values, batch.column(2)[i].values
+                q, v = (_unit(np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.float64).reshape(len(n), -1)) for c, n in ((1, q_ids), (3, ids)))
+                product = q @ v.T
+                if path_arrow != pa.string() and len(ids):
+                    order = np.argsort(keys := ids.to_numpy(zero_copy_only=False), kind="stable")
+                else:
+                    order = np.argsort(keys := np.array(ids.to_pylist(), dtype=object), kind="stable")
+                keys = keys[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                best = np.maximum.reduceat(product[:, order], first, axis=1)
+                n = best.shape[1] if k is None else min(k, best.shape[1])
+                pick = np.argsort(-best, axis=1, kind="stable")[:, :n]  # of equals the first path
+                yield pa.RecordBatch.from_arrays(
+                    [q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), n))), ids.take(pa.array(order[first[pick.ravel()]])), pa.array(np.take_along_axis(best, pick, axis=1).ravel())],
+                    schema=pa.schema([("query_id", id_arrow), ("path", path_arrow), ("similarity", pa.float64())]),
+                )
 
-def relevant(chunk_embeddings: DataFrame, query: DataFrame, n: int) -> DataFrame:
-    return file_scores(chunk_embeddings, query).orderBy(F.desc("similarity"), "path").limit(n)
+    found = cells.mapInArrow(stage, f"query_id {id_type}, path {path_type}, similarity double")
+    found = found.groupBy("query_id", "path").agg(F.max("similarity").alias("similarity"))
+    if k is None:
+        return found
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "path"))
+    return found.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
 
-def reranked(scored: DataFrame, ranks: DataFrame, n: int, keep: Column | None = None, over: Callable[[int], int] = lambda n: 3 * n + 10) -> DataFrame:
-    """path, similarity, rank, score: of the over(n) most similar files those that keep allows, by 0.8 similarity
-    and 0.2 rank in proportion to the greatest rank; the n best."""
+BLOCK_ROWS = 1024
+
+
+def _packed(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """ids, matrix (doubles, row by row): at most BLOCK_ROWS rows of a partition in each row. Rows of one block have one width."""
+    ids_arrow = to_arrow_type(T._parse_datatype_string(kind))
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0)], pa.list_(ids_arrow)), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+    return rows.select(key, "embedding").dropna().mapInArrow(stage, f"ids array<{kind}>, matrix binary")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def file_scores(chunk_embeddings: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, path, similarity: the best chunk of each file for each query (query_id, embedding); 0 without a chunk."""
+    return similarities(chunk_embeddings, queries)
+
+
+def relevant(chunk_embeddings: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The n most similar files of each query, ties by path."""
+    return similarities(chunk_embeddings, queries, n)
+
+
+def candidates(chunk_embeddings: DataFrame, queries: DataFrame, n: int, over: Callable[[int], int] = lambda n: 3 * n + 10) -> DataFrame:
+    """What reranked() chooses the n best from: the over(n) most similar files of each query."""
+    return similarities(chunk_embeddings, queries, over(n))
+
+
+def reranked(found: DataFrame, ranks: DataFrame, n: int, keep: Column | None = None) -> DataFrame:
+    """query_id, path, similarity, rank, score: of candidates() those that keep allows, by 0.8 similarity and 0.2 rank
+    in proportion to the greatest rank; the n best of each query."""
     top = ranks.agg(F.max("rank").alias("top"))
-    candidates = scored.orderBy(F.desc("similarity"), "path").limit(over(n))
-    if keep is not None:
-        candidates = candidates.filter(keep)
-    joined = candidates.join(ranks, "path", "left")
+    joined = (found if keep is None else found.filter(keep)).join(ranks, "path", "left")
     share = F.when(F.col("top") > 0, F.coalesce("rank", F.lit(0.0)) / F.col("top")).otherwise(0.0)
     score = F.lit(SIMILARITY_WEIGHT) * F.col("similarity") + F.lit(RANK_WEIGHT) * share
-    return joined.crossJoin(F.broadcast(top)).select("path", "similarity", F.coalesce("rank", F.lit(0.0)).alias("rank"), score.alias("score")).orderBy(F.desc("score"), "path").limit(n)
+    scored = joined.crossJoin(F.broadcast(top)).select("query_id", "path", "similarity", F.coalesce("rank", F.lit(0.0)).alias("rank"), score.alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+    return scored.withColumn("place", place).filter(F.col("place") <= n).drop("place")
 
 
 def meaningful(content: Column) -> Column:

@@ -9,8 +9,8 @@ from ..operators.graph import upgraded_edges
 
 SQL_CANDIDATES = """
 lines AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity) AS dst,
-  CASE WHEN l_returnflag = 'A' THEN 'Import' ELSE 'SymbolUsage' END AS kind, l_quantity, l_shipdate FROM lineitem),
-cand AS (SELECT * FROM lines WHERE l_quantity >= 48 AND dst IS NOT NULL AND src <> dst)"""
+  CASE WHEN l_returnflag = 'A' THEN 'Import' ELSE 'SymbolUsage' END AS kind, l_shipdate FROM lineitem),
+cand AS (SELECT * FROM lines WHERE dst IS NOT NULL AND src <> dst)"""
 SQL = f"""WITH {SQL_CANDIDATES},
 edges AS (SELECT src, dst, min(kind) AS kind, CASE WHEN min(kind) = 'Import' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS strength FROM cand GROUP BY src, dst),
 nodes AS (SELECT p_partkey AS path FROM part)"""
@@ -24,8 +24,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     kind = F.when(F.col("l_returnflag") == "A", "Import").otherwise("SymbolUsage")
-    out = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(by).alias("dst"), kind.alias("kind"), "l_quantity", "l_shipdate")
-    return out.filter((F.col("l_quantity") >= 48) & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    out = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(by).alias("dst"), kind.alias("kind"), "l_shipdate")
+    return out.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

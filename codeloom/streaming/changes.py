@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import folded
+
 EVENTS = "ts timestamp, path string, event_type string, from_path string, content string"
 IGNORED = ("__pycache__", ".git", "node_modules", ".venv", "venv", "target", "dist", "build")
 EXTENSIONS = ("py", "pyi")
@@ -59,16 +61,16 @@ def debounced_leading(events: DataFrame, gap: float = 0.5) -> DataFrame:
 
 
 def debounced_leading_batch(events: DataFrame, key: str, ts: str, gap_us: int, rest: tuple[str, ...] = ()) -> DataFrame:
-    """The same over a finished table: a fold over each key's sorted times, in the JVM."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), *rest))).alias("list"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.slice("list", 1, 0).alias("kept"))
+    """The same over a finished table: rows stream by in the order of each key's times, with the last accepted one as state."""
+    kinds = dict(events.dtypes)
+    rows = events.filter(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), *rest)
 
-    def step(acc, x):
-        ok = acc["last"].isNull() | (x["t"] - acc["last"] >= gap_us)
-        return F.struct(F.when(ok, x["t"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+    def step(last: list, row: tuple) -> tuple[list, tuple | None]:
+        if last and row[1] - last[0] < gap_us:
+            return last, None
+        return [row[1]], row
 
-    return listed.select(key, F.explode(F.aggregate("list", start, step)["kept"]).alias("e")).select(key, F.col("e.t").alias("micros"), *(F.col(f"e.{r}").alias(r) for r in rest))
+    return folded(rows, [key], ["micros", *rest], list, step, ", ".join([f"`{key}` {kinds[key]}", "micros long", *(f"`{r}` {kinds[r]}" for r in rest)]))
 
 
 def classified(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
