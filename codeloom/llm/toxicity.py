@@ -214,13 +214,14 @@ class Index:
                 out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
         return out
 
-    def probability(self, votes: float) -> float:
-        p = 0.0
-        for start, value in self.steps:
-            if votes < start:
-                break
-            p = value
-        return p
+
+def probability(steps: list[tuple[float, float]], votes: float) -> float:
+    p = 0.0
+    for start, value in steps:
+        if votes < start:
+            break
+        p = value
+    return p
 
 
 def votes_of(near: list[tuple[float, int, int]], bandwidth: float) -> float:
@@ -393,20 +394,24 @@ def _vectors(examples: DataFrame, vocabulary: list) -> DataFrame:
     return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms array<int>, counts array<int>")
 
 
-def _packed(index: Index) -> tuple:
-    return index.vocabulary, index.weight, index.ids, index.labels, index.starts, index.terms, index.counts, index.steps, index.base
+def _sent_index(spark: SparkSession, index: Index) -> list:
+    """Broadcasts of an index without its calibration: the same for the votes that it is calibrated by and for all later ones."""
+    app = spark.sparkContext.applicationId
+    if index.__dict__.get("sent", (None,))[0] != app:
+        index.__dict__["sent"] = app, _sent(spark, (index.vocabulary, index.weight, index.ids, index.labels, index.starts, index.terms, index.counts))
+    return index.__dict__["sent"][1]
 
 
 def _unpacked(packed: tuple) -> Index:
     return Index(*packed)
 
 
-def judged(index: Index, texts: pa.Array, ids: list, k: int, bandwidth: float) -> list[tuple[float, float, list]]:
+def judged(index: Index, steps: list, base: float, texts: pa.Array, ids: list, k: int, bandwidth: float) -> list[tuple[float, float, list]]:
     """(votes, probability, neighbours) of each text."""
     out, vectors = [], index.vectors(texts)
     for (at, _), near in zip(vectors, index.nearest_of(vectors, k, ids)):
         votes = votes_of(near, bandwidth)
-        out.append((votes, index.probability(votes), near) if len(at) else (0.0, index.base, []))
+        out.append((votes, probability(steps, votes), near) if len(at) else (0.0, base, []))
     return out
 
 
@@ -417,13 +422,13 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: fl
     is scored as such examples are; rows with a null or repeated id are scored one by one.
     """
     tune(documents.sparkSession)
-    sent = _sent(documents.sparkSession, _packed(index))
+    sent, steps, base = _sent_index(documents.sparkSession, index), index.steps, index.base
 
     def stage(batches):
         for batch in batches:
             model = _received(sent, _unpacked)
             ids = batch.column(0).to_pylist()
-            found = judged(model, batch.column(1), ids, k, bandwidth)
+            found = judged(model, steps, base, batch.column(1), ids, k, bandwidth)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -441,14 +446,14 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: fl
 def without_toxic(documents: DataFrame, index: Index, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text isn't judged toxic, with all their columns; null and empty texts are judged as score() says."""
     tune(documents.sparkSession)
-    sent = _sent(documents.sparkSession, _packed(index))
+    sent, steps, base = _sent_index(documents.sparkSession, index), index.steps, index.base
     at = [documents.columns.index(c) for c in ("doc_id", "text")]
 
     def stage(batches):
         for batch in batches:
             model = _received(sent, _unpacked)
             ids = batch.column(at[0]).cast(pa.int64(), safe=False).to_pylist()
-            keep = [p < threshold for _, p, _ in judged(model, batch.column(at[1]), ids, k, bandwidth)]
+            keep = [p < threshold for _, p, _ in judged(model, steps, base, batch.column(at[1]), ids, k, bandwidth)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(stage, documents.schema)
