@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import calls, graph, imports, packing, parsing, rank, report, search
-from .sources import packages
-from .tables import written
+from .sources import packages, repository
+from .streaming import changes
+from .tables import small, written
 
 
 class Repository:
@@ -17,6 +18,13 @@ class Repository:
 
     def __init__(self, files: DataFrame, source_roots: tuple[str, ...] | None = None, embedder=search.hashing_embedder, compat: str | None = None) -> None:
         self.files, self.given_roots, self.embedder, self.compat = files, source_roots, embedder, compat
+        #: Paths of files that came in later with a syntax error: their sound parts count.
+        self.tolerated: DataFrame | None = None
+
+    @classmethod
+    def read(cls, spark: SparkSession, root: str, **settings) -> Repository:
+        """The repository in a folder, with the source roots that its configuration file names, if it has one."""
+        return cls(repository.read_repository(spark, root), **{"source_roots": repository.configured_roots(root)} | settings)
 
     def refresh(self, files: DataFrame | None = None) -> None:
         self.files = self.files if files is None else files
@@ -35,6 +43,8 @@ class Repository:
     def nodes(self) -> DataFrame:
         """Files of a known language without syntax errors."""
         sound = self.syntax.filter("is_valid").select("path")
+        if self.tolerated is not None:
+            sound = sound.unionByName(self.tolerated).distinct()
         return written(parsing.with_language(self.files).join(sound, "path", "left_semi").select("path", "language", graph.family_of(F.col("language")).alias("family")), "nodes")
 
     @cached_property
@@ -83,6 +93,57 @@ class Repository:
         chunks = search.chunks(texts.select("path", search.embedding_text(F.col("path"), F.col("skeleton"), F.col("content")).alias("text")))
         return written(search.embedded(chunks, self.embedder), "embeddings")
 
+    @cached_property
+    def graph_rows(self) -> DataFrame:
+        """The property graph of all files, a row a file."""
+        return written(parsing.graph_rows(self.files), "graph")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        """Resolved calls of all files, from the rows of the property graph."""
+        nodes, sites = (parsing.part_of(self.graph_rows, p) for p in ("nodes", "sites"))
+        return written(calls.resolved_calls(sites, nodes, imports.bindings(self.resolved_imports), True), "calls")
+
+    def _of_file(self, path: str, part: str) -> DataFrame:
+        return parsing.part_of(parsing.graph_rows(self.files.filter(F.col("path") == path)), part)
+
+    def functions(self, path: str) -> DataFrame:
+        """Functions, methods and classes of a file."""
+        return self._of_file(path, "nodes").filter(F.col("kind").isin("function", "method", "class")).orderBy("start_byte")
+
+    def classes(self, path: str) -> DataFrame:
+        return self.functions(path).filter("kind = 'class'")
+
+    def children(self, path: str, node_id: str) -> DataFrame:
+        """Nodes below a node of a file."""
+        below = self._of_file(path, "edges").filter((F.col("kind") == "AstChild") & (F.col("src") == node_id)).select(F.col("dst").alias("node_id"))
+        return self._of_file(path, "nodes").join(below, "node_id", "left_semi").orderBy("start_byte")
+
+    def _of_function(self, path: str, name: str) -> DataFrame:
+        """Statements, entry and exit of the functions of a name."""
+        nodes = self._of_file(path, "nodes")
+        owner = nodes.filter((F.col("name") == name) & F.col("kind").isin("function", "method")).select(F.col("node_id").alias("function_id"))
+        return nodes.join(owner, "function_id", "left_semi")
+
+    def statements(self, path: str, name: str) -> DataFrame:
+        return self._of_function(path, name).filter("kind = 'statement'").orderBy("start_byte")
+
+    def control_flow(self, path: str, name: str) -> DataFrame:
+        """src, dst, kind of the control flow of the functions of a name, by the names of statements."""
+        return self._edges_of_function(path, name, F.col("kind").startswith("ControlFlow"))
+
+    def data_flow(self, path: str, name: str) -> DataFrame:
+        """src, dst, kind, variable of definitions that reach a use in the functions of a name."""
+        return self._edges_of_function(path, name, F.col("kind") == "DataFlowReach")
+
+    def _edges_of_function(self, path: str, name: str, wanted) -> DataFrame:
+        own = self._of_function(path, name).select("node_id", "name")
+        edges = self._of_file(path, "edges").filter(wanted)
+        ends = (own.select(F.col("node_id").alias(c), F.col("name").alias(f"{c}_name")) for c in ("src", "dst"))
+        for end, c in zip(ends, ("src", "dst")):
+            edges = edges.join(end, c)
+        return edges.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "kind", "variable")
+
     def files_near(self, path: str, side: str) -> DataFrame:
         """The file and all its dependencies or dependents: a call graph needs these alone."""
         near = (graph.dependencies if side == "out" else graph.dependents)(self.edges, path).select("path")
@@ -92,7 +153,8 @@ class Repository:
     def call_graph(self, files: DataFrame | None = None, instance_fallback: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(nodes, sites, resolved calls) of some files, or of all."""
         files = self.files if files is None else files
-        nodes, sites = written(parsing.cpg_nodes(files), "cpg-nodes"), written(parsing.call_sites(files), "call-sites")
+        rows = written(parsing.graph_rows(files), "graph")
+        nodes, sites = (parsing.part_of(rows, p) for p in ("nodes", "sites"))
         return nodes, sites, calls.resolved_calls(sites, nodes, imports.bindings(self.resolved_imports), instance_fallback)
 
     # ---- the queries
@@ -151,14 +213,37 @@ class Repository:
         nodes, _, found = self.call_graph(near)
         return calls.callers(found, nodes, path, name)
 
+    #: Relations that a file has by itself: an update parses what changed alone. Those with True know partial trees.
+    _PER_FILE = {"syntax": (parsing.checked, False), "symbols": (parsing.symbols, True), "raw_imports": (parsing.imports, True), "skeletons": (parsing.skeletons, False), "graph_rows": (parsing.graph_rows, True)}
+
     def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
         """Takes changed (path, content) and deleted (path) files in; what edges that adds and removes.
 
-        A changed file with a syntax error keeps its old text.
+        A changed file with a syntax error keeps its old text; a new one comes in with its sound parts.  Only these
+        files are parsed; what joins make of all relations (edges, ranks, calls) is made anew, and equals what a
+        fresh repository would have.
         """
-        sound = changed.join(parsing.checked(changed).filter("is_valid").select("path"), "path", "left_semi")
-        before, files = self.edges, graph.upserted(self.files, sound.select("path", "content"))
+        changed = written(changed.select("path", "content").join(parsing.checked(changed).select("path", "is_valid"), "path"), "changed")
+        known = self.files.select("path")
+        sound = changed.filter("is_valid").select("path", "content")
+        partial = changed.filter("not is_valid").join(known, "path", "left_anti").select("path", "content")
+        taken = sound.unionByName(partial)
+        gone = taken.select("path") if deleted is None else taken.select("path").unionByName(deleted.select("path")).distinct()
+        before, kept = self.edges, {}
+        for name, (make, tolerant) in self._PER_FILE.items():
+            if name in self.__dict__:
+                fresh = make(sound).unionByName(make(partial, partial=True)) if tolerant else make(taken)
+                kept[name] = written(self.__dict__[name].join(small(gone), "path", "left_anti").unionByName(fresh), name)
+        files = graph.upserted(self.files, taken)
         if deleted is not None:
             files = graph.removed(files, deleted)
+        odd = partial.select("path") if self.tolerated is None else self.tolerated.join(gone, "path", "left_anti").unionByName(partial.select("path"))
+        self.tolerated = written(odd, "tolerated")
         self.refresh(written(files, "files"))
+        self.__dict__.update(kept)
         return graph.edge_differences(before, self.edges)
+
+    def follow(self, events: DataFrame, checkpoint: str):
+        """A query that applies a stream of change events (EVENTS) to this repository, batch by batch."""
+        stream = changes.classified_stream(changes.relevant(events), self.files.select("path"))
+        return changes.apply_changes(stream, lambda changed, deleted, _: self.update(changed, deleted), checkpoint)

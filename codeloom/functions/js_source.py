@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 _TOKEN = re.compile(
     r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<template>`(?:\\.|\$\{(?:[^{}]|\{[^{}]*\})*\}|[^`\\])*`?)|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)"
@@ -272,8 +273,10 @@ def _arguments(code: list[Token], open_: int, close: int) -> list[tuple[int, int
 
 def symbols(text: str) -> list[tuple[str, str, int, int, bool]]:
     """(name, kind, start, end, is_definition) in bytes, by position."""
+    ends = [0] if text.isascii() else [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
+
     def byte(i: int) -> int:
-        return len(text[:i].encode("utf-8", "surrogatepass"))
+        return i if len(ends) == 1 else ends[i]
 
     out = [(d.name, d.kind, byte(d.name_start), byte(d.name_start + len(d.name)), True) for d in definitions(text)]
     code = [t for t in tokens(text) if t.kind != "comment"]

@@ -17,9 +17,13 @@ NO_NAMES = {"self", "cls", "True", "False", "None"}
 
 
 class Source:
-    """A text with its tree (None on a syntax error) and byte offsets."""
+    """A text with its tree (None on a syntax error) and byte offsets.
 
-    def __init__(self, text: str) -> None:
+    With partial, top-level blocks that hold a syntax error are blanked, one after the other, until the rest has a
+    tree; error tells of the first one, offsets are those of the whole text.
+    """
+
+    def __init__(self, text: str, partial: bool = False) -> None:
         self.text = text
         self.data = text.encode("utf-8", "surrogatepass")
         starts, at = [0], 0
@@ -32,6 +36,8 @@ class Source:
             self.tree: ast.Module | None = ast.parse(text)
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
             self.tree, self.error = None, (getattr(e, "lineno", None), getattr(e, "msg", None) or str(e))
+            if partial and isinstance(e, SyntaxError):
+                self.tree = _recovered(text, e)
 
     def begin(self, node: ast.AST) -> int:
         return self.starts[node.lineno - 1] + node.col_offset
@@ -49,6 +55,25 @@ class Source:
         return bisect_right(self.starts, at)
 
 
+def _recovered(text: str, error: SyntaxError) -> ast.Module | None:
+    lines = text.split("\n")
+    heads = [i for i, x in enumerate(lines) if x[:1] not in ("", " ", "\t", "#", ")", "]", "}", "\r")]
+    for _ in heads:
+        at = bisect_right(heads, min(len(lines), error.lineno or len(lines)) - 1) - 1
+        # A block that is blank by now has its trouble in what came before it.
+        while at >= 0 and not any(lines[heads[at] : heads[at + 1] if at + 1 < len(heads) else len(lines)]):
+            at -= 1
+        if at < 0:
+            return None
+        end = heads[at + 1] if at + 1 < len(heads) else len(lines)
+        lines[heads[at] : end] = [""] * (end - heads[at])
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            error = e
+    return None
+
+
 def check_syntax(text: str) -> tuple[bool, int | None, str | None]:
     try:
         compile(text, "<text>", "exec", dont_inherit=True)

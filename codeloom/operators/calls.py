@@ -27,6 +27,12 @@ def own_sites(sites: DataFrame) -> DataFrame:
     return sites.filter(~F.when(js, F.col("callee_name").isin(*JS_BUILTINS)).otherwise(F.col("callee_name").isin(*PYTHON_BUILTINS)))
 
 
+def _tally() -> list:
+    """How many functions there are, one of them, and the same of those outside of classes."""
+    free = F.col("parent_class").isNull()
+    return [F.count(F.lit(1)).alias("n"), F.min("callee_id").alias("only"), F.count_if(free).alias("n_free"), F.min(F.when(free, F.col("callee_id"))).alias("free")]
+
+
 def resolved_calls(sites: DataFrame, nodes: DataFrame, bindings: DataFrame, instance_fallback: bool = False) -> DataFrame:
     """site_id, caller_id, statement_id, callee_id, rule.
 
@@ -36,32 +42,36 @@ def resolved_calls(sites: DataFrame, nodes: DataFrame, bindings: DataFrame, inst
     rule takes a single match, or the single match outside of classes; several matches under rule 3 end the
     search.  Of several methods under rule 1 the longest counts, then the last.
     """
-    functions = functions_of(nodes)
+    functions = functions_of(nodes).dropDuplicates(["callee_id"])
+    methods = functions.filter("parent_class is not null")
     owner = nodes.filter(F.col("kind").isin("function", "method")).select(F.col("node_id").alias("caller_id"), F.col("parent_class").alias("caller_class"))
     own = own_sites(sites).select("site_id", "path", "caller_id", "statement_id", "callee_name", "receiver").dropDuplicates(["site_id"])
-    to_self = own.filter(F.col("receiver").isin(*SELF)).join(owner, "caller_id")
-    mine = to_self.join(functions, (F.col("path") == F.col("callee_path")) & (F.col("caller_class") == F.col("parent_class")) & (to_self["callee_name"] == functions["callee_name"]))
-    first = mine.groupBy("site_id").agg(F.max_by("callee_id", F.struct("span", "start_byte")).alias("callee_id")).withColumn("rule", F.lit(1))
-    plain = own.filter("receiver is null").select("site_id", "path", "callee_name")
-    by_name = plain.join(functions, "callee_name").select("site_id", "path", "callee_path", "callee_id", "parent_class")
-    local = by_name.filter(F.col("path") == F.col("callee_path")).withColumn("rule", F.lit(2))
-    anywhere = by_name.withColumn("rule", F.lit(3))
+    to_self = own.filter(F.col("receiver").isin(*SELF)).join(owner, "caller_id").select("site_id", F.col("path").alias("callee_path"), F.col("caller_class").alias("parent_class"), "callee_name")
+    # Functions are counted by what a rule looks for, so a site meets one row a rule, however many bear its name.
+    of_class = methods.groupBy("callee_path", "parent_class", "callee_name").agg(F.max_by("callee_id", F.struct("span", "start_byte")).alias("longest"), *_tally())
+    first = to_self.join(of_class, ["callee_path", "parent_class", "callee_name"]).select("site_id", F.col("longest").alias("callee_id"), F.lit(1).alias("rule"))
+    plain = own.filter("receiver is null").select("site_id", F.col("path").alias("callee_path"), "callee_name")
+    of_file = functions.groupBy("callee_path", "callee_name").agg(*_tally())
+    of_name = functions.groupBy("callee_name").agg(*_tally())
     with_receiver = own.filter(F.col("receiver").isNotNull() & ~F.col("receiver").isin(*SELF)).select("site_id", "path", "callee_name", "receiver")
-    bound = with_receiver.join(bindings.select("path", F.col("local_name").alias("receiver"), "resolved_path", "imported_symbol"), ["path", "receiver"])
-    in_file = bound.join(functions.withColumnRenamed("callee_path", "resolved_path"), ["resolved_path", "callee_name"])
-    in_module = in_file.filter("imported_symbol is null").select("site_id", "callee_id", "parent_class").withColumn("rule", F.lit(4))
-    in_class = in_file.filter(F.col("imported_symbol") == F.col("parent_class")).select("site_id", "callee_id", "parent_class").withColumn("rule", F.lit(5))
-    named = with_receiver.join(functions.filter("parent_class is not null"), "callee_name")
-    by_class = named.filter(F.col("receiver") == F.col("parent_class")).select("site_id", "callee_id", "parent_class").withColumn("rule", F.lit(6))
-    found = local.select("site_id", "callee_id", "parent_class", "rule")
-    for other in (anywhere, in_module, in_class, by_class, *([named.withColumn("rule", F.lit(7))] if instance_fallback else [])):
-        found = found.unionByName(other.select("site_id", "callee_id", "parent_class", "rule"))
-    per_rule = found.distinct().groupBy("site_id", "rule").agg(
-        F.count(F.lit(1)).alias("n"), F.min("callee_id").alias("only"), F.count_if(F.col("parent_class").isNull()).alias("n_free"), F.min(F.when(F.col("parent_class").isNull(), F.col("callee_id"))).alias("free")
-    )
+    bound = with_receiver.join(bindings.select("path", F.col("local_name").alias("receiver"), F.col("resolved_path").alias("callee_path"), "imported_symbol"), ["path", "receiver"])
+    candidates = {
+        2: plain.join(of_file, ["callee_path", "callee_name"]),
+        3: plain.join(of_name, "callee_name"),
+        4: bound.filter("imported_symbol is null").join(of_file, ["callee_path", "callee_name"]),
+        5: bound.withColumnRenamed("imported_symbol", "parent_class").join(of_class, ["callee_path", "parent_class", "callee_name"]),
+        6: with_receiver.withColumnRenamed("receiver", "parent_class").join(methods.groupBy("parent_class", "callee_name").agg(*_tally()), ["parent_class", "callee_name"]),
+    }
+    if instance_fallback:
+        candidates[7] = with_receiver.join(methods.groupBy("callee_name").agg(*_tally()), "callee_name")
+    found = None
+    for rule, hits in candidates.items():
+        one = hits.select("site_id", F.lit(rule).alias("rule"), "n", "only", "n_free", "free")
+        found = one if found is None else found.unionByName(one)
+    per_rule = found.groupBy("site_id", "rule").agg(F.sum("n").alias("n"), F.min("only").alias("only"), F.sum("n_free").alias("n_free"), F.min("free").alias("free"))
     decided = per_rule.select("site_id", "rule", F.when(F.col("n") == 1, F.col("only")).when(F.col("n_free") == 1, F.col("free")).alias("callee_id")).filter(F.col("callee_id").isNotNull() | (F.col("rule") == 3))
     best = decided.groupBy("site_id").agg(F.min_by(F.struct("callee_id", "rule"), "rule").alias("b")).select("site_id", "b.callee_id", "b.rule").filter("callee_id is not null")
-    return own.select("site_id", "caller_id", "statement_id").join(best.unionByName(first.select("site_id", "callee_id", "rule")), "site_id")
+    return own.select("site_id", "caller_id", "statement_id").join(best.unionByName(first), "site_id")
 
 
 def call_edges(calls: DataFrame, sites: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,17 +117,18 @@ def kill_pairs(nodes: DataFrame) -> DataFrame:
     return defs.join(other, ["function_id", "variable"]).filter("node_id <> killed_id").select("node_id", "killed_id", "variable")
 
 
-def reaching_by_joins(defs: DataFrame, uses: DataFrame, flow: DataFrame, max_steps: int = 1000) -> DataFrame:
+def reaching_by_joins(defs: DataFrame, uses: DataFrame, flow: DataFrame) -> DataFrame:
     """def_id, use_id, variable, by a semi-naive closure over control flow: the cross-check of the parser's own.
 
-    defs and uses have node_id, variable; flow has src, dst.  Each step follows only what the last one found.
+    defs and uses have node_id, variable; flow has src, dst.  Each step follows only what the last one found, until
+    nothing is new: there are finitely many facts, so it ends.
     """
     from ..tables import written
 
     flow = flow.select("src", "dst").distinct()
     front = defs.select(F.col("node_id").alias("def_id"), "variable", F.col("node_id").alias("at"))
     into = None
-    for step in range(max_steps):
+    while True:
         new = front.join(flow, front["at"] == flow["src"]).select("def_id", "variable", F.col("dst").alias("at")).distinct()
         new = new if into is None else new.join(into, ["def_id", "variable", "at"], "left_anti")
         new = written(new, "reach")

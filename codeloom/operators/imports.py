@@ -89,15 +89,20 @@ def resolved(imports: DataFrame, files: DataFrame, index: DataFrame, source_root
     any_hit = F.max(F.when(F.col("fallback").isNotNull(), F.col("hit").isNotNull())).over(Window.partitionBy("path", "statement"))
     path = F.when(F.col("fallback").isNull() | F.coalesce(any_hit, F.lit(False)), F.col("hit")).otherwise(F.col("package_hit"))
     out = out.withColumn("resolved_path", path).withColumn("as_module", (F.col("form") == "import") | (F.col("fallback").isNotNull() & F.col("hit").isNotNull()))
-    return out.select("path", "statement", "form", "level", "module", "name", "alias", "line", "root", "status", "resolved_path", "as_module")
+    return out.select("path", "statement", "form", "level", "module", "name", "alias", "line", "root", "status", "resolved_path", "as_module", "key", "fallback")
+
+
+def _statement_targets(found: DataFrame) -> DataFrame:
+    """src, statement, dst of resolved imports, with what package files import from elsewhere, one level deep."""
+    direct = found.filter("resolved_path is not null").select(F.col("path").alias("src"), "statement", F.col("resolved_path").alias("dst"))
+    reexported = found.filter((F.col("form") == "from") & F.col("resolved_path").isNotNull() & F.col("path").rlike(INITIALS)).select(F.col("path").alias("init"), F.col("resolved_path").alias("dst")).distinct()
+    through = found.filter((F.col("form") == "from") & F.col("resolved_path").rlike(INITIALS)).select(F.col("path").alias("src"), "statement", F.col("resolved_path").alias("init")).distinct()
+    return direct.unionByName(through.join(reexported, "init").select("src", "statement", "dst"))
 
 
 def import_targets(found: DataFrame) -> DataFrame:
     """src, dst of resolved imports, with what package files import from elsewhere, one level deep."""
-    direct = found.filter("resolved_path is not null").select(F.col("path").alias("src"), F.col("resolved_path").alias("dst")).distinct()
-    reexported = found.filter((F.col("form") == "from") & F.col("resolved_path").isNotNull() & F.col("path").rlike(INITIALS)).select(F.col("path").alias("init"), F.col("resolved_path").alias("dst")).distinct()
-    through = found.filter((F.col("form") == "from") & F.col("resolved_path").rlike(INITIALS)).select(F.col("path").alias("src"), F.col("resolved_path").alias("init")).distinct()
-    return direct.unionByName(through.join(reexported, "init").select("src", "dst")).distinct()
+    return _statement_targets(found).select("src", "dst").distinct()
 
 
 def import_edges(targets: DataFrame, files: DataFrame) -> DataFrame:
@@ -107,10 +112,13 @@ def import_edges(targets: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def counters(found: DataFrame) -> DataFrame:
-    """path, attempted, failed: statements, and those that add no new path to their file; stdlib ones fail too."""
-    hits = found.filter("resolved_path is not null").groupBy("path", "resolved_path").agg(F.min("statement").alias("statement")).select("path", "statement").distinct().withColumn("fresh", F.lit(1))
-    statements = found.select("path", "statement").distinct().join(hits, ["path", "statement"], "left")
-    return statements.groupBy("path").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("fresh").isNull()).alias("failed"))
+    """path, attempted, failed: every from-import, failed where it adds no new path to its file (standard and foreign
+    ones too), and every name of other imports that is neither standard nor foreign, failed where nothing is found."""
+    first = _statement_targets(found).groupBy("src", "dst").agg(F.min("statement").alias("statement"))
+    fresh = first.select(F.col("src").alias("path"), "statement").distinct().withColumn("hit", F.lit(True))
+    named = found.filter("form = 'from'").select("path", "statement").distinct().join(fresh, ["path", "statement"], "left").select("path", F.coalesce("hit", F.lit(False)).alias("hit"))
+    bare = found.filter("form = 'import' and status = 'project'").select("path", F.col("resolved_path").isNotNull().alias("hit"))
+    return named.unionByName(bare).groupBy("path").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(~F.col("hit")).alias("failed"))
 
 
 def bindings(found: DataFrame) -> DataFrame:
@@ -126,10 +134,14 @@ def lookup(index: DataFrame, module: str) -> DataFrame:
 
 
 def explained(found: DataFrame, path: str, module: str) -> DataFrame:
-    """step, value: how imports of a module in a file were resolved."""
+    """step, label, value: how imports of a module in a file were resolved, a row a step and an imported name."""
     one = found.filter((F.col("path") == path) & (F.col("module") == module))
-    parts = [one.select(F.lit(n).alias("step"), F.col(c).cast("string").alias("value")) for n, c in ((1, "root"), (2, "status"), (3, "resolved_path"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    steps = {
+        "statement": F.concat_ws(" ", "form", F.concat(F.repeat(F.lit("."), "level"), F.col("module")), F.coalesce("name", F.lit(""))), "root": F.col("root"), "status": F.col("status"),
+        "key": F.col("key"), "fallback": F.col("fallback"), "resolved": F.col("resolved_path"), "binds": F.when(F.col("resolved_path").isNotNull(), F.when(F.col("as_module"), "module").otherwise("symbol")),
+    }
+    rows = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(n).alias("label"), v.cast("string").alias("value")) for i, (n, v) in enumerate(steps.items(), 1)))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 # ---- JavaScript

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -59,23 +60,23 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """SYMBOLS of Python, JavaScript and TypeScript files; one with a syntax error has none."""
+def symbols(files: DataFrame, partial: bool = False) -> DataFrame:
+    """SYMBOLS of Python, JavaScript and TypeScript files; one with a syntax error has none, or with partial those of its sound parts."""
 
     def make(path: str, lang: str, content: str) -> Iterator[tuple]:
-        found = python_source.symbols(python_source.Source(content)) if lang == "python" else js_source.symbols(content) if lang in JS else []
+        found = python_source.symbols(python_source.Source(content, partial)) if lang == "python" else js_source.symbols(content) if lang in JS else []
         for s in found:
             yield (path, *s)
 
     return _rows(files, SYMBOLS, make)
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """IMPORTS: one row an imported name; JavaScript specifiers stand in module."""
+def imports(files: DataFrame, partial: bool = False) -> DataFrame:
+    """IMPORTS: one row an imported name; JavaScript specifiers stand in module; partial as in symbols."""
 
     def make(path: str, lang: str, content: str) -> Iterator[tuple]:
         if lang == "python":
-            for st, form, level, module, name, alias, line in python_source.imports(python_source.Source(content)):
+            for st, form, level, module, name, alias, line in python_source.imports(python_source.Source(content, partial)):
                 yield (path, st, form, level, module, name, alias, line)
         elif lang in JS:
             for st, form, module, name, alias, line in js_source.imports(content):
@@ -130,16 +131,19 @@ def _id(path: str, *parts) -> str:
     return hashlib.blake2b("\0".join(map(str, (path, *parts))).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _graph_of(path: str, lang: str, content: str) -> python_source.Graph:
+def _graph_of(path: str, lang: str, content: str, partial: bool = False) -> python_source.Graph:
     if lang == "python":
-        return python_source.Builder(python_source.Source(content), path, lambda *k: _id(path, *k)).build()
+        return python_source.Builder(python_source.Source(content, partial), path, lambda *k: _id(path, *k)).build()
     if lang in JS:
         return _js_graph(path, content)
     return python_source.Graph()
 
 
 def _js_graph(path: str, text: str) -> python_source.Graph:
-    g, bytes_to = python_source.Graph(), lambda i: len(text[:i].encode("utf-8", "surrogatepass"))
+    g, at = python_source.Graph(), [0]
+    if not text.isascii():
+        at += accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)
+    bytes_to = (lambda i: i) if text.isascii() else at.__getitem__
     owners = []
     for d in js_source.definitions(text):
         if d.kind not in ("function", "class", "method", "variable"):
@@ -169,6 +173,24 @@ def _js_graph(path: str, text: str) -> python_source.Graph:
     return g
 
 
+def graph_rows(files: DataFrame, partial: bool = False) -> DataFrame:
+    """part (nodes, edges or sites) and rows of all three relations, from one parse of each file: write it, then read its parts."""
+    kinds = {"nodes": CPG_NODES, "edges": CPG_EDGES, "sites": CALL_SITES}
+    names = {k: [f.split()[0] for f in _top_fields(s)] for k, s in kinds.items()}
+
+    def make(path: str, lang: str, content: str) -> Iterator[tuple]:
+        g = _graph_of(path, lang, content, partial)
+        rows = {"nodes": [{k: n[k] for k in names["nodes"]} for n in g.nodes], "edges": [dict(zip(names["edges"], e)) for e in _edges_of(path, g)], "sites": [{k: c[k] for k in names["sites"]} for c in g.calls]}
+        yield (path, *(rows[k] for k in kinds))
+
+    return _rows(files, "path string, " + ", ".join(f"{k} array<struct<{', '.join(f.replace(' ', ': ', 1) for f in _top_fields(s))}>>" for k, s in kinds.items()), make)
+
+
+def part_of(rows: DataFrame, part: str) -> DataFrame:
+    """nodes, edges or sites of graph_rows()."""
+    return rows.select(F.explode(part).alias("r")).select("r.*")
+
+
 def cpg_nodes(files: DataFrame) -> DataFrame:
     """CPG_NODES: functions, methods, classes, module variables, statements, and entry and exit of functions."""
     names = [f.split()[0] for f in _top_fields(CPG_NODES)]
@@ -180,23 +202,26 @@ def cpg_nodes(files: DataFrame) -> DataFrame:
     return _rows(files, CPG_NODES, make)
 
 
+def _edges_of(path: str, g: python_source.Graph) -> Iterator[tuple]:
+    for e in g.edges:
+        yield (path, *e)
+    by: dict[str, list[dict]] = {}
+    for n in g.nodes:
+        if n["function_id"]:
+            by.setdefault(n["function_id"], []).append(n)
+    owner = {n["node_id"]: f for f, own in by.items() for n in own}
+    inner: dict[str, list[tuple]] = {}
+    for e in g.edges:
+        if e[0] in owner and owner[e[0]] == owner.get(e[1]):
+            inner.setdefault(owner[e[0]], []).append(e)
+    for f, own in by.items():
+        for d, u, v in python_source.reaching(own, inner.get(f, [])):
+            yield (path, d, u, "DataFlowReach", v, None)
+
+
 def cpg_edges(files: DataFrame) -> DataFrame:
     """CPG_EDGES: children, control flow, and definitions that reach a use."""
-
-    def make(path: str, lang: str, content: str) -> Iterator[tuple]:
-        g = _graph_of(path, lang, content)
-        for e in g.edges:
-            yield (path, *e)
-        by: dict[str, list[dict]] = {}
-        for n in g.nodes:
-            if n["function_id"]:
-                by.setdefault(n["function_id"], []).append(n)
-        for own in by.values():
-            ids = {n["node_id"] for n in own}
-            for d, u, v in python_source.reaching(own, [e for e in g.edges if e[0] in ids and e[1] in ids]):
-                yield (path, d, u, "DataFlowReach", v, None)
-
-    return _rows(files, CPG_EDGES, make)
+    return _rows(files, CPG_EDGES, lambda path, lang, content: _edges_of(path, _graph_of(path, lang, content)))
 
 
 def call_sites(files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("graph_queries", "search_queries")
+MODULES: tuple[str, ...] = ("graph_queries", "search_queries", "code_queries")
 
 
 def queries() -> dict:

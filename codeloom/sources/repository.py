@@ -6,6 +6,7 @@ import os
 import re
 import shutil
 import time
+import tomllib
 from pathlib import Path, PurePosixPath
 
 import pyarrow as pa
@@ -70,6 +71,47 @@ def scan(paths: DataFrame, ignored_dirs: tuple[str, ...] = IGNORED_DIRS, rules:
     return kept.unionByName(wanted.join(tracked.select("path"), "path", "left_semi")).dropDuplicates(["path"])
 
 
+#: The file of a project's own settings.
+CONFIG = ".codeloom.toml"
+
+
+def configured_roots(root: str, name: str = CONFIG) -> tuple[str, ...] | None:
+    """Source roots that the project's settings name, under [project]; null where there are none, or no valid file."""
+    try:
+        found = tomllib.loads((Path(root) / name).read_text()).get("project", {}).get("source_roots")
+    except (OSError, tomllib.TOMLDecodeError, AttributeError):
+        return None
+    return tuple(str(f).strip("./") for f in found) if isinstance(found, list) and found else None
+
+
+def outer_rules(base: Path) -> list[tuple[str, bool]]:
+    """Ignore rules from outside of a folder: the user's own, those of the folders above it within one work tree, and its excludes."""
+    home = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / "git" / "ignore"
+    out = [r for x in _lines(home) if (r := ignore_pattern(x))]
+    tree = next((f for f in (base, *base.parents) if (f / ".git").exists()), None)
+    if tree is None:
+        return out
+    for folder in [tree, *reversed([f for f in base.parents if tree in f.parents])] if tree != base else []:
+        own = base.relative_to(folder).as_posix()
+        for line in _lines(folder / ".gitignore"):
+            rule = line.strip().removeprefix("!").lstrip("/")
+            if "/" not in rule.rstrip("/"):
+                anchored = line.strip().removeprefix("!").startswith("/")
+                out += [r for r in [ignore_pattern(line)] if r and not anchored]
+            elif rule.startswith(own + "/"):
+                out += [r for r in [ignore_pattern(("!" if line.startswith("!") else "") + "/" + rule[len(own) + 1 :])] if r]
+    if tree == base:
+        out += [r for x in _lines(base / ".git" / "info" / "exclude") if (r := ignore_pattern(x))]
+    return out
+
+
+def _lines(path: Path) -> list[str]:
+    try:
+        return path.read_text(errors="replace").split("\n")
+    except OSError:
+        return []
+
+
 def read_repository(spark: SparkSession, root: str, ignored_dirs: tuple[str, ...] = IGNORED_DIRS, tracked: DataFrame | None = None) -> DataFrame:
     """path (relative), content of the text files under root; files that aren't UTF-8 are left out.
 
@@ -77,7 +119,7 @@ def read_repository(spark: SparkSession, root: str, ignored_dirs: tuple[str, ...
     what passes the rules is read by the executors, to whom root must be visible.
     """
     base = Path(root).resolve()
-    names, rules = [], []
+    names, rules = [], outer_rules(base)
     for folder, inner, files in os.walk(base):
         inner[:] = sorted(d for d in inner if d != ".git" and d not in ignored_dirs)
         below = Path(folder).relative_to(base).as_posix().removeprefix(".")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import folded
+from ..sources import repository
+from ..tables import written
 
 EVENTS = "ts timestamp, path string, event_type string, from_path string, content string"
 IGNORED = ("__pycache__", ".git", "node_modules", ".venv", "venv", "target", "dist", "build")
@@ -45,19 +47,25 @@ def _accept(times: list[float], last: float | None, gap: float) -> tuple[list[bo
     return out, last
 
 
-def debounced_leading(events: DataFrame, gap: float = 0.5) -> DataFrame:
-    """Stream: the first event of a path, then the first one gap seconds or more after the last accepted one."""
+def debounced_leading(events: DataFrame, gap: float = 0.5, watermark: str = "10 seconds") -> DataFrame:
+    """Stream: the first event of a path, then the first one gap seconds or more after the last accepted one.
+
+    A path's state goes when the watermark is gap behind its last accepted event: any later event is accepted anyway.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values("ts", kind="stable")
-            keep, last = _accept([t.timestamp() for t in frame["ts"]], last, gap)
-            yield frame[keep][["ts", "path", "event_type"]]
-        if last is not None:
-            state.update((last,))
+        frame = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        keep, last = _accept([t.timestamp() for t in frame["ts"]], last, gap)
+        yield frame[keep][["ts", "path", "event_type"]]
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + gap) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
-    return events.select("ts", "path", "event_type").groupBy("path").applyInPandasWithState(step, "ts timestamp, path string, event_type string", "last double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.filter("ts is not null").select("ts", "path", "event_type").withWatermark("ts", watermark)
+    return rows.groupBy("path").applyInPandasWithState(step, "ts timestamp, path string, event_type string", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced_leading_batch(events: DataFrame, key: str, ts: str, gap_us: int, rest: tuple[str, ...] = ()) -> DataFrame:
@@ -87,25 +95,55 @@ def classified(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return events.withColumn("meaning", meaning).drop("was_known")
 
 
-def classified_stream(events: DataFrame, known: Callable[[str], bool] = lambda path: False) -> DataFrame:
-    """Stream: classified() with the known paths as keyed state; known tells of paths from before the stream."""
+def classified_stream(events: DataFrame, known: DataFrame | None = None, idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Stream: classified() with whether a path exists as its state.
+
+    known (path) has the paths from before the stream: the initial snapshot.  A path's state goes when nothing
+    happened to it for idle_ms; what it was then is looked up in known again.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        exists = state.get[0] if state.exists else known(key[0])
-        for frame in frames:
-            frame, meanings = frame.sort_values("ts", kind="stable"), []
-            for kind in frame["event_type"]:
-                gone = kind == "deleted"
-                meanings.append(("deleted" if exists else "ignored") if gone else "modified" if exists else "created")
-                exists = not gone
-            yield frame.assign(meaning=meanings)[["ts", "path", "meaning", "content"]]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        exists, meanings = state.get[0] if state.exists else bool(frame["was_known"].any()), []
+        for kind in frame["event_type"]:
+            gone = kind == "deleted"
+            meanings.append(("deleted" if exists else "ignored") if gone else "modified" if exists else "created")
+            exists = not gone
+        yield frame.assign(meaning=meanings)[["ts", "path", "meaning", "content"]]
         state.update((exists,))
+        state.setTimeoutDuration(idle_ms)
 
     split = events.filter("event_type <> 'renamed'").select("ts", "path", "event_type", "content")
     # A rename is a delete of the old path and a create of the new one.
     moved = events.filter("event_type = 'renamed'").select("ts", F.explode(F.array(F.struct(F.col("from_path").alias("path"), F.lit("deleted").alias("event_type")), F.struct(F.col("path"), F.lit("created").alias("event_type")))).alias("e"), "content")
     rows = split.unionByName(moved.select("ts", F.col("e.path").alias("path"), F.col("e.event_type").alias("event_type"), "content"))
-    return rows.groupBy("path").applyInPandasWithState(step, "ts timestamp, path string, meaning string, content string", "known boolean", "append", GroupStateTimeout.NoTimeout)
+    if known is not None:
+        rows = rows.join(known.select("path").distinct().withColumn("was_known", F.lit(True)), "path", "left")
+    else:
+        rows = rows.withColumn("was_known", F.lit(False))
+    rows = rows.select("ts", "path", "event_type", "content", F.coalesce("was_known", F.lit(False)).alias("was_known"))
+    return rows.groupBy("path").applyInPandasWithState(step, "ts timestamp, path string, meaning string, content string", "known boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def snapshot_events(before: DataFrame, now: DataFrame, at: str) -> DataFrame:
+    """EVENTS between two readings of a folder (path, content): what was created, modified and deleted, at one time.
+
+    An empty reading before gives the initial snapshot.
+    """
+    old, new = before.select("path", F.md5("content").alias("old")), now.select("path", "content")
+    both = old.withColumn("was", F.lit(True)).join(new.withColumn("is", F.lit(True)), "path", "full_outer")
+    kind = F.when(F.col("was").isNull(), "created").when(F.col("is").isNull(), "deleted").when(~F.md5("content").eqNullSafe(F.col("old")), "modified")
+    return both.withColumn("event_type", kind).filter("event_type is not null").select(F.lit(at).cast("timestamp").alias("ts"), "path", "event_type", F.lit(None).cast("string").alias("from_path"), "content")
+
+
+def poll(spark: SparkSession, root: str, folder: str, before: DataFrame, at: str) -> DataFrame:
+    """Reads a repository again, puts its changes into a folder that watch() follows, and returns the reading."""
+    now = written(repository.read_repository(spark, root), "reading")
+    snapshot_events(before, now, at).write.mode("append").json(folder)
+    return now
 
 
 def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
