@@ -4,11 +4,15 @@ All documents in the order of their ids are one text of words.  LPF[p] is the le
 the words from p on with words that begin earlier; in suffix order the earlier candidates are the previous
 and the next smaller position.  Words that a match of MIN_WORDS or more covers are later copies.
 
-For that, suffixes need only be ordered by their first MIN_WORDS words: a longer match of p is one of p + 1,
-p + 2, ... as well, and covers the same words.  Suffixes alike so far stand together, ordered by position,
-hence the previous smaller position of each is the one before it, and the first of all is kept.  Positions
-that can't have a match are left out beforehand: every window of MIN_WORDS words holds a minimizer (the least
-hash of WINDOW neighbouring runs of words), which a second copy of the window holds too.
+lpf() is that method to the letter, for texts that fit into one process.  Over a corpus repeated_spans() asks
+less of it: whether LPF[p] reaches MIN_WORDS, which is all that the removals hang on, as a longer match of p is
+one of p + 1, p + 2, ... as well and covers the same words.  Suffixes with one beginning of MIN_WORDS words are
+neighbours in suffix order, whatever the order of the groups of such suffixes; within one, ordered by position,
+the previous smaller position of each is the one before it.  So suffixes are grouped by hashes of their first
+MIN_WORDS words (95 bits), not sorted by words, and match lengths beyond MIN_WORDS aren't computed: sorting all
+suffixes by prefix doubling would send 24 bytes a word in each round, about 8 times the input.  Positions that
+can't have a match are left out beforehand: every window of MIN_WORDS words holds a minimizer (the least hash
+of WINDOW neighbouring runs of words), which a second copy of the window holds too.
 """
 
 from __future__ import annotations
@@ -156,12 +160,17 @@ def repeated_spans(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns, later copies cut out of text and n_chars counted anew.
 
-    Rows that take no part in the search stay as they are, as do further rows with one id.
+    Rows that take no part in the search stay as they are, as do further rows with one id, unless they have the
+    same text: these are cut alike.
     """
     tune(documents.sparkSession)
-    listed, key = fresh(documents, "__spans"), fresh(documents, "__id")
+    listed, key, least = (fresh(documents, c) for c in ("__spans", "__id", "__least"))
     spans = repeated_spans(documents, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin_word", "end_word"))).alias(listed))
-    joined = documents.join(spans.withColumnRenamed("doc_id", key), documents["doc_id"].cast("long") == F.col(key), "left").drop(key)
+    rows = documents.withColumn(key, F.col("doc_id").cast("long"))
+    joined = rows.join(spans.withColumnRenamed("doc_id", key), key, "left")
+    # Rows of one id lie together by then; the text that was searched is the least of them.
+    joined = joined.withColumn(least, F.min(F.col("text").cast("string")).over(Window.partitionBy(key)))
+    joined = joined.withColumn(listed, F.when(F.col("text").cast("string") == F.col(least), F.col(listed))).select(*documents.columns, listed)
     at_text, n = documents.columns.index("text"), len(documents.columns)
     at_size = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
     names = documents.columns  # not the DataFrame, which no executor can hold
