@@ -36,7 +36,7 @@ STEM, NEIGHBOURS, BANDWIDTH = 4, 15, 0.1
 #: The power of what a term tells of the label in its weight.
 SHARPNESS = 1.25
 #: Texts scored at once; examples of a block; the share of examples over which a term has block maxima; blocks scored first.
-BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.02, 4
+BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.05, 4
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
 _STEM = np.uint64(0x51ED270B7F4A7C15)
@@ -102,11 +102,16 @@ class Index:
     base: float = 0.0  # of examples without any term
 
     @cached_property
-    def values(self) -> np.ndarray:
-        """Weights of the examples' terms, each example of length 1."""
-        x = (1 + np.log(self.counts.astype(np.float64))) * self.weight[self.terms]
-        sizes = np.diff(self.starts)
-        return x / np.repeat(np.sqrt(np.add.reduceat(x * x, self.starts[:-1])), sizes) if len(x) else x
+    def sizes(self) -> np.ndarray:
+        """Length of each example's vector before it is made 1."""
+        out = np.empty(len(self.ids))
+        for a in range(0, len(out), BLOCK):  # a block at a time, so that all weights are never there at once
+            x = self._raw(slice(self.starts[a], self.starts[min(a + BLOCK, len(out))]))
+            out[a : a + BLOCK] = np.sqrt(np.add.reduceat(x * x, self.starts[a : min(a + BLOCK, len(out))] - self.starts[a]))
+        return out
+
+    def _raw(self, which) -> np.ndarray:
+        return (1 + np.log(self.counts[which].astype(np.float64))) * self.weight[self.terms[which]]
 
     @cached_property
     def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,15 +121,23 @@ class Index:
         common = np.flatnonzero(df > max(BLOCK, DENSE * n))
         row = np.full(len(self.weight), -1, dtype=np.int32)
         row[common] = np.arange(len(common))
-        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
-        at = row[self.terms]
-        of = at >= 0
-        blocks = np.zeros((-(-n // BLOCK), len(common), BLOCK), dtype=np.float32)
-        blocks[owner[of] // BLOCK, at[of], owner[of] % BLOCK] = self.values[of]
-        rare = np.flatnonzero(~of)
-        rare = rare[np.argsort(self.terms[rare], kind="stable")]
         starts = np.concatenate([[0], np.cumsum(np.where(row < 0, df, 0))])
-        return row, blocks, np.ascontiguousarray(blocks.max(axis=2, initial=0).T), starts, owner[rare], self.values[rare].astype(np.float32)
+        owner, values = np.empty(starts[-1], dtype=np.int32), np.empty(starts[-1], dtype=np.float32)
+        blocks, free = np.zeros((-(-n // BLOCK), len(common), BLOCK), dtype=np.float32), starts[:-1].copy()
+        for b in range(len(blocks)):
+            first, last = b * BLOCK, min((b + 1) * BLOCK, n)
+            which = slice(self.starts[first], self.starts[last])
+            who = np.repeat(np.arange(first, last), np.diff(self.starts[first : last + 1]))
+            terms, x = self.terms[which], self._raw(which) / self.sizes[who]
+            of = row[terms] >= 0
+            blocks[b, row[terms[of]], who[of] - first] = x[of]
+            rare = np.flatnonzero(~of)
+            rare = rare[np.argsort(terms[rare], kind="stable")]
+            seen, begin, many = np.unique(terms[rare], return_index=True, return_counts=True)
+            at = np.repeat(free[seen] - begin, many) + np.arange(len(rare))
+            owner[at], values[at] = who[rare], x[rare]
+            free[seen] += many
+        return row, blocks, np.ascontiguousarray(blocks.max(axis=2, initial=0).T), starts, owner, values
 
     @cached_property
     def place(self) -> dict[int, int]:
@@ -208,7 +221,7 @@ class Index:
                 self._query[at] = w
                 sizes = self.starts[maybe + 1] - self.starts[maybe]
                 which = _ranges(self.starts[maybe], sizes)
-                cosines = np.add.reduceat(self._query[self.terms[which]] * self.values[which], np.cumsum(sizes) - sizes)
+                cosines = np.add.reduceat(self._query[self.terms[which]] * self._raw(which), np.cumsum(sizes) - sizes) / self.sizes[maybe]
                 self._query[at] = 0
                 found = [(float(c), int(self.ids[j]), int(self.labels[j])) for c, j in zip(np.round(cosines, 12), maybe) if c > 0]
                 out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
@@ -249,32 +262,21 @@ def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log((1 + n_docs) / (1 + df)) + 1
 
 
-def assembled(vocabulary: np.ndarray, weight: np.ndarray, ids, labels, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
-    """An index without calibration. Examples without a term of some weight make its base; terms without one go.
-
-    Examples of one label whose heaviest terms are the same stand together, so that blocks have small maxima.
-    """
-    owner = np.repeat(np.arange(len(ids)), np.diff(starts))
-    use = weight[terms] > 0
-    owner, terms, counts = owner[use], terms[use].astype(np.int32), counts[use]
-    ids, labels = np.asarray(ids, dtype=np.int64), np.asarray(labels, dtype=np.int8)
-    heavy = np.lexsort((-weight[terms], owner))
-    begin = np.searchsorted(owner[heavy], np.arange(len(ids)))
-    tops = [np.where((at := begin + d) < np.append(begin[1:], len(heavy)), terms[heavy[np.minimum(at, max(0, len(heavy) - 1))]] if len(heavy) else 0, -1) for d in range(3)]
-    order = np.lexsort((ids, *tops[::-1], labels))
-    new = np.empty(len(ids), dtype=np.int64)
-    new[order] = np.arange(len(ids))
-    by = np.lexsort((terms, new[owner]))
-    owner, terms, counts, ids, labels = new[owner][by], terms[by], counts[by], ids[order], labels[order]
-    sizes = np.bincount(owner, minlength=len(ids)).astype(np.int64)
-    full = sizes > 0
-    small = counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
-    index = Index(vocabulary, weight, ids[full], labels[full], np.concatenate([[0], np.cumsum(sizes[full])]), terms, small)
+def assembled(vocabulary: np.ndarray, weight: np.ndarray, ids, labels, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
+    """An index without calibration, from examples in their order with sizes terms each. Those without a term make its base."""
+    full, labels, ids = sizes > 0, np.asarray(labels, dtype=np.int8), np.asarray(ids, dtype=np.int64)
+    index = Index(vocabulary, weight, ids[full], labels[full], np.concatenate([[0], np.cumsum(sizes[full])]), terms.astype(np.int32, copy=False), counts)
     blank = labels[~full]
     index.base = (float(blank.sum()) + 0.5) / (len(blank) + 1) if len(blank) else 0.0
     return index
 
 
+def _heaviest(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> list[int]:
+    """The three terms of the greatest weights, -1 where there are fewer: examples in this order have blocks of small maxima."""
+    at = np.argsort(-(1 + np.log(counts)) * weight[terms], kind="stable")[:3]
+    return [*terms[at].tolist(), -1, -1, -1][:3]
+
+
 def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
     """The index over examples (id, label, term counts) by inverse document frequency alone, calibrated by leaving one out."""
     names = list(df)
@@ -282,11 +284,11 @@ def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n
     order = np.argsort(hashes)
     names = [names[i] for i in order]
     number = {t: i for i, t in enumerate(names)}
-    rows = [sorted((number[t], n) for t, n in c.items() if t in number) for _, _, c in examples]
-    flat = np.array([x for r in rows for x in r], dtype=np.int64).reshape(-1, 2)
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     weight = inverse_frequency(np.array([df[t] for t in names], dtype=np.float64), n_docs)
-    index = assembled(hashes[order], weight, [i for i, _, _ in examples], [y for _, y, _ in examples], starts, flat[:, 0], flat[:, 1])
+    lists = [np.array(sorted((number[t], n) for t, n in c.items() if t in number), dtype=np.int64).reshape(-1, 2) for _, _, c in examples]
+    order_of = sorted(range(len(examples)), key=lambda i: (examples[i][1], *_heaviest(lists[i][:, 0], lists[i][:, 1], weight), examples[i][0]))
+    flat = np.concatenate([lists[i] for i in order_of]) if examples else np.zeros((0, 2), dtype=np.int64)
+    index = assembled(hashes[order], weight, [examples[i][0] for i in order_of], [examples[i][1] for i in order_of], np.array([len(lists[i]) for i in order_of], dtype=np.int64), flat[:, 0], flat[:, 1])
     vectors = [v for _, _, c in examples if len((v := index.vector(c))[0])]
     own = {i: y for i, y, _ in examples}
     near = index.nearest_of(vectors, k, [i for i, _, c in examples if len(index.vector(c)[0])])
@@ -327,6 +329,8 @@ def _document_counts(vocabulary: list):
 def _sent(spark: SparkSession, value) -> list:
     """Broadcasts of value's bytes, in parts within the broadcast bound."""
     data = pickle.dumps(value, protocol=5)
+    if len(data) <= BROADCAST_BYTES:
+        return [send(spark, data, len(data))]
     return [send(spark, data[a : a + BROADCAST_BYTES], min(BROADCAST_BYTES, len(data) - a)) for a in range(0, len(data), BROADCAST_BYTES)]
 
 
@@ -361,9 +365,6 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     df = np.zeros(len(known), dtype=np.int64)
     df[every["term"].to_numpy()] = every["n"].to_numpy()
     del every
-    rows = _vectors(examples, vocabulary).toArrow().combine_chunks()
-    sizes = pc.list_value_length(rows["terms"]).to_numpy()
-    terms, tf = (pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "counts"))
     # df x KL divergence bounds the logarithm of the chance to see such a share at random.
     share, p = toxic / size, pos / n
 
@@ -371,7 +372,15 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / y), 0.0)
 
     gain = size * np.maximum(part(share, p) + part(1 - share, 1 - p), 0.0)
-    index = assembled(known, inverse_frequency(df, texts.count()) * gain**SHARPNESS, rows["doc_id"].to_numpy(), rows["y"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms, tf)
+    weight = inverse_frequency(df, texts.count()) * gain**SHARPNESS
+    del df, size, toxic, share, gain
+    rows = _vectors(examples, _sent(spark, (known, weight))).orderBy("y", "t0", "t1", "t2", "doc_id").drop("t0", "t1", "t2").toArrow()
+    lists = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in rows["terms"]]
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    terms = np.concatenate(lists)
+    tf = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8 if len(x.as_buffer()) == n else np.int32) for x, n in zip(rows["counts"], sizes.tolist())])
+    index = assembled(known, weight, rows["doc_id"].to_numpy(), rows["y"].to_numpy(), sizes, terms, tf)
+    del rows, lists, terms, tf
     # Leave-one-out votes: an example never votes on itself.
     own = dict(zip(index.ids.tolist(), index.labels.tolist()))
     votes = score(examples, index, k, bandwidth).select("doc_id", "votes").toArrow()
@@ -379,19 +388,25 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return index
 
 
-def _vectors(examples: DataFrame, vocabulary: list) -> DataFrame:
-    """doc_id, y, terms (their numbers, in order), counts of the examples; at most max_examples rows."""
+def _vectors(examples: DataFrame, sent: list) -> DataFrame:
+    """doc_id, y, terms of some weight (32-bit numbers, in order), counts (in 8 bits if all fit, else 32), the heaviest terms; at most max_examples rows."""
 
     def stage(batches):
         for batch in batches:
-            known = _received(vocabulary)
+            known, weight = _received(sent)
             for first, last, docs, terms in _terms(batch.column(2)):
                 docs, terms, n = _distinct(docs, terms, known)
-                bounds = pa.array(np.searchsorted(docs, np.arange(last - first + 1)).astype(np.int32))
-                lists = (pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (terms, n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), *lists], names=["doc_id", "y", "terms", "counts"])
-
-    return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms array<int>, counts array<int>")
+                use = weight[terms] > 0
+                docs, terms, n = docs[use], terms[use], n[use]
+                bounds = np.searchsorted(docs, np.arange(last - first + 1))
+                tops = np.array([_heaviest(terms[a:b], n[a:b], weight) for a, b in zip(bounds, bounds[1:])], dtype=np.int32)
+                pairs = [(terms[a:b], n[a:b]) for a, b in zip(bounds, bounds[1:])]
+                packed = ([t.astype(np.int32).tobytes() for t, _ in pairs], [m.astype(np.uint8 if not len(m) or m.max() < 256 else np.int32).tobytes() for _, m in pairs])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(first, last - first) for i in range(2)), *(pa.array(x, pa.binary()) for x in packed), *(pa.array(tops[:, i]) for i in range(3))], names=["doc_id", "y", "terms", "counts", "t0", "t1", "t2"]
+                )
+
+    return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms binary, counts binary, t0 int, t1 int, t2 int")
 
 
 def _sent_index(spark: SparkSession, index: Index) -> list:
