@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from codeloom.engine import Repository
 from codeloom.streaming import changes
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """Every partition of a stateful operator has a store of its own to keep."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 T0 = datetime.datetime(2024, 1, 1)
 
 
