@@ -36,7 +36,7 @@ STEM, NEIGHBOURS, BANDWIDTH = 4, 15, 0.1
 #: The power of what a term tells of the label in its weight.
 SHARPNESS = 1.25
 #: Texts scored at once; examples of a block; the share of examples over which a term has block maxima; blocks scored first.
-BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.05, 4
+BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.05, 16
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
 _STEM = np.uint64(0x51ED270B7F4A7C15)
@@ -189,9 +189,10 @@ class Index:
                 r = row[at]
                 query[i, r[r >= 0]] = w[r >= 0]
                 rare = r < 0
-                begin, sizes = starts[at[rare]], starts[at[rare] + 1] - starts[at[rare]]
-                which = _ranges(begin, sizes)
-                sums[i, :n] = np.bincount(owner[which], np.repeat(w[rare], sizes) * values[which], n)
+                begin, end = starts[at[rare]], starts[at[rare] + 1]
+                lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
+                if lists:
+                    sums[i, :n] = np.bincount(np.concatenate([owner[x] for x in lists]), np.repeat(w[rare], end - begin) * np.concatenate([values[x] for x in lists]), n)
             bound = sums.reshape(len(part), -1, BLOCK).max(axis=2) + query @ most
             scored = np.zeros_like(sums)
             done = np.zeros(bound.shape, dtype=bool)
@@ -205,16 +206,19 @@ class Index:
                         scored[i, self.place[but]] = 0
                 np.logical_or(done, wanted, out=done)
 
-            def least() -> np.ndarray:
-                return np.partition(scored, scored.shape[1] - k, axis=1)[:, scored.shape[1] - k] if scored.shape[1] > k else np.zeros(len(part), dtype=np.float32)
-
+            first_ones = np.argpartition(-bound, min(SEEDS, bound.shape[1]) - 1, axis=1)[:, :SEEDS]
             seeds = np.zeros_like(done)
-            np.put_along_axis(seeds, np.argpartition(-bound, min(SEEDS, bound.shape[1]) - 1, axis=1)[:, :SEEDS], True, axis=1)
+            np.put_along_axis(seeds, first_ones, True, axis=1)
             reach(seeds & (bound > 0))
-            reach(~done & (bound > 0) & (bound >= (least() * (1 - 2 * error))[:, None]))
-            floor = least()
+            # The k-th best of the seeds is a floor for the k-th best of all.
+            some = np.take_along_axis(scored.reshape(len(part), -1, BLOCK), first_ones[:, :, None], axis=1).reshape(len(part), -1)
+            floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] if some.shape[1] > k else np.zeros(len(part), dtype=np.float32)
+            reach(~done & (bound > 0) & (bound >= (floor * (1 - 2 * error))[:, None]))
             for i, (at, w) in enumerate(part):
-                maybe = np.flatnonzero((scored[i] > 0) & (scored[i] >= floor[i] * (1 - error)))
+                maybe = np.flatnonzero(scored[i] >= max(floor[i] * (1 - 2 * error), 1e-30))
+                if len(maybe) > k:
+                    near = scored[i][maybe]
+                    maybe = maybe[near >= np.partition(near, len(near) - k)[len(near) - k] * (1 - error)]
                 if not len(maybe):
                     out.append([])
                     continue
@@ -327,8 +331,9 @@ def _document_counts(vocabulary: list):
 
 
 def _sent(spark: SparkSession, value) -> list:
-    """Broadcasts of value's bytes, in parts within the broadcast bound."""
+    """Broadcasts of value's bytes, compressed, in parts within the broadcast bound."""
     data = pickle.dumps(value, protocol=5)
+    data = len(data).to_bytes(8, "big") + pa.compress(data, "zstd", asbytes=True)
     if len(data) <= BROADCAST_BYTES:
         return [send(spark, data, len(data))]
     return [send(spark, data[a : a + BROADCAST_BYTES], min(BROADCAST_BYTES, len(data) - a)) for a in range(0, len(data), BROADCAST_BYTES)]
@@ -336,7 +341,12 @@ def _sent(spark: SparkSession, value) -> list:
 
 def _received(parts: list, make=lambda x: x):
     """make(what was sent), kept for the life of a Python worker."""
-    return once(parts[0], lambda first: make(pickle.loads(b"".join([first, *(p.value[1] for p in parts[1:])]))))
+
+    def unpacked(first: bytes):
+        data = b"".join([first, *(p.value[1] for p in parts[1:])])
+        return make(pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "big"), "zstd")))
+
+    return once(parts[0], unpacked)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
@@ -374,12 +384,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     gain = size * np.maximum(part(share, p) + part(1 - share, 1 - p), 0.0)
     weight = inverse_frequency(df, texts.count()) * gain**SHARPNESS
     del df, size, toxic, share, gain
-    rows = _vectors(examples, _sent(spark, (known, weight))).orderBy("y", "t0", "t1", "t2", "doc_id").drop("t0", "t1", "t2").toArrow()
-    lists = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in rows["terms"]]
+    rows = _vectors(examples, vocabulary, _sent(spark, weight)).toArrow()
+    ids, y, *tops = (rows[c].to_numpy() for c in ("doc_id", "y", "t0", "t1", "t2"))
+    order = np.lexsort((ids, *tops[::-1], y))
+    lists = [np.frombuffer(rows["terms"][i].as_buffer(), dtype=np.int32) for i in order.tolist()]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     terms = np.concatenate(lists)
-    tf = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8 if len(x.as_buffer()) == n else np.int32) for x, n in zip(rows["counts"], sizes.tolist())])
-    index = assembled(known, weight, rows["doc_id"].to_numpy(), rows["y"].to_numpy(), sizes, terms, tf)
+    tf = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8 if len(x.as_buffer()) == n else np.int32) for x, n in zip((rows["counts"][i] for i in order.tolist()), sizes.tolist())])
+    index = assembled(known, weight, ids[order], y[order], sizes, terms, tf)
     del rows, lists, terms, tf
     # Leave-one-out votes: an example never votes on itself.
     own = dict(zip(index.ids.tolist(), index.labels.tolist()))
@@ -388,12 +400,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return index
 
 
-def _vectors(examples: DataFrame, sent: list) -> DataFrame:
+def _vectors(examples: DataFrame, vocabulary: list, weights: list) -> DataFrame:
     """doc_id, y, terms of some weight (32-bit numbers, in order), counts (in 8 bits if all fit, else 32), the heaviest terms; at most max_examples rows."""
 
     def stage(batches):
         for batch in batches:
-            known, weight = _received(sent)
+            known, weight = _received(vocabulary), _received(weights)
             for first, last, docs, terms in _terms(batch.column(2)):
                 docs, terms, n = _distinct(docs, terms, known)
                 use = weight[terms] > 0
@@ -413,12 +425,13 @@ def _sent_index(spark: SparkSession, index: Index) -> list:
     """Broadcasts of an index without its calibration: the same for the votes that it is calibrated by and for all later ones."""
     app = spark.sparkContext.applicationId
     if index.__dict__.get("sent", (None,))[0] != app:
-        index.__dict__["sent"] = app, _sent(spark, (index.vocabulary, index.weight, index.ids, index.labels, index.starts, index.terms, index.counts))
+        index.__dict__["sent"] = app, _sent(spark, (index.vocabulary, index.weight, index.ids, index.labels, index.starts, np.diff(index.terms, prepend=np.int32(0)), index.counts))
     return index.__dict__["sent"][1]
 
 
 def _unpacked(packed: tuple) -> Index:
-    return Index(*packed)
+    *head, steps, counts = packed
+    return Index(*head, np.cumsum(steps, dtype=np.int32), counts)
 
 
 def judged(index: Index, steps: list, base: float, texts: pa.Array, ids: list, k: int, bandwidth: float) -> list[tuple[float, float, list]]:
