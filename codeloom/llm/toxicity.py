@@ -36,7 +36,7 @@ STEM, NEIGHBOURS, BANDWIDTH = 4, 15, 0.1
 #: The power of what a term tells of the label in its weight.
 SHARPNESS = 1.25
 #: Texts scored at once; examples of a block; the share of examples over which a term has block maxima; blocks scored first.
-BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.05, 16
+BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.1, 16
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
 _STEM = np.uint64(0x51ED270B7F4A7C15)
