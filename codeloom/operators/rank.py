@@ -35,6 +35,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = STEPS, damping: fl
     base = (1 - damping) / n
     listed = written(weighted_shares(edges.join(nodes.withColumnRenamed("path", "dst"), "dst", "left_semi")), "rank-shares")
     shares = listed.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    # Only a cached table that is there tells how it is partitioned.
+    shares.count()
     ranks, table = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for step in range(1, steps + 1):
         sent = ranks.hint("merge").join(shares.hint("merge"), ranks["path"] == shares["src"]).groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
