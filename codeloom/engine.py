@@ -16,7 +16,9 @@ from .tables import small, written
 class Repository:
     """files has path (relative) and content. Relations are made at first use; refresh() forgets them."""
 
-    def __init__(self, files: DataFrame, source_roots: tuple[str, ...] | None = None, embedder=search.hashing_embedder, compat: str | None = None) -> None:
+    def __init__(self, files: DataFrame, source_roots: tuple[str, ...] | None = None, embedder=search.hashing_embedder, compat: str | None = None, excluded: tuple[str, ...] = ()) -> None:
+        #: Parts of folder names that the property graph and calls leave out.
+        self.excluded = excluded
         self.files, self.given_roots, self.embedder, self.compat = files, source_roots, embedder, compat
         #: Paths of files that came in later with a syntax error: their sound parts count.
         self.tolerated: DataFrame | None = None
@@ -96,7 +98,7 @@ class Repository:
     @cached_property
     def graph_rows(self) -> DataFrame:
         """The property graph of all files, a row a file."""
-        return written(parsing.graph_rows(self.files), "graph")
+        return written(parsing.graph_rows(parsing.excluding(self.files, self.excluded)), "graph")
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -232,7 +234,8 @@ class Repository:
         before, kept = self.edges, {}
         for name, (make, tolerant) in self._PER_FILE.items():
             if name in self.__dict__:
-                fresh = make(sound).unionByName(make(partial, partial=True)) if tolerant else make(taken)
+                own = (lambda df: parsing.excluding(df, self.excluded)) if name == "graph_rows" else (lambda df: df)
+                fresh = make(own(sound)).unionByName(make(own(partial), partial=True)) if tolerant else make(taken)
                 kept[name] = written(self.__dict__[name].join(small(gone), "path", "left_anti").unionByName(fresh), name)
         files = graph.upserted(self.files, taken)
         if deleted is not None:

@@ -120,6 +120,12 @@ def edge_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.select(cols).exceptAll(old.select(cols)).withColumn("change", F.lit("added")).unionByName(old.select(cols).exceptAll(new.select(cols)).withColumn("change", F.lit("removed")))
 
 
+def change_counts(differences: DataFrame) -> DataFrame:
+    """One row: edges_added, edges_removed, dirty (whether ranks have to be made anew), from edge_differences()."""
+    added, removed = (F.count_if(F.col("change") == c) for c in ("added", "removed"))
+    return differences.agg(added.alias("edges_added"), removed.alias("edges_removed"), (F.count(F.lit(1)) > 0).alias("dirty"))
+
+
 def upserted(files: DataFrame, changed: DataFrame) -> DataFrame:
     """files with the rows of changed in place of those of the same path."""
     return files.join(changed.select("path"), "path", "left_anti").unionByName(changed)

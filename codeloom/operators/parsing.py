@@ -103,12 +103,15 @@ def skeletons(files: DataFrame) -> DataFrame:
 
 
 def checked(files: DataFrame) -> DataFrame:
-    """path, is_valid, line, message; a file of an unknown language is valid."""
+    """path, is_valid, line, message; a file of an unknown language is valid, and so is Rust.
+
+    Python is compiled; in JavaScript, TypeScript and Go brackets and quotes must close.
+    """
     kind = T.StructType([T.StructField("is_valid", T.BooleanType()), T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())])
 
     @F.pandas_udf(kind)
     def check(language: pd.Series, content: pd.Series) -> pd.DataFrame:
-        found = [python_source.check_syntax(c) if lang == "python" else js_source.check_syntax(c) if lang in JS else (True, None, None) for lang, c in zip(language, content)]
+        found = [python_source.check_syntax(c) if lang == "python" else js_source.check_syntax(c) if lang in JS or lang == "go" else (True, None, None) for lang, c in zip(language, content)]
         out = pd.DataFrame(found, columns=["is_valid", "line", "message"])
         out["line"] = out["line"].astype("Int32")
         return out
@@ -235,6 +238,38 @@ def call_sites(files: DataFrame) -> DataFrame:
     return _rows(files, CALL_SITES, make)
 
 
+def edited(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, content, end_line, end_column: files after edits (path, seq, start_line, start_column, end_line, end_column,
+    text), each on what the one before left, with where the last one's text ends.
+
+    Lines and columns count from 0, columns in characters; a place beyond a line or the text is its
+    end, but the end of the new text counts from the place that the edit names.  Files
+    without an edit give no row; edits of unknown files do nothing.
+    """
+    listed = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "start_line", "start_column", "end_line", "end_column", "text"))).alias("edits"))
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, text, steps in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                end = (0, 0)
+                for e in steps:
+                    text, end = python_source.apply_edit(text or "", (e["start_line"], e["start_column"]), (e["end_line"], e["end_column"]), e["text"] or "")
+                rows.append((path, text, *end))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["path", "content", "end_line", "end_column"])
+
+    return files.join(listed, "path").select("path", "content", "edits").mapInArrow(stage, "path string, content string, end_line int, end_column int")
+
+
+def excluding(files: DataFrame, folders: tuple[str, ...]) -> DataFrame:
+    """Files whose folder has none of the given names in it."""
+    folder = F.concat(F.lit("/"), F.regexp_replace("path", r"[^/]*$", ""))
+    for name in folders:
+        files = files.filter(~F.contains(folder, F.lit(name)))
+    return files
+
+
 def signatures(nodes: DataFrame) -> DataFrame:
     """path, name, parameters, return_type, docstring, start_byte, end_byte of functions and methods."""
     return nodes.filter(F.col("kind").isin("function", "method")).select("path", "name", "parameters", "return_type", "docstring", "start_byte", "end_byte")

@@ -130,13 +130,14 @@ ROOTS = {
     "namespace": {"code/m.py": "", "tests/t.py": "", "top.py": ""},
     "hatch": {"pyproject.toml": _HATCH, "lib2/x/m.py": "", "other/y/m.py": ""},
     "setuptools": {"pyproject.toml": '[tool.setuptools.package-dir]\n"" = "here"\n', "here/y/m.py": ""},
+    "setuptools packages": {"pyproject.toml": '[tool.setuptools.package-dir]\n"a.b" = "below/a/b"\n', "below/a/b/m.py": ""},
     "poetry": {"pyproject.toml": '[tool.poetry]\npackages = [{include = "x", from = "py"}]\n', "py/x/m.py": ""},
     "workspace": {"pyproject.toml": '[tool.uv.workspace]\nmembers = ["libs/*"]\n', "libs/one/pyproject.toml": "", "libs/one/src/one/m.py": ""},
     "declared but absent": {"pyproject.toml": _HATCH, "lib/z/m.py": ""},
 }
 
 
-@holds("repo VARCHAR, place INTEGER, root VARCHAR", ("src", 0, "src"), ("src is a package", 0, "code"), ("legacy", 0, "code"), ("namespace", 0, "code"), ("hatch", 0, "lib2"), ("setuptools", 0, "here"), ("poetry", 0, "py"), ("workspace", 0, "libs/one/src"), ("declared but absent", 0, "lib"))
+@holds("repo VARCHAR, place INTEGER, root VARCHAR", ("src", 0, "src"), ("src is a package", 0, "code"), ("legacy", 0, "code"), ("namespace", 0, "code"), ("hatch", 0, "lib2"), ("setuptools", 0, "here"), ("setuptools packages", 0, "below"), ("poetry", 0, "py"), ("workspace", 0, "libs/one/src"), ("declared but absent", 0, "lib"))
 def q45_source_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(name, i, root) for name, texts in ROOTS.items() for i, root in enumerate(packages.source_roots(files_of(spark, texts)))]
     return spark.createDataFrame(rows, "repo string, place int, root string")
@@ -212,6 +213,19 @@ def q56_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", F.size("parameters").alias("n_parameters"), "return_type", "docstring")
 
 
+@holds("path VARCHAR, content VARCHAR, end_line INTEGER, end_column INTEGER", ("a.py", "xé = 2\ny = 3\nz\n", 1, 5), ("b.py", "new", 7, 6))
+def q57_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits in turn, with characters of several bytes, and one beyond the end, whose own end counts from the place that it names."""
+    files = files_of(spark, {"a.py": "é = 1\nz\n", "b.py": "", "c.py": "same"})
+    edits = [("a.py", 1, 0, 0, 0, 1, "xé"), ("a.py", 2, 0, 5, 0, 6, "2\ny = 3"), ("b.py", 1, 7, 3, 9, 9, "new"), ("gone.py", 1, 0, 0, 0, 0, "x")]
+    return parsing.edited(files, spark.createDataFrame(edits, "path string, seq int, start_line int, start_column int, end_line int, end_column int, text string"))
+
+
+@holds("path VARCHAR", ("src/a.py",), ("b.py",), ("latest.py",))
+def q58_excluded_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.excluding(files_of(spark, dict.fromkeys(("src/a.py", "b.py", "latest.py", "tests/c.py", "x/mytests/d.py"), "")), ("tests",)).select("path")
+
+
 # ---- imports
 
 
@@ -320,6 +334,13 @@ def q71_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo.update(changed, spark.createDataFrame([("pkg/core.py",)], "path string"))
 
 
+@holds("edges_added BIGINT, edges_removed BIGINT, dirty BOOLEAN", (2, 1, True))
+def q71b_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge that changes its kind goes and comes."""
+    old, new = (spark.createDataFrame(rows, "src string, dst string, kind string") for rows in ([("a", "b", "Import"), ("a", "c", "SymbolUsage")], [("a", "b", "Import"), ("a", "c", "Import"), ("b", "c", "Import")]))
+    return graph.change_counts(graph.edge_differences(old, new))
+
+
 @holds("dst VARCHAR, n_waiting BIGINT", ("lib.pyi", 1), ("broken.py", 2))
 def q72_waiting_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of a file that isn't a node, here one with a syntax error."""

@@ -115,7 +115,9 @@ def declared_roots(pyproject: str | None) -> list[str]:
     found = [p.rsplit("/", 1)[0] for p in hatch if "/" in p]
     if not found:
         setup = tool.get("setuptools", {})
-        found = [v for k, v in setup.get("package-dir", {}).items() if k == ""] if isinstance(setup.get("package-dir", {}), dict) else []
+        dirs = setup.get("package-dir", {})
+        # A package's own folder is below its root as deep as its name is.
+        found = [v if not k else "/".join(v.split("/")[: -len(k.split("."))]) for k, v in dirs.items() if isinstance(v, str)] if isinstance(dirs, dict) else []
         packages = setup.get("packages", {})
         if not found and isinstance(packages, dict):
             found = list(packages.get("find", {}).get("where", []))

@@ -116,7 +116,8 @@ def read_repository(spark: SparkSession, root: str, ignored_dirs: tuple[str, ...
     """path (relative), content of the text files under root; files that aren't UTF-8 are left out.
 
     The driver lists names alone (Spark's own file sources skip names that begin with . or _, and empty files);
-    what passes the rules is read by the executors, to whom root must be visible.
+    what passes the rules is read by the executors, to whom root must be visible.  A query listener sees how many
+    files there are and how many were dropped, under the name repository.
     """
     base = Path(root).resolve()
     names, rules = [], outer_rules(base)
@@ -131,13 +132,25 @@ def read_repository(spark: SparkSession, root: str, ignored_dirs: tuple[str, ...
     def stage(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                try:
-                    text = (base / path).read_bytes().decode()
-                except (UnicodeDecodeError, FileNotFoundError):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["path", "content"])
+                text = _read_text(base / path)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string())], names=["path", "content"])
 
-    return scan(paths, ignored_dirs, rules, tracked).select("path").mapInArrow(stage, "path string, content string")
+    found = scan(paths, ignored_dirs, rules, tracked).select("path").mapInArrow(stage, "path string, content string")
+    counted = found.observe("repository", F.count(F.lit(1)).alias("files"), F.count_if(F.col("content").isNull()).alias("dropped"))
+    return counted.filter("content is not null")
+
+
+def _read_text(path: Path, tries: int = 3, pause: float = 0.1) -> str | None:
+    """A file's text, after some tries; null where it is gone, can't be read or isn't UTF-8."""
+    for left in reversed(range(tries)):
+        try:
+            return path.read_bytes().decode()
+        except UnicodeDecodeError:
+            return None
+        except OSError:
+            if left:
+                time.sleep(pause)
+    return None
 
 
 def known_files(files: DataFrame) -> DataFrame:
@@ -166,7 +179,7 @@ def write_file(root: str, path: str, content: str) -> Path:
     """Writes a text whose syntax is right, with the old one kept beside it under the time."""
     full = inside(root, path)
     language = LANGUAGE_OF.get(PurePosixPath(path).suffix.lstrip(".").lower())
-    valid, line, message = python_source.check_syntax(content) if language == "python" else js_source.check_syntax(content) if language and language not in ("rust", "go") else (True, None, None)
+    valid, line, message = python_source.check_syntax(content) if language == "python" else js_source.check_syntax(content) if language and language != "rust" else (True, None, None)
     if not valid:
         raise ValueError(f"{path}:{line}: {message}")
     if full.exists():
