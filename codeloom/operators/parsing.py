@@ -6,6 +6,7 @@ Filters on path belong before these operators: Catalyst can't push them through
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import js_source, python_source
+from ..functions import js_flow, js_source, python_source
 from ..schemas import CALL_SITES, CPG_EDGES, CPG_NODES, IMPORTS, SYMBOLS
 from .graph import language_of
 
@@ -164,18 +165,64 @@ def _js_graph(path: str, text: str) -> python_source.Graph:
             for o, c in owners:
                 if o.kind == "class" and o.name == d.parent:
                     g.edges.append((c, i, "AstChild", None, None))
+    held = _js_statements(path, text, g, owners, bytes_to)
     for name, receiver, args, start, end in js_source.calls(text):
         inside = [(o.end - o.start, i) for o, i in owners if o.kind in ("function", "method") and o.start <= start < o.end]
         if inside:
             caller = min(inside)[1]
+            own = [(y - x, i) for x, y, f, i in held if f == caller and x <= start < y]
             a, b = bytes_to(start), bytes_to(end)
             g.calls.append({
-                "site_id": _id(path, "call", a, b, name), "path": path, "statement_id": caller, "caller_id": caller, "callee_name": name, "receiver": receiver,
+                "site_id": _id(path, "call", a, b, name), "path": path, "statement_id": min(own)[1] if own else caller, "caller_id": caller, "callee_name": name, "receiver": receiver,
                 "positional_args": args, "keyword_args": [], "start_byte": a, "end_byte": b, "line": text.count("\n", 0, start) + 1,
             })
     return g
 
 
+def _js_statements(path: str, text: str, g: python_source.Graph, owners: list, bytes_to: Callable[[int], int]) -> list[tuple[int, int, str, str]]:
+    """Adds statements and control flow of every function; (begin, end, function, statement) in characters."""
+    code = [t for t in js_source.tokens(text) if t.kind != "comment"]
+    pair, begins, held = js_source._partners(code), [t.start for t in code], []
+    reader = js_flow.Reader(text, code, pair)
+
+    def row(name: str, kind: str, a: int, b: int, **more) -> str:
+        i = _id(path, kind, bytes_to(a), bytes_to(b), name)
+        g.nodes.append({
+            "node_id": i, "path": path, "name": name, "kind": kind, "start_byte": bytes_to(a), "end_byte": bytes_to(b), "start_line": text.count("\n", 0, a) + 1, "end_line": text.count("\n", 0, max(a, b - 1)) + 1,
+            "parameters": [], "return_type": None, "docstring": None, "bases": [], "parent_class": None, "statement_kind": None, "function_id": None, "defs": [], "uses": [],
+        } | more)
+        return i
+
+    for d, f in owners:
+        if d.kind not in ("function", "method"):
+            continue
+        first, last = bisect_left(begins, d.name_start), bisect_left(begins, d.end)
+        # The body is the last block; an arrow function without one has an expression, which it returns.
+        arrow = next((k for k in range(first, last) if code[k].text == "=>"), None) if d.kind == "function" and first + 1 < last and code[first + 1].text in ("=", ":") else None
+        k = arrow + 1 if arrow is not None else next((k for k in range(first, last) if code[k].text == "{" and pair.get(k) is not None and code[pair[k]].end == d.end), None)
+        if k is None or k >= last:
+            continue
+        if code[k].text == "{" and k in pair:
+            body = reader.block(k + 1, pair[k])
+        else:
+            stop = last - 1 if code[last - 1].text == ";" else last
+            body = [reader._made("return", k, stop, stop)]
+        names = [n for p in d.parameters if (n := p["name"].lstrip(".")).isidentifier()]
+        entry, exit_ = row("entry", "cfg_entry", d.start, d.end, function_id=f, defs=names), row("exit", "cfg_exit", d.start, d.end, function_id=f)
+
+        def node(s: js_flow.Statement, f: str = f) -> str:
+            a, b = code[s.first].start, code[s.last - 1].end
+            i = row(f"{s.kind}: {text[a:b].split(chr(10))[0][:60]}", "statement", a, b, statement_kind=s.kind, function_id=f, defs=s.defs, uses=s.uses)
+            g.edges.append((f, i, "AstChild", None, None))
+            held.append((a, b, f, i))
+            return i
+
+        flow = js_flow.Flow(node, lambda a, b, kind: g.edges.append((a, b, f"ControlFlow{kind}", None, None)), exit_)
+        for at, kind in flow.block(body, [(entry, "Next")], None):
+            g.edges.append((at, exit_, f"ControlFlow{kind}", None, None))
+    return held
+
+
 def graph_rows(files: DataFrame, partial: bool = False) -> DataFrame:
     """part (nodes, edges or sites) and rows of all three relations, from one parse of each file: write it, then read its parts."""
     kinds = {"nodes": CPG_NODES, "edges": CPG_EDGES, "sites": CALL_SITES}

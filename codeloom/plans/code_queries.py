@@ -394,7 +394,7 @@ def q81_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q82_script_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "export function f(a: number, b = 2, ...c): string { return a; }\nconst g = (x) => x;\nclass K extends Base implements Face { async m(y) { return y; } }\nlet v = 1;\n"
     parts = F.transform("parameters", lambda p: F.concat_ws(":", p["name"], p["type_annotation"]))
-    return parsing.cpg_nodes(files_of(spark, {"a.ts": text})).select("name", "kind", "parent_class", "bases", "return_type", parts.alias("parameters"))
+    return parsing.cpg_nodes(files_of(spark, {"a.ts": text})).filter("function_id is null").select("name", "kind", "parent_class", "bases", "return_type", parts.alias("parameters"))
 
 
 @holds("parent VARCHAR, child VARCHAR", ("Engine", "start"), ("Engine", "warm"), ("start", "expression: self.warm()"), ("start", "assignment: x = helper(n)"), ("start", "return: return x"), ("warm", "return: return None"), ("helper", "return: return n"))
@@ -493,6 +493,58 @@ def q86_defs_and_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.cpg_nodes(files_of(spark, {"a.py": text})).filter("function_id is not null").select("name", "defs", "uses")
 
 
+_SCRIPT = """export function pick(list, n = 0) {
+  let best = null
+  for (const x of list) {
+    if (x.size > n) { best = x; continue; }
+    else if (!x) break
+    n += 1;
+  }
+  try { save(best) } catch (e) { log(e); } finally { close(); }
+  return best;
+}
+const twice = (v) => v * 2;
+"""
+
+
+@holds(
+    "src VARCHAR, dst VARCHAR, kind VARCHAR",
+    ("entry", "assignment: let best = null", "Next"), ("assignment: let best = null", "for: for (const x of list) {", "Next"), ("for: for (const x of list) {", "if: if (x.size > n) { best = x; continue; }", "True"), ("if: if (x.size > n) { best = x; continue; }", "assignment: best = x;", "True"), ("assignment: best = x;", "continue: continue;", "Next"),
+    ("continue: continue;", "for: for (const x of list) {", "Back"), ("if: if (x.size > n) { best = x; continue; }", "if: if (!x) break", "False"), ("if: if (!x) break", "break: break", "True"), ("if: if (!x) break", "augmented_assignment: n += 1;", "Next"), ("augmented_assignment: n += 1;", "for: for (const x of list) {", "Back"),
+    ("break: break", "try: try { save(best) } catch (e) { log(e); } finally { close(); ", "Next"), ("for: for (const x of list) {", "try: try { save(best) } catch (e) { log(e); } finally { close(); ", "False"), ("try: try { save(best) } catch (e) { log(e); } finally { close(); ", "expression: save(best)", "Next"), ("try: try { save(best) } catch (e) { log(e); } finally { close(); ", "expression: log(e);", "Exception"),
+    ("expression: save(best)", "expression: close();", "Next"), ("expression: log(e);", "expression: close();", "Next"), ("expression: close();", "return: return best;", "Next"), ("return: return best;", "exit", "Next"), ("entry", "return: v * 2", "Next"), ("return: v * 2", "exit", "Next"),
+)
+def q84b_script_control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loop with both ways out, a branch behind another, a handler with an end of its own, an arrow function; names end after 60 characters."""
+    return _script_edges(spark, "ControlFlow").select("src", "dst", F.regexp_replace("kind", "^ControlFlow", "").alias("kind"))
+
+
+def _script_edges(spark: SparkSession, kind: str) -> DataFrame:
+    files = files_of(spark, {"a.ts": _SCRIPT})
+    names, edges = parsing.cpg_nodes(files).select("node_id", "name"), parsing.cpg_edges(files).filter(F.col("kind").startswith(kind))
+    for c in ("src", "dst"):
+        edges = edges.join(names.select(F.col("node_id").alias(c), F.col("name").alias(f"{c}_name")), c)
+    return edges.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "kind", "variable")
+
+
+
+@holds(
+    "src VARCHAR, dst VARCHAR, variable VARCHAR",
+    ("entry", "for: for (const x of list) {", "list"), ("for: for (const x of list) {", "if: if (x.size > n) { best = x; continue; }", "x"), ("entry", "if: if (x.size > n) { best = x; continue; }", "n"), ("augmented_assignment: n += 1;", "if: if (x.size > n) { best = x; continue; }", "n"),
+    ("for: for (const x of list) {", "assignment: best = x;", "x"), ("for: for (const x of list) {", "if: if (!x) break", "x"), ("entry", "augmented_assignment: n += 1;", "n"), ("augmented_assignment: n += 1;", "augmented_assignment: n += 1;", "n"),
+    ("assignment: let best = null", "expression: save(best)", "best"), ("assignment: best = x;", "expression: save(best)", "best"), ("assignment: let best = null", "return: return best;", "best"), ("assignment: best = x;", "return: return best;", "best"), ("entry", "return: v * 2", "v"),
+)
+def q84c_script_data_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _script_edges(spark, "DataFlowReach").select("src", "dst", "variable")
+
+
+@holds("callee VARCHAR, statement VARCHAR", ("save", "expression: save(best)"), ("log", "expression: log(e);"), ("close", "expression: close();"))
+def q84d_script_call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = files_of(spark, {"a.ts": _SCRIPT})
+    names = parsing.cpg_nodes(files).select(F.col("node_id").alias("statement_id"), F.col("name").alias("statement"))
+    return parsing.call_sites(files).join(names, "statement_id").select(F.col("callee_name").alias("callee"), "statement")
+
+
 # ---- calls
 
 
