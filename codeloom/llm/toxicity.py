@@ -7,7 +7,8 @@ of df x KL divergence, a smooth weight without a threshold or a bound on the num
 
 Examples that are alike stand in blocks of BLOCK.  The inverted index has, for each term, its postings, and for
 terms of many examples the greatest value in each block as well.  A query adds up the postings of its rare
-terms; with the block maxima of the others that bounds what any example of a block can reach.  The blocks of
+terms, but for those that together can add no more than SLIGHT, which is only kept as a margin; with the block
+maxima of the other terms that bounds what any example of a block can reach.  The blocks of
 the greatest bounds are scored first, and of the others only those whose bound reaches the k-th best score so
 far.  Sums in single precision have a known relative error, and all examples that may belong to the k nearest
 by it are scored again in double precision, so the k nearest are exact; ties go to the least id.  Votes fall off with distance; isotonic regression over leave-one-out votes of the
@@ -37,6 +38,8 @@ STEM, NEIGHBOURS, BANDWIDTH = 4, 15, 0.1
 SHARPNESS = 1.25
 #: Texts scored at once; examples of a block; the share of examples over which a term has block maxima; blocks scored first.
 BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.1, 16
+#: What the postings that a query leaves out can add to a cosine; a query whose best scores are near it leaves out none.
+SLIGHT = 0.005
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
 _STEM = np.uint64(0x51ED270B7F4A7C15)
@@ -139,6 +142,15 @@ class Index:
             free[seen] += many
         return row, blocks, np.ascontiguousarray(blocks.max(axis=2, initial=0).T), starts, owner, values
 
+    @cached_property
+    def peaks(self) -> np.ndarray:
+        """Greatest value in the postings of each term."""
+        starts, values = self.by_term[3], self.by_term[5]
+        out, full = np.zeros(len(starts) - 1), np.flatnonzero(np.diff(starts))
+        if len(full):
+            out[full] = np.maximum.reduceat(values, starts[full])
+        return out
+
     @cached_property
     def place(self) -> dict[int, int]:
         return {i: k for k, i in enumerate(self.ids.tolist())}
@@ -173,7 +185,7 @@ class Index:
         """The k best (cosine, id, label) with cosine over 0, ties by id; but is an id to leave out."""
         return self.nearest_of([v], k, [but])[0]
 
-    def nearest_of(self, vectors: list, k: int, buts: list) -> list[list[tuple[float, int, int]]]:
+    def nearest_of(self, vectors: list, k: int, buts: list, slight: float = SLIGHT) -> list[list[tuple[float, int, int]]]:
         n = len(self.ids)
         if not n:
             return [[] for _ in vectors]
@@ -185,15 +197,21 @@ class Index:
             part = vectors[first : first + BATCH]
             query = np.zeros((len(part), len(most)), dtype=np.float32)
             sums = np.zeros((len(part), len(blocks) * BLOCK), dtype=np.float32)  # of rare terms
+            spare = np.zeros(len(part))
             for i, (at, w) in enumerate(part):
                 r = row[at]
                 query[i, r[r >= 0]] = w[r >= 0]
                 rare = r < 0
-                begin, end = starts[at[rare]], starts[at[rare] + 1]
-                lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
+                at, w = at[rare], w[rare]
+                sizes, most_of = starts[at + 1] - starts[at], w * self.peaks[at]
+                order = np.argsort(most_of / np.maximum(sizes, 1), kind="stable")
+                left = int(np.searchsorted(np.cumsum(most_of[order]), slight, side="right")) if slight else 0
+                spare[i] = most_of[order[:left]].sum() * (1 + error)
+                use = np.sort(order[left:])
+                lists = [slice(a, b) for a, b in zip(starts[at[use]].tolist(), starts[at[use] + 1].tolist())]
                 if lists:
-                    sums[i, :n] = np.bincount(np.concatenate([owner[x] for x in lists]), np.repeat(w[rare], end - begin) * np.concatenate([values[x] for x in lists]), n)
-            bound = sums.reshape(len(part), -1, BLOCK).max(axis=2) + query @ most
+                    sums[i, :n] = np.bincount(np.concatenate([owner[x] for x in lists]), np.repeat(w[use], sizes[use]) * np.concatenate([values[x] for x in lists]), n)
+            bound = sums.reshape(len(part), -1, BLOCK).max(axis=2) + query @ most + spare[:, None].astype(np.float32)
             scored = np.zeros_like(sums)
             done = np.zeros(bound.shape, dtype=bool)
 
@@ -215,10 +233,13 @@ class Index:
             floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] if some.shape[1] > k else np.zeros(len(part), dtype=np.float32)
             reach(~done & (bound > 0) & (bound >= (floor * (1 - 2 * error))[:, None]))
             for i, (at, w) in enumerate(part):
-                maybe = np.flatnonzero(scored[i] >= max(floor[i] * (1 - 2 * error), 1e-30))
+                if spare[i] and floor[i] <= 4 * spare[i]:
+                    out += self.nearest_of([(at, w)], k, [buts[first + i]], 0.0)
+                    continue
+                maybe = np.flatnonzero(scored[i] >= max(floor[i] * (1 - 2 * error) - spare[i], 1e-30))
                 if len(maybe) > k:
                     near = scored[i][maybe]
-                    maybe = maybe[near >= np.partition(near, len(near) - k)[len(near) - k] * (1 - error)]
+                    maybe = maybe[near >= np.partition(near, len(near) - k)[len(near) - k] * (1 - 2 * error) - spare[i]]
                 if not len(maybe):
                     out.append([])
                     continue
