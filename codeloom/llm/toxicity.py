@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shared import BROADCAST_BYTES, once, send, tune, written
+from .shared import BROADCAST_BYTES, send, tune, written
 
 #: The classifier is fitted on at most so many labelled documents (those whose id hashes lowest).
 MAX_EXAMPLES = 20_000
@@ -333,7 +334,7 @@ def _example_counts(batches):
                 yield pa.RecordBatch.from_arrays([vectext.long_array(seen), pa.array(toxic.astype(np.int64)), pa.array(np.bincount(which))], names=["term", "a", "n"])
 
 
-def _document_counts(vocabulary: list):
+def _document_counts(vocabulary: tuple):
     """A stage that gives term (its number), n: how many of a task's texts have each known term."""
 
     def stage(batches):
@@ -351,23 +352,27 @@ def _document_counts(vocabulary: list):
     return stage
 
 
-def _sent(spark: SparkSession, value) -> list:
-    """Broadcasts of value's bytes, compressed, in parts within the broadcast bound."""
+def _sent(spark: SparkSession, value) -> tuple[str, list]:
+    """A name and broadcasts of value's bytes, compressed, in parts within the broadcast bound."""
     data = pickle.dumps(value, protocol=5)
     data = len(data).to_bytes(8, "big") + pa.compress(data, "zstd", asbytes=True)
-    if len(data) <= BROADCAST_BYTES:
-        return [send(spark, data, len(data))]
-    return [send(spark, data[a : a + BROADCAST_BYTES], min(BROADCAST_BYTES, len(data) - a)) for a in range(0, len(data), BROADCAST_BYTES)]
+    return uuid.uuid4().hex, [send(spark, data[a : a + BROADCAST_BYTES], min(BROADCAST_BYTES, len(data) - a)) for a in range(0, len(data), BROADCAST_BYTES)]
 
 
-def _received(parts: list, make=lambda x: x):
-    """make(what was sent), kept for the life of a Python worker."""
+_kept: dict[str, object] = {}
 
-    def unpacked(first: bytes):
-        data = b"".join([first, *(p.value[1] for p in parts[1:])])
-        return make(pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "big"), "zstd")))
 
-    return once(parts[0], unpacked)
+def _received(sent: tuple[str, list], make=lambda x: x):
+    """make(what was sent), kept for the life of a Python worker, without the bytes that it came in."""
+    name, parts = sent
+    if name not in _kept:
+        if len(_kept) > 4:
+            _kept.clear()
+        data = b"".join(p.value[1] for p in parts)
+        for p in parts:
+            p.__dict__.pop("_value", None)
+        _kept[name] = make(pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "big"), "zstd")))
+    return _kept[name]
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
@@ -421,7 +426,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return index
 
 
-def _vectors(examples: DataFrame, vocabulary: list, weights: list) -> DataFrame:
+def _vectors(examples: DataFrame, vocabulary: tuple, weights: tuple) -> DataFrame:
     """doc_id, y, terms of some weight (32-bit numbers, in order), counts (in 8 bits if all fit, else 32), the heaviest terms; at most max_examples rows."""
 
     def stage(batches):
@@ -442,7 +447,7 @@ def _vectors(examples: DataFrame, vocabulary: list, weights: list) -> DataFrame:
     return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms binary, counts binary, t0 int, t1 int, t2 int")
 
 
-def _sent_index(spark: SparkSession, index: Index) -> list:
+def _sent_index(spark: SparkSession, index: Index) -> tuple:
     """Broadcasts of an index without its calibration: the same for the votes that it is calibrated by and for all later ones."""
     app = spark.sparkContext.applicationId
     if index.__dict__.get("sent", (None,))[0] != app:
