@@ -5,14 +5,13 @@ hashes: a slice of documents is counted as arrays, without a Python object a wor
 its inverse document frequency over all documents times what it tells of the label among the examples: a power
 of df x KL divergence, a smooth weight without a threshold or a bound on the number of terms.
 
-Examples that are alike stand in blocks of BLOCK.  The inverted index has, for each term, its postings, and for
-terms of many examples the greatest value in each block as well.  A query adds up the postings of its rare
-terms, but for those that together can add no more than SLIGHT, which is only kept as a margin; with the block
-maxima of the other terms that bounds what any example of a block can reach.  The blocks of
-the greatest bounds are scored first, and of the others only those whose bound reaches the k-th best score so
-far.  Sums in single precision have a known relative error, and all examples that may belong to the k nearest
-by it are scored again in double precision, so the k nearest are exact; ties go to the least id.  Votes fall off with distance; isotonic regression over leave-one-out votes of the
-examples turns them into calibrated probabilities.
+Examples that share frequent terms stand together, in blocks of BLOCK.  Terms that many examples of a block have
+are rows of its matrix; what else an example has stands in the postings of its terms.  Queries that share frequent
+terms are scored together: a product with each block's matrix, of the rows that any of them has, and the postings
+of each.  Postings that together can add no more than LATE are then read for the examples alone that may still
+belong to the nearest, and those that can add no more than SLIGHT are only kept as a margin.  Sums in single precision have a known relative error, and all examples that may belong to the k nearest by it are scored again in
+double precision, so the k nearest are exact; ties go to the least id.  Votes fall off with distance; isotonic
+regression over leave-one-out votes of the examples turns them into calibrated probabilities.
 """
 
 from __future__ import annotations
@@ -37,12 +36,17 @@ MAX_EXAMPLES = 20_000
 STEM, NEIGHBOURS, BANDWIDTH = 4, 15, 0.1
 #: The power of what a term tells of the label in its weight.
 SHARPNESS = 1.25
-#: Texts scored at once; examples of a block; the share of examples over which a term has block maxima; blocks scored first.
-BATCH, BLOCK, DENSE, SEEDS = 128, 64, 0.1, 16
+#: Texts scored at once; examples of a block; the share of a block's examples over which a term is a row of its matrix.
+BATCH, BLOCK, DENSE = 128, 1024, 0.1
+#: Frequent terms by which texts are ordered; postings added up at once; examples of which the best one counts for the floor.
+LEADING, POSTINGS, GROUP = 32, 1 << 18, 64
 #: What the postings that a query leaves out can add to a cosine; a query whose best scores are near it leaves out none.
 SLIGHT = 0.005
+#: What the postings can add that are read for the best examples alone.
+LATE = 0.1
 THRESHOLD = 0.5
 RESULT = "doc_id long, toxic boolean, score double, votes double, evidence array<struct<example_id:long,cosine:double,toxic:boolean>>"
+POSTING = np.dtype([("example", "<i4"), ("value", "<f4")])
 _STEM = np.uint64(0x51ED270B7F4A7C15)
 
 
@@ -118,38 +122,47 @@ class Index:
         return (1 + np.log(self.counts[which].astype(np.float64))) * self.weight[self.terms[which]]
 
     @cached_property
-    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row of each term that has block maxima or -1; values of these terms by block, their maxima by block; postings
-        of the other terms: starts, examples, values."""
-        n, df = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
-        common = np.flatnonzero(df > max(BLOCK, DENSE * n))
-        row = np.full(len(self.weight), -1, dtype=np.int32)
+    def by_term(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """Row of each term that is in a matrix or -1; of each block these rows and their values by example; postings
+        of what isn't in a matrix: starts, and POSTING (example, value) each."""
+        n, rest, dense = len(self.ids), np.bincount(self.terms, minlength=len(self.weight)), []
+        for first in range(0, n, BLOCK):
+            last = min(first + BLOCK, n)
+            many = np.bincount(self.terms[self.starts[first] : self.starts[last]], minlength=len(self.weight))
+            dense.append(np.flatnonzero(many > DENSE * (last - first)))
+            rest[dense[-1]] -= many[dense[-1]]
+        common = np.unique(np.concatenate(dense))
+        row, own = np.full(len(self.weight), -1, dtype=np.int32), np.full(len(self.weight), -1, dtype=np.int32)
         row[common] = np.arange(len(common))
-        starts = np.concatenate([[0], np.cumsum(np.where(row < 0, df, 0))])
-        owner, values = np.empty(starts[-1], dtype=np.int32), np.empty(starts[-1], dtype=np.float32)
-        blocks, free = np.zeros((-(-n // BLOCK), len(common), BLOCK), dtype=np.float32), starts[:-1].copy()
-        for b in range(len(blocks)):
+        starts = np.concatenate([[0], np.cumsum(rest)])
+        postings = np.empty(starts[-1], dtype=POSTING)
+        blocks, free = [], starts[:-1].copy()
+        for b, known in enumerate(dense):
             first, last = b * BLOCK, min((b + 1) * BLOCK, n)
             which = slice(self.starts[first], self.starts[last])
             who = np.repeat(np.arange(first, last), np.diff(self.starts[first : last + 1]))
             terms, x = self.terms[which], self._raw(which) / self.sizes[who]
-            of = row[terms] >= 0
-            blocks[b, row[terms[of]], who[of] - first] = x[of]
+            own[known] = np.arange(len(known))
+            of = own[terms] >= 0
+            matrix = np.zeros((len(known), last - first), dtype=np.float32)
+            matrix[own[terms[of]], who[of] - first] = x[of]
+            blocks.append((row[known], matrix))
+            own[known] = -1
             rare = np.flatnonzero(~of)
             rare = rare[np.argsort(terms[rare], kind="stable")]
             seen, begin, many = np.unique(terms[rare], return_index=True, return_counts=True)
             at = np.repeat(free[seen] - begin, many) + np.arange(len(rare))
-            owner[at], values[at] = who[rare], x[rare]
+            postings["example"][at], postings["value"][at] = who[rare], x[rare]
             free[seen] += many
-        return row, blocks, np.ascontiguousarray(blocks.max(axis=2, initial=0).T), starts, owner, values
+        return row, blocks, starts, postings.view(np.int64)
 
     @cached_property
     def peaks(self) -> np.ndarray:
         """Greatest value in the postings of each term."""
-        starts, values = self.by_term[3], self.by_term[5]
+        _, _, starts, postings = self.by_term
         out, full = np.zeros(len(starts) - 1), np.flatnonzero(np.diff(starts))
         if len(full):
-            out[full] = np.maximum.reduceat(values, starts[full])
+            out[full] = np.maximum.reduceat(postings.view(POSTING)["value"], starts[full])
         return out
 
     @cached_property
@@ -157,8 +170,13 @@ class Index:
         return {i: k for k, i in enumerate(self.ids.tolist())}
 
     @cached_property
-    def _query(self) -> np.ndarray:
-        return np.zeros(len(self.weight))
+    def leading(self) -> np.ndarray:
+        return leading(np.bincount(self.terms, minlength=len(self.weight)))
+
+    @cached_property
+    def _query(self) -> tuple[np.ndarray, np.ndarray]:
+        """By term, all 0: weights of a query, and whether it has the term, which is small enough for a CPU's cache."""
+        return np.zeros(len(self.weight)), np.zeros(len(self.weight), dtype=bool)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers in order and weights of length 1; none where no term has a weight."""
@@ -187,72 +205,98 @@ class Index:
         return self.nearest_of([v], k, [but])[0]
 
     def nearest_of(self, vectors: list, k: int, buts: list, slight: float = SLIGHT) -> list[list[tuple[float, int, int]]]:
+        out: list[list[tuple[float, int, int]]] = [[] for _ in vectors]
+        if len(self.ids):
+            order = sorted(range(len(vectors)), key=lambda i: likeness(vectors[i][0], self.leading))
+            for first in range(0, len(order), BATCH):
+                which = order[first : first + BATCH]
+                for i, near in zip(which, self._nearest([vectors[i] for i in which], k, [buts[i] for i in which], slight)):
+                    out[i] = near
+        return out
+
+    def _nearest(self, part: list, k: int, buts: list, slight: float) -> list[list[tuple[float, int, int]]]:
+        """nearest_of() a batch."""
+        row, blocks, starts, postings = self.by_term
         n = len(self.ids)
-        if not n:
-            return [[] for _ in vectors]
-        row, blocks, most, starts, owner, values = self.by_term
         # All weights are positive, so the error of a sum is relative.
-        error = (len(most) + 2 * BATCH) * 2.0**-22
-        out = []
-        for first in range(0, len(vectors), BATCH):
-            part = vectors[first : first + BATCH]
-            query = np.zeros((len(part), len(most)), dtype=np.float32)
-            sums = np.zeros((len(part), len(blocks) * BLOCK), dtype=np.float32)  # of rare terms
-            spare = np.zeros(len(part))
-            for i, (at, w) in enumerate(part):
-                r = row[at]
-                query[i, r[r >= 0]] = w[r >= 0]
-                rare = r < 0
-                at, w = at[rare], w[rare]
-                sizes, most_of = starts[at + 1] - starts[at], w * self.peaks[at]
-                order = np.argsort(most_of / np.maximum(sizes, 1), kind="stable")
-                left = int(np.searchsorted(np.cumsum(most_of[order]), slight, side="right")) if slight else 0
-                spare[i] = most_of[order[:left]].sum() * (1 + error)
-                use = np.sort(order[left:])
-                lists = [slice(a, b) for a, b in zip(starts[at[use]].tolist(), starts[at[use] + 1].tolist())]
-                if lists:
-                    sums[i, :n] = np.bincount(np.concatenate([owner[x] for x in lists]), np.repeat(w[use], sizes[use]) * np.concatenate([values[x] for x in lists]), n)
-            bound = sums.reshape(len(part), -1, BLOCK).max(axis=2) + query @ most + spare[:, None].astype(np.float32)
-            scored = np.zeros_like(sums)
-            done = np.zeros(bound.shape, dtype=bool)
-
-            def reach(wanted: np.ndarray) -> None:
-                for b in np.flatnonzero(wanted.any(axis=0)).tolist():
-                    who, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                    scored[who, cols] = sums[who, cols] + query[who] @ blocks[b]
-                for i, but in enumerate(buts[first : first + BATCH]):
-                    if but in self.place:
-                        scored[i, self.place[but]] = 0
-                np.logical_or(done, wanted, out=done)
-
-            first_ones = np.argpartition(-bound, min(SEEDS, bound.shape[1]) - 1, axis=1)[:, :SEEDS]
-            seeds = np.zeros_like(done)
-            np.put_along_axis(seeds, first_ones, True, axis=1)
-            reach(seeds & (bound > 0))
-            # The k-th best of the seeds is a floor for the k-th best of all.
-            some = np.take_along_axis(scored.reshape(len(part), -1, BLOCK), first_ones[:, :, None], axis=1).reshape(len(part), -1)
-            floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] if some.shape[1] > k else np.zeros(len(part), dtype=np.float32)
-            reach(~done & (bound > 0) & (bound >= (floor * (1 - 2 * error))[:, None]))
-            for i, (at, w) in enumerate(part):
-                if spare[i] and floor[i] <= 4 * spare[i]:
-                    out += self.nearest_of([(at, w)], k, [buts[first + i]], 0.0)
-                    continue
-                maybe = np.flatnonzero(scored[i] >= max(floor[i] * (1 - 2 * error) - spare[i], 1e-30))
-                if len(maybe) > k:
-                    near = scored[i][maybe]
-                    maybe = maybe[near >= np.partition(near, len(near) - k)[len(near) - k] * (1 - 2 * error) - spare[i]]
-                if not len(maybe):
-                    out.append([])
-                    continue
-                self._query[at] = w
-                sizes = self.starts[maybe + 1] - self.starts[maybe]
-                which = _ranges(self.starts[maybe], sizes)
-                cosines = np.add.reduceat(self._query[self.terms[which]] * self._raw(which), np.cumsum(sizes) - sizes) / self.sizes[maybe]
-                self._query[at] = 0
-                found = [(float(c), int(self.ids[j]), int(self.labels[j])) for c, j in zip(np.round(cosines, 12), maybe) if c > 0]
-                out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
+        error = (max(len(rows) for rows, _ in blocks) + 2 * BATCH) * 2.0**-22
+        query = np.zeros((row.max(initial=-1) + 1, len(part)), dtype=np.float32)
+        spare, more, read, late = np.zeros(len(part)), np.zeros(len(part)), [], []
+        for i, (at, w) in enumerate(part):
+            r = row[at]
+            query[r[r >= 0], i] = w[r >= 0]
+            sizes, most_of = starts[at + 1] - starts[at], w * self.peaks[at]
+            order = np.argsort(most_of / np.maximum(sizes, 1))
+            total = np.cumsum(most_of[order])
+            left, after = np.searchsorted(total, (slight, LATE), side="right").tolist() if slight else (0, 0)
+            spare[i], more[i] = (total[j - 1] * (1 + error) if j else 0.0 for j in (left, after))
+            for lists, use in ((late, order[left:after]), (read, order[after:])):
+                lists.append((starts[at[use]], sizes[use], w[use].astype(np.float32)))
+        scored = self._from_postings(read)
+        active = query.any(axis=1)
+        for b, (rows, matrix) in enumerate(blocks):
+            use = np.flatnonzero(active[rows])
+            if len(use):
+                scored[:, b * BLOCK : b * BLOCK + matrix.shape[1]] += query[rows[use]].T @ (matrix if len(use) == len(rows) else matrix[use])
+        for i, but in enumerate(buts):
+            if but in self.place:
+                scored[i, self.place[but]] = -9
+        # The k-th best of the groups' best is a floor for the k-th best of all.
+        best = scored.reshape(len(part), -1, GROUP).max(axis=2)
+        floor = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] >= k else np.zeros(len(part), dtype=np.float32)
+        slot = np.full(n, -1, dtype=np.int32)
+        out: list[list[tuple[float, int, int]]] = [[] for _ in part]
+        again = []
+        for i, (at, w) in enumerate(part):
+            maybe = np.flatnonzero(scored[i, :n] >= max(0.0, floor[i] * (1 - 2 * error) - more[i]))
+            near = scored[i, maybe]
+            begin, sizes, of = late[i]
+            if len(begin):
+                slot[maybe] = np.arange(len(maybe))
+                found = np.concatenate([postings[a:b] for a, b in zip(begin.tolist(), (begin + sizes).tolist())])
+                to = slot[found.view(np.int32)[::2]]
+                use = np.flatnonzero(to >= 0)
+                near += np.bincount(to[use], found.view(np.float32)[1::2][use] * np.repeat(of, sizes)[use], len(maybe)).astype(np.float32)
+                slot[maybe] = -1
+            kth = float(np.partition(near, len(near) - k)[len(near) - k]) if len(near) >= k else 0.0
+            if spare[i] and kth <= 4 * spare[i]:
+                again.append(i)
+                continue
+            maybe = maybe[near >= max(kth * (1 - 2 * error) - spare[i], 1e-30)]
+            if not len(maybe):
+                continue
+            weights, has = self._query
+            weights[at], has[at] = w * self.weight[at], True
+            own = [slice(a, b) for a, b in zip(self.starts[maybe].tolist(), self.starts[maybe + 1].tolist())]
+            terms = np.concatenate([self.terms[x] for x in own])
+            shared = np.flatnonzero(has[terms])
+            counts = np.concatenate([self.counts[x] for x in own])[shared]
+            who = np.searchsorted(np.cumsum([x.stop - x.start for x in own]), shared, side="right")
+            cosines = np.bincount(who, weights[terms[shared]] * (1 + np.log(counts.astype(np.float64))), len(maybe)) / self.sizes[maybe]
+            weights[at], has[at] = 0, False
+            all_near = [(float(c), int(self.ids[j]), int(self.labels[j])) for c, j in zip(np.round(cosines, 12), maybe) if c > 0]
+            out[i] = sorted(all_near, key=lambda x: (-x[0], x[1]))[:k]
+        if again:
+            for i, near in zip(again, self._nearest([part[i] for i in again], k, [buts[i] for i in again], 0.0)):
+                out[i] = near
         return out
 
+    def _from_postings(self, read: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Sums by query and example (and as many more as fill a group) of postings: where they begin, how many, the weight of their term."""
+        postings, n = self.by_term[3], len(self.ids)
+        sums = np.zeros((len(read), -(-n // GROUP) * GROUP), dtype=np.float32)
+        who = np.repeat(np.arange(len(read)), [len(begin) for begin, _, _ in read])
+        begin, sizes, w = (np.concatenate(x) for x in zip(*read))
+        ends, a = np.cumsum(sizes), 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + POSTINGS, side="right")))
+            first, last, many = int(who[a]), int(who[b - 1]) + 1, sizes[a:b]
+            found = postings[_ranges(begin[a:b], many)]
+            at = np.repeat((who[a:b] - first) * n, many) + found.view(np.int32)[::2]
+            sums[first:last, :n] += np.bincount(at, np.repeat(w[a:b], many) * found.view(np.float32)[1::2], (last - first) * n).reshape(-1, n)
+            a = b
+        return sums
+
 
 def probability(steps: list[tuple[float, float]], votes: float) -> float:
     p = 0.0
@@ -297,10 +341,15 @@ def assembled(vocabulary: np.ndarray, weight: np.ndarray, ids, labels, sizes: np
     return index
 
 
-def _heaviest(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> list[int]:
-    """The three terms of the greatest weights, -1 where there are fewer: examples in this order have blocks of small maxima."""
-    at = np.argsort(-(1 + np.log(counts)) * weight[terms], kind="stable")[:3]
-    return [*terms[at].tolist(), -1, -1, -1][:3]
+def leading(df: np.ndarray) -> np.ndarray:
+    """The most frequent terms."""
+    return np.argsort(-df, kind="stable")[:LEADING]
+
+
+def likeness(terms: np.ndarray, first: np.ndarray) -> int:
+    """A bit for each of the leading terms that is among terms (in order), the most frequent one first: texts alike are near in this order."""
+    at = np.minimum(np.searchsorted(terms, first), len(terms) - 1)
+    return int((terms[at] == first) @ (1 << np.arange(len(first))[::-1])) if len(terms) else 0
 
 
 def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int, k: int = NEIGHBOURS, bandwidth: float = BANDWIDTH) -> Index:
@@ -312,7 +361,8 @@ def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n
     number = {t: i for i, t in enumerate(names)}
     weight = inverse_frequency(np.array([df[t] for t in names], dtype=np.float64), n_docs)
     lists = [np.array(sorted((number[t], n) for t, n in c.items() if t in number), dtype=np.int64).reshape(-1, 2) for _, _, c in examples]
-    order_of = sorted(range(len(examples)), key=lambda i: (examples[i][1], *_heaviest(lists[i][:, 0], lists[i][:, 1], weight), examples[i][0]))
+    frequent = leading(np.bincount(np.concatenate([x[:, 0] for x in lists]), minlength=len(names))) if examples else np.zeros(0, dtype=np.int64)
+    order_of = sorted(range(len(examples)), key=lambda i: (likeness(lists[i][:, 0], frequent), examples[i][0]))
     flat = np.concatenate([lists[i] for i in order_of]) if examples else np.zeros((0, 2), dtype=np.int64)
     index = assembled(hashes[order], weight, [examples[i][0] for i in order_of], [examples[i][1] for i in order_of], np.array([len(lists[i]) for i in order_of], dtype=np.int64), flat[:, 0], flat[:, 1])
     vectors = [v for _, _, c in examples if len((v := index.vector(c))[0])]
@@ -409,10 +459,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
 
     gain = size * np.maximum(part(share, p) + part(1 - share, 1 - p), 0.0)
     weight = inverse_frequency(df, texts.count()) * gain**SHARPNESS
+    frequent = leading(np.where(weight > 0, size, 0))
     del df, size, toxic, share, gain
-    rows = _vectors(examples, vocabulary, _sent(spark, weight)).toArrow()
-    ids, y, *tops = (rows[c].to_numpy() for c in ("doc_id", "y", "t0", "t1", "t2"))
-    order = np.lexsort((ids, *tops[::-1], y))
+    rows = _vectors(examples, vocabulary, _sent(spark, weight), frequent).toArrow()
+    ids, y, like = (rows[c].to_numpy() for c in ("doc_id", "y", "likeness"))
+    order = np.lexsort((ids, like))
     lists = [np.frombuffer(rows["terms"][i].as_buffer(), dtype=np.int32) for i in order.tolist()]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     terms = np.concatenate(lists)
@@ -426,8 +477,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return index
 
 
-def _vectors(examples: DataFrame, vocabulary: tuple, weights: tuple) -> DataFrame:
-    """doc_id, y, terms of some weight (32-bit numbers, in order), counts (in 8 bits if all fit, else 32), the heaviest terms; at most max_examples rows."""
+def _vectors(examples: DataFrame, vocabulary: tuple, weights: tuple, frequent: np.ndarray) -> DataFrame:
+    """doc_id, y, terms of some weight (32-bit numbers, in order), counts (in 8 bits if all fit, else 32), likeness; at most max_examples rows."""
 
     def stage(batches):
         for batch in batches:
@@ -437,14 +488,13 @@ def _vectors(examples: DataFrame, vocabulary: tuple, weights: tuple) -> DataFram
                 use = weight[terms] > 0
                 docs, terms, n = docs[use], terms[use], n[use]
                 bounds = np.searchsorted(docs, np.arange(last - first + 1))
-                tops = np.array([_heaviest(terms[a:b], n[a:b], weight) for a, b in zip(bounds, bounds[1:])], dtype=np.int32)
                 pairs = [(terms[a:b], n[a:b]) for a, b in zip(bounds, bounds[1:])]
                 packed = ([t.astype(np.int32).tobytes() for t, _ in pairs], [m.astype(np.uint8 if not len(m) or m.max() < 256 else np.int32).tobytes() for _, m in pairs])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(first, last - first) for i in range(2)), *(pa.array(x, pa.binary()) for x in packed), *(pa.array(tops[:, i]) for i in range(3))], names=["doc_id", "y", "terms", "counts", "t0", "t1", "t2"]
+                    [*(batch.column(i).slice(first, last - first) for i in range(2)), *(pa.array(x, pa.binary()) for x in packed), pa.array([likeness(t, frequent) for t, _ in pairs], pa.int64())], names=["doc_id", "y", "terms", "counts", "likeness"]
                 )
 
-    return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms binary, counts binary, t0 int, t1 int, t2 int")
+    return examples.select("doc_id", "y", "text").mapInArrow(stage, "doc_id long, y int, terms binary, counts binary, likeness long")
 
 
 def _sent_index(spark: SparkSession, index: Index) -> tuple:
