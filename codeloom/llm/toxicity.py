@@ -39,7 +39,7 @@ SHARPNESS = 1.25
 #: Texts scored at once; examples of a block; the share of a block's examples over which a term is a row of its matrix.
 BATCH, BLOCK, DENSE = 128, 1024, 0.1
 #: Frequent terms by which texts are ordered; postings added up at once; examples of which the best one counts for the floor.
-LEADING, POSTINGS, GROUP = 32, 1 << 18, 64
+LEADING, POSTINGS, GROUP = 32, 1 << 16, 64
 #: What the postings that a query leaves out can add to a cosine; a query whose best scores are near it leaves out none.
 SLIGHT = 0.005
 #: What the postings can add that are read for the best examples alone.
@@ -173,6 +173,15 @@ class Index:
             out[full] = np.maximum.reduceat(postings.view(POSTING)["value"], starts[full])
         return out
 
+    @cached_property
+    def tops(self) -> np.ndarray:
+        """Greatest value of each term that is in a matrix, over these."""
+        row, blocks, _, _ = self.by_term
+        out = np.zeros(row.max(initial=-1) + 1, dtype=np.float32)
+        for rows, matrix in blocks:
+            out[rows] = np.maximum(out[rows], matrix.max(axis=1))
+        return out
+
     @cached_property
     def place(self) -> dict[int, int]:
         return {i: k for k, i in enumerate(self.ids.tolist())}
@@ -228,7 +237,7 @@ class Index:
         row, blocks, starts, postings = self.by_term
         n = len(self.ids)
         # All weights are positive, so the error of a sum is relative.
-        error = (max(len(rows) for rows, _ in blocks) + 2 * BATCH) * 2.0**-22
+        error = (max(len(rows) for rows, _ in blocks) + max(len(at) for at, _ in part) + 2 * BATCH) * 2.0**-22
         query = np.zeros((row.max(initial=-1) + 1, len(part)), dtype=np.float32)
         spare, more, read, late = np.zeros(len(part)), np.zeros(len(part)), [], []
         for i, (at, w) in enumerate(part):
@@ -242,7 +251,18 @@ class Index:
             for lists, use in ((late, order[left:after]), (read, order[after:])):
                 lists.append((starts[at[use]], sizes[use], w[use].astype(np.float32)))
         scored = self._from_postings(read)
-        active = query.any(axis=1)
+        # Rows that together can add no more than SLIGHT to any of the queries are a margin too.
+        reach = query * self.tops[:, None]
+        most_of = reach.max(axis=1, initial=0)
+        active = most_of > 0
+        order = np.flatnonzero(active & (most_of <= slight))
+        order = order[np.argsort(most_of[order])]
+        if len(order):  # 16 rows at a time
+            total = np.cumsum(np.add.reduceat(reach[order], np.arange(0, len(order), 16), axis=0), axis=0)
+            left = int(np.searchsorted(total.max(axis=1), slight, side="right"))
+            if left:
+                active[order[: 16 * left]] = False
+                spare, more = spare + total[left - 1] * (1 + error), more + total[left - 1] * (1 + error)
         for b, (rows, matrix) in enumerate(blocks):
             use = np.flatnonzero(active[rows])
             if len(use):
@@ -253,7 +273,7 @@ class Index:
         # The k-th best of the groups' best is a floor for the k-th best of all.
         best = scored.reshape(len(part), -1, GROUP).max(axis=2)
         floor = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] >= k else np.zeros(len(part), dtype=np.float32)
-        slot = np.full(n, -1, dtype=np.int32)
+        slot, seen = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool)
         out: list[list[tuple[float, int, int]]] = [[] for _ in part]
         again = []
         for i, (at, w) in enumerate(part):
@@ -261,12 +281,12 @@ class Index:
             near = scored[i, maybe]
             begin, sizes, of = late[i]
             if len(begin):
-                slot[maybe] = np.arange(len(maybe))
+                slot[maybe], seen[maybe] = np.arange(len(maybe)), True
                 found = np.concatenate([postings[a:b] for a, b in zip(begin.tolist(), (begin + sizes).tolist())])
-                to = slot[found.view(np.int32)[::2]]
-                use = np.flatnonzero(to >= 0)
-                near += np.bincount(to[use], found.view(np.float32)[1::2][use] * np.repeat(of, sizes)[use], len(maybe)).astype(np.float32)
-                slot[maybe] = -1
+                to = found.view(np.int32)[::2]
+                use = np.flatnonzero(seen[to])
+                near += np.bincount(slot[to[use]], found.view(np.float32)[1::2][use] * np.repeat(of, sizes)[use], len(maybe)).astype(np.float32)
+                seen[maybe] = False
             kth = float(np.partition(near, len(near) - k)[len(near) - k]) if len(near) >= k else 0.0
             if spare[i] and kth <= 4 * spare[i]:
                 again.append(i)
@@ -276,11 +296,12 @@ class Index:
                 continue
             weights, has = self._query
             weights[at], has[at] = w * self.weight[at], True
+            sizes = self.starts[maybe + 1] - self.starts[maybe]
             own = [slice(a, b) for a, b in zip(self.starts[maybe].tolist(), self.starts[maybe + 1].tolist())]
             terms = np.concatenate([self.terms[x] for x in own])
             shared = np.flatnonzero(has[terms])
             counts = np.concatenate([self.counts[x] for x in own])[shared]
-            who = np.searchsorted(np.cumsum([x.stop - x.start for x in own]), shared, side="right")
+            who = np.repeat(np.arange(len(maybe)), sizes)[shared]
             cosines = np.bincount(who, weights[terms[shared]] * (1 + np.log(counts.astype(np.float64))), len(maybe)) / self.sizes[maybe]
             weights[at], has[at] = 0, False
             all_near = [(float(c), int(self.ids[j]), int(self.labels[j])) for c, j in zip(np.round(cosines, 12), maybe) if c > 0]
@@ -292,17 +313,20 @@ class Index:
 
     def _from_postings(self, read: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         """Sums by query and example (and as many more as fill a group) of postings: where they begin, how many, the weight of their term."""
-        postings, n = self.by_term[3], len(self.ids)
-        sums = np.zeros((len(read), -(-n // GROUP) * GROUP), dtype=np.float32)
-        who = np.repeat(np.arange(len(read)), [len(begin) for begin, _, _ in read])
+        postings = self.by_term[3]
+        sums = np.zeros((len(read), -(-len(self.ids) // GROUP) * GROUP), dtype=np.float32)
+        begins = np.repeat(np.arange(len(read)) * sums.shape[1], [len(begin) for begin, _, _ in read])
         begin, sizes, w = (np.concatenate(x) for x in zip(*read))
         ends, a = np.cumsum(sizes), 0
         while a < len(sizes):
             b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + POSTINGS, side="right")))
-            first, last, many = int(who[a]), int(who[b - 1]) + 1, sizes[a:b]
+            many = sizes[a:b]
             found = postings[_ranges(begin[a:b], many)]
-            at = np.repeat((who[a:b] - first) * n, many) + found.view(np.int32)[::2]
-            sums[first:last, :n] += np.bincount(at, np.repeat(w[a:b], many) * found.view(np.float32)[1::2], (last - first) * n).reshape(-1, n)
+            at = np.repeat(begins[a:b], many)
+            at += found.view(np.int32)[::2]
+            x = np.repeat(w[a:b], many)
+            x *= found.view(np.float32)[1::2]
+            np.add.at(sums.reshape(-1), at, x)
             a = b
         return sums
 
