@@ -14,6 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 SOURCE_DIRS = ("src", "lib", "source", "sources")
 DEFINITIONS = tuple(w + " " for w in sorted({"class", "def", "async def", "impl", "fn", "pub fn", "func", "function", *("export " + w for w in ("class", "default function", "function", "interface"))}))
+#: What \\s stands for, and the same without the line break.
+SPACE, BLANK = " \t\n\x0b\f\r", r"[ \t\x0b\f\r]"
+#: The line break before a line that, without blanks at its ends, begins with a definition: more must follow the word than blanks.
+CUT = rf"\n(?={BLANK}*+(?:{'|'.join(DEFINITIONS)}){BLANK}*+[^ \t\x0b\f\r\n])"
 CHUNK_WORDS = 300
 SIMILARITY_WEIGHT, RANK_WEIGHT = 0.8, 0.2
 TRIVIAL_CHARS = 50
@@ -43,20 +47,12 @@ def embedding_text(path: Column, skeleton: Column, content: Column, root: str =
 def chunks(texts: DataFrame) -> DataFrame:
     """path, chunk_no, chunk from path, text: texts over CHUNK_WORDS words are cut before lines that define something.
 
-    Within a row: no shuffle, whatever the number of lines.
+    Within a row: no shuffle, whatever the number of lines.  A text is read once for its words and once for its cuts.
     """
-    lines = F.split("text", "\n", -1)
-    defines = F.transform(F.col("lines"), lambda x: F.exists(F.array(*(F.lit(d) for d in DEFINITIONS)), lambda d: F.btrim(x, F.lit(" \t\r\f\x0b")).startswith(d)))
-    begins = F.filter(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.col("defines")[i])
-    bounds = F.concat(F.array(F.lit(0)), F.when(F.size("lines") > 1, begins).otherwise(F.array().cast("array<int>")), F.array(F.size("lines")))
-    parts = F.transform(
-        F.sequence(F.lit(1), F.size("bounds") - 1),
-        lambda i: F.regexp_replace(F.array_join(F.slice("lines", F.col("bounds")[i - 1] + 1, F.col("bounds")[i] - F.col("bounds")[i - 1]), "\n"), r"^\s+|\s+$", ""),
-    )
-    kept = F.filter("parts", lambda p: p != "")
-    cut = texts.withColumn("lines", lines).withColumn("defines", defines).withColumn("bounds", bounds).withColumn("parts", parts).withColumn("parts", kept)
-    whole = (F.size(words_of(F.col("text"))) <= CHUNK_WORDS) | (F.size("parts") == 0)
-    return cut.select("path", F.posexplode(F.when(whole, F.array("text")).otherwise(F.col("parts"))).alias("chunk_no", "chunk"))
+    kept = F.filter(F.transform(F.split("text", CUT, -1), lambda p: F.btrim(p, F.lit(SPACE))), lambda p: p != "")
+    parts = F.when(F.regexp_count("text", F.lit(r"\S++")) <= CHUNK_WORDS, F.array("text")).otherwise(kept)
+    cut = texts.select("path", "text", parts.alias("parts"))
+    return cut.select("path", F.posexplode(F.when(F.size("parts") == 0, F.array("text")).otherwise(F.col("parts"))).alias("chunk_no", "chunk"))
 
 
 def cosine(a: Column, b: Column) -> Column:
