@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FAMILY_OF, LANGUAGE_OF, STRENGTH
+from ..tables import fits, small, written
 
 NOISY_DEFINITIONS = 5
 
@@ -36,10 +37,10 @@ def upgraded_edges(candidates: DataFrame) -> DataFrame:
     return best.withColumn("strength", strength_of(F.col("kind")))
 
 
-def noisy_symbols(definitions: DataFrame, limit: int = NOISY_DEFINITIONS, compat: str | None = None) -> DataFrame:
-    """Names defined in more than limit files, with their number; compat "reference" counts every definition."""
+def noisy_symbols(definitions: DataFrame, limit: int = NOISY_DEFINITIONS, compat: str | None = None, noisy: bool = True) -> DataFrame:
+    """Names defined in more than limit files, with their number, or else the others; compat "reference" counts every definition."""
     count = F.count("path") if compat == "reference" else F.count_distinct("path")
-    return definitions.groupBy("name").agg(count.alias("n_definitions")).filter(F.col("n_definitions") > limit)
+    return definitions.groupBy("name").agg(count.alias("n_definitions")).filter((F.col("n_definitions") > limit) if noisy else (F.col("n_definitions") <= limit))
 
 
 def symbol_usage_edges(definitions: DataFrame, usages: DataFrame, gate: DataFrame | None = None, limit: int = NOISY_DEFINITIONS, compat: str | None = None) -> DataFrame:
@@ -47,12 +48,22 @@ def symbol_usage_edges(definitions: DataFrame, usages: DataFrame, gate: DataFram
 
     definitions and usages have path, name and family (of languages that go together); names defined too often
     are left out before the join, which keeps it from blowing up on common names; gate (src, dst) keeps the
-    pairs that it has.
+    pairs that it has.  The few definitions that stay are a written table, whose size is known: as long as it is
+    small it goes to the usages, which are not shuffled; beyond that hashes of its names do, and only usages that
+    meet one are shuffled.
     """
-    keep = definitions.select("path", "name", "family").distinct()
-    counted = definitions if compat == "reference" else keep
-    keep = keep.join(noisy_symbols(counted, limit, compat), "name", "left_anti")
-    pairs = usages.select(F.col("path").alias("src"), "name", "family").distinct().join(keep.withColumnRenamed("path", "dst"), ["name", "family"]).filter("src <> dst").select("src", "dst").distinct()
+    keep = definitions.select("path", "name", "family")
+    few = noisy_symbols(definitions if compat == "reference" else keep.distinct(), limit, compat, noisy=False)
+    few = written(few.select("name"), "names")
+    keep = written(keep.join(small(few), "name", "left_semi").distinct().withColumnRenamed("path", "dst"), "definitions")
+    used = usages.select(F.col("path").alias("src"), "name", "family")
+    if not fits(keep):
+        hashed = F.xxhash64("name", "family").alias("hash")
+        hashes = written(keep.select(hashed).distinct(), "hashes")
+        if fits(hashes):
+            used = used.withColumn("hash", hashed).join(F.broadcast(hashes), "hash", "left_semi").drop("hash")
+    # A repeated usage makes a repeated pair, and those are made one below.
+    pairs = used.join(small(keep), ["name", "family"]).filter("src <> dst").select("src", "dst").distinct()
     return pairs if gate is None else pairs.join(gate.select("src", "dst"), ["src", "dst"], "left_semi")
 
 

@@ -46,7 +46,11 @@ def discard(df: DataFrame) -> None:
 BROADCAST_BYTES = 32 << 20
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether df is within the bound by Catalyst's estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if Catalyst's estimate of its size allows; else as it is, for a shuffled join."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(df) else df
